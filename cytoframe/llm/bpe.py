@@ -16,10 +16,12 @@ table; repeated rows give repeated rows. Input columns other than the named ones
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ from cytoframe.llm.common import parts
 SPACE = "\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Words whose encodings a task keeps between slices; beyond it starts again.
-MAX_WORDS = 300_000
+MAX_WORDS = 250_000
+#: Token lengths to try where no longer token has a prefix's end.
+SHORT = (2, 1)
 
 
 @lru_cache(1)
@@ -62,16 +66,20 @@ class Vocabulary:
 
         self.tokens = {symbols(t): i for t, i in model["vocab"].items()}
         self.symbols = {i: s for s, i in self.tokens.items()}
-        #: Token lengths, longest first, by the last two symbols.
-        self.lengths: dict[str, list[int]] = {}
-        for n in sorted({len(s) for s in self.tokens if len(s) > 1}, reverse=True):
-            for end in {s[-2:] for s in self.tokens if len(s) == n}:
-                self.lengths.setdefault(end, []).append(n)
+        #: Token lengths, longest first, by a prefix's last three symbols.
+        by_end: dict[str, set[int]] = {}
+        for t in self.tokens:
+            if len(t) > 2:
+                by_end.setdefault(t[-3:], set()).add(len(t))
+        self.lengths = {end: (*sorted(found, reverse=True), *SHORT) for end, found in by_end.items()}
+        self.sizes = {i: len(s) for i, s in self.symbols.items()}
         ids = model["vocab"]
         self.merges = {(ids[a], ids[b]): (rank, ids[a.removesuffix(suffix) + b]) for rank, (a, b) in enumerate(model["merges"])}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Packed ids of words met lately, in two generations of MAX_WORDS at most.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merged(self, symbols: str) -> list[int]:
@@ -116,22 +124,23 @@ class Vocabulary:
             text = text.replace("Σ", "σ")
         return PIECES.findall(text.lower())
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes words not yet known: trie, depth-first last-token states, tokens read back from the leaves."""
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Packed ids of words: trie, depth-first last-token states, tokens read back from the leaves."""
+        out: dict[str, bytes] = {}
         root: dict = {}
         for word in words:
             if word.startswith("\0special\0") and word[9:] in self.special:
-                self.known[word] = (self.special[word[9:]],)
+                out[word] = pack("<I", self.special[word[9:]])
                 continue
             node = root
-            data = word.encode()
+            data = word.encode().decode("latin-1")
             for b in data[:-1]:
-                node = node.setdefault(chr(b), {})
-            node.setdefault(chr(data[-1] + 256), {})[""] = word
+                node = node.setdefault(b, {})
+            node.setdefault(chr(ord(data[-1]) + 256), {})[""] = word
         prefixes = [""]
         last: list[int] = []  # of the prefix of each length, the last token
         stack = [iter(root.items())]
-        tokens, lengths = self.tokens, self.lengths
+        tokens, lengths, sizes, follows = self.tokens, self.lengths, self.sizes, self.pairs
         while stack:
             step = next(stack[-1], None)
             if step is None:
@@ -142,37 +151,51 @@ class Vocabulary:
                 continue
             symbol, below = step
             if symbol == "":
-                out = []
+                found = []
                 depth = len(last)
                 while depth:
-                    out.append(last[depth - 1])
-                    depth -= len(self.symbols[out[-1]])
-                self.known[below] = tuple(reversed(out))
+                    token = last[depth - 1]
+                    found.append(token)
+                    depth -= sizes[token]
+                out[below] = pack(f"<{len(found)}I", *reversed(found))
                 continue
             depth = len(prefixes)
             prefix = prefixes[-1] + symbol
             prefixes.append(prefix)
-            for length in (*lengths.get(prefix[-2:], ()), 1):
+            for length in lengths.get(prefix[-3:], SHORT):
                 if length > depth:
                     continue
                 token = tokens.get(prefix[depth - length :])
-                if token is not None and self.stands(token) and (length == depth or self.follows(last[depth - length - 1], token)):
-                    last.append(token)
-                    break
+                if token is None:
+                    continue
+                if length == depth:
+                    if self.stands(token):
+                        break
+                else:
+                    left = last[depth - length - 1]
+                    yes = follows.get((left, token))
+                    if yes or yes is None and self.stands(token) and self.follows(left, token):
+                        break
+            last.append(token)
             stack.append(iter(below.items()))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) for t in texts]
         words = set().union(*split)
-        new = words - self.known.keys()
-        if new:
-            if len(self.known) + len(new) > MAX_WORDS:
-                self.known.clear()
-                new = words
-            self.learn(new)
-        packed = {w: np.array(self.known[w], "<u4").tobytes() for w in words}
-        return [b"".join(map(packed.__getitem__, x)) for x in split]
+        new = {w for w in words if w not in self.known}
+        back = {w: self.older[w] for w in new if w in self.older}
+        gc.disable()  # tries are many small dicts without cycles
+        try:
+            back |= self.learn(new - back.keys())
+        finally:
+            gc.enable()
+        if len(self.known) + len(back) > MAX_WORDS:
+            # words of this slice stay; those not met since the last change of generations go
+            self.older, self.known = self.known, {w: x for w in words if (x := self.known.get(w))}
+        self.known |= back
+        return [b"".join(map(self.known.__getitem__, x)) for x in split]
 
     def decode(self, ids: bytes) -> str:
         """The tokens of packed ids, joined by spaces (the vocabulary has no decoder of its own)."""
