@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import bpe, chat, html, quality, sharding, toxicity, urls
+from cytoframe.llm import bpe, chat, decontam, html, neardup, pii, quality, sharding, toxicity, urls
 
 SHARDS = 40
 #: Turns that look like the template's own marks.
@@ -45,6 +45,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.window_digests(chat.format_windows(turns.unionByName(probe)))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.private_spans(_table(spark, sf_dir, "documents")))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
@@ -69,6 +73,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_stats(documents, rules)
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.dedup_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -77,10 +89,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_chat": op2_chat,
+        "op3_pii": op3_pii,
+        "op4_quality_rules": op4_quality_rules,
         "op5_html": op5_html,
         "op6_toxicity": op6_toxicity,
         "op7_urls": op7_urls,
-        "op4_quality_rules": op4_quality_rules,
+        "op8_decontam": op8_decontam,
+        "op9_neardup": op9_neardup,
         "op10_bpe": op10_bpe,
     }
 
