@@ -1,8 +1,10 @@
-"""Session defaults for local runs; on a cluster the caller brings its own session."""
+"""Session defaults for local runs, and the shared folder; on a cluster the caller brings its own session."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +25,11 @@ def local_session(cores: int | None = None, app: str = "cytoframe") -> SparkSess
     )
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str):
-    """One table of a data folder as a DataFrame (only Spark's reader touches the path)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder named in spark.checkpoint.dir; in a temporary one only where the setting is absent (local runs)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = getattr(spark, "_cytoframe_shared", None)
+        if at is None:
+            at = spark._cytoframe_shared = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{at.rstrip('/')}/cytoframe-{name}-{uuid.uuid4().hex}"
