@@ -43,10 +43,13 @@ WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+"
 #: Code points and words on either side that are near an entity.
 NEAR_CHARS = 80
 NEAR_WORDS = 6
-SUPPORT = 3
+#: Different contexts that a term must share with an entity; fewer are no evidence.
+SUPPORT = 5
 DISCLOSED = 0.75
 REVEALED = 0.95
-#: Texts with disclosing terms that are broadcast (under 100 bytes each); more are joined by a shuffle.
+#: One document in so many screens the candidate terms before they are counted in all documents.
+SCREEN = 64
+#: Terms, or texts with disclosing terms, that are broadcast (under 100 bytes each); more are joined by a shuffle.
 BROADCAST_TEXTS = 300_000
 
 
@@ -142,11 +145,19 @@ def disclosing_terms(documents: DataFrame, spans: DataFrame) -> DataFrame:
     pairs = stored(pairs.select("entity", "term", "n_et", "n_e"), "near-pairs")
     if not pairs.limit(1).count():
         return pairs.select("term", F.lit(1.0).alias("disclosed"))
-    wanted = pairs.select("term").distinct()
-    seen = documents.select(F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term")).join(wanted, "term", "left_semi")
-    counts = seen.groupBy("term").agg(F.count("*").alias("n_t"))
+    # common words fall out by what a part of the documents alone shows: no count over all of them is smaller
+    part = _term_counts(documents.where(F.pmod(F.xxhash64("text"), F.lit(SCREEN)) == 0), pairs)
+    pairs = stored(pairs.join(part, "term", "left").where(F.coalesce(_share(n, F.col("n_t")), F.lit(1.0)) >= DISCLOSED).drop("n_t"), "screened-pairs")
     disclosed = F.round(_share(n, F.col("n_t")), 9)
-    return stored(pairs.join(counts, "term").groupBy("term").agg(F.max(disclosed).alias("disclosed")).where(F.col("disclosed") >= DISCLOSED), "disclosing")
+    found = pairs.join(_term_counts(documents, pairs), "term").groupBy("term").agg(F.max(disclosed).alias("disclosed"))
+    return stored(found.where(F.col("disclosed") >= DISCLOSED), "disclosing")
+
+
+def _term_counts(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """term, n_t (documents that hold it) for the terms of pairs."""
+    wanted = _small(pairs.select("term").distinct())
+    words = documents.select(F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term"))
+    return words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
 
 
 def _share(n: int, n_t: Column) -> Column:
@@ -158,7 +169,7 @@ def texts_with(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """key, generalised, removed (patterns of the disclosing terms that the text holds, or null); stored."""
     words = documents.select(text_key(F.col("text")).alias("key"), F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term"))
     removed = F.col("disclosed") >= REVEALED
-    gathered = words.join(terms, "term").groupBy("key").agg(F.array_sort(F.collect_set(F.when(~removed, F.col("term")))).alias("g"), F.array_sort(F.collect_set(F.when(removed, F.col("term")))).alias("r"))
+    gathered = words.join(_small(terms), "term").groupBy("key").agg(F.array_sort(F.collect_set(F.when(~removed, F.col("term")))).alias("g"), F.array_sort(F.collect_set(F.when(removed, F.col("term")))).alias("r"))
     pattern = lambda c: F.when(F.size(c) > 0, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(c, "|"), F.lit(r")(?![\p{L}\p{N}])")))
     return stored(gathered.select("key", pattern("g").alias("generalised"), pattern("r").alias("removed")), "disclosing-texts")
 
