@@ -35,6 +35,26 @@ from cytoframe.llm.common import parts
 #: Unicode White_Space, which the vocabulary's normaliser turns into spaces.
 SPACE = "\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+
+
+# --- fixed values: code points that the pattern library takes for letters or digits and the vocabulary's library doesn't yet ---
+NEWER = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee "
+    "11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda "
+    "18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de "
+    "1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f "
+)
+#: Capitals that the vocabulary's library lowers and Python doesn't yet: single ones, and runs with what is added.
+CAPITALS = "1c89:1c8a a7cb:264 a7cc:a7cd a7ce:a7cf a7d2:a7d3 a7d4:a7d5 a7da:a7db a7dc:19b"
+CAPITAL_RUNS = "10d50-10d65:20 16ea0-16eb8:1b"
+# --- end of fixed values ---
+LOWER = {int(a, 16): int(b, 16) for a, b in (x.split(":") for x in CAPITALS.split())}
+LOWER |= {c: c + int(d, 16) for r, d in (x.split(":") for x in CAPITAL_RUNS.split()) for c in range(int(r[:5], 16), int(r[6:], 16) + 1)}
+_RANGES = "".join("-".join(chr(int(c, 16)) for c in span.split("-")) for span in NEWER.split())
+HAS_NEWER = regex.compile(f"[{_RANGES}{''.join(map(chr, LOWER))}]")
+#: PIECES with those taken for signs.
+OLD_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_RANGES}]]+|[\p{{N}}--[{_RANGES}]]|(?:[^{SPACE}\p{{L}}\p{{N}}]|[{_RANGES}])+", regex.V1)
+
 #: Words whose encodings a task keeps between slices; beyond it starts again.
 MAX_WORDS = 250_000
 #: Token lengths to try where no longer token has a prefix's end.
@@ -107,22 +127,23 @@ class Vocabulary:
             yes = self.pairs[left, right] = self.merged(self.symbols[left] + self.symbols[right]) == [left, right]
         return yes
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str, pattern: regex.Pattern = PIECES) -> list[str]:
         """The words of a text; special tokens come as they are, after a NUL and a mark."""
         if self.special_split and any(s in text for s in self.special):
             out: list[str] = []
             for i, part in enumerate(self.special_split.split(text)):
-                out += ["\0special\0" + part] if i % 2 else self.pieces_plain(part)
+                out += ["\0special\0" + part] if i % 2 else self.pieces_plain(part, pattern)
             return out
-        return self.pieces_plain(text)
+        return self.pieces_plain(text, pattern)
 
     @staticmethod
-    def pieces_plain(text: str) -> list[str]:
+    def pieces_plain(text: str, pattern: regex.Pattern = PIECES) -> list[str]:
         text = unicodedata.normalize("NFC", text)
         if not text.isascii():
             # each code point is lowered alone: no special form of sigma at a word's end
             text = text.replace("Σ", "σ")
-        return PIECES.findall(text.lower())
+        text = text.lower()
+        return pattern.findall(text if pattern is PIECES else text.translate(LOWER))
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Packed ids of words: trie, depth-first last-token states, tokens read back from the leaves."""
@@ -184,6 +205,9 @@ class Vocabulary:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) for t in texts]
         words = set().union(*split)
+        if odd := {w for w in words if not w.isascii() and HAS_NEWER.search(w)}:
+            split = [x if odd.isdisjoint(x) else self.pieces(t, OLD_PIECES) for x, t in zip(split, texts)]
+            words = set().union(*split)
         new = {w for w in words if w not in self.known}
         back = {w: self.older[w] for w in new if w in self.older}
         gc.disable()  # tries are many small dicts without cycles

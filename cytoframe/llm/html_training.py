@@ -18,6 +18,9 @@ PAGES = (
     f'<body><div class="notice" data-main="0">{_LONG}</div><div data-main="1">{_LONG}</div><div data-main="1">{_OTHER}</div><div data-main="1">{_MID}</div><div data-main="0"><a href="/t">Top</a></div><div data-main="0">Page 3</div>',
     f'<p data-main="1">{_OTHER}</p><p data-main="1">{_LONG}</p><p data-main="1">{_MID}</p>',
     f'<div data-main="1">{_LONG}</div>',
+    f'<p data-main="1">{_MID}</p>',
+    '<p data-main="1">A few words stand here.</p>',
+    '<p data-main="1">Rain fell.</p>',
     f'<body><ul><li data-main="0"><a href="/1">Weather</a></li><li data-main="0"><a href="/2">Sport and leisure</a></li></ul><p data-main="1">{_LONG}</p><p data-main="1">{_OTHER}</p><ul><li data-main="0"><a href="/3">Terms</a></li><li data-main="0"><a href="/4">Privacy</a></li></ul>',
     f'<article><h1 data-main="1">One word</h1><p data-main="1">Yes.</p><p data-main="1"><a href="/l">A whole paragraph that is a link</a></p><p data-main="1">No.</p></article><div class="promo" data-main="0"><p data-main="0">{_OTHER}</p></div>',
     f'<article><p data-main="1">{_LONG}</p><ul><li data-main="1">Salt</li><li data-main="1">Flour</li><li data-main="1"><a href="/w">Water</a></li></ul><table><tr><td data-main="1">Name</td><td data-main="1">Weight</td></tr></table></article>',
