@@ -300,11 +300,8 @@ def with_matches(df: DataFrame, items: list[tuple[int, str]], column: str, text:
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_regions, start and end (first and last code point, end exclusive) and least edits; a row for each document and item that match."""
-    docs = documents.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    found = [
-        with_matches(docs, block, "m").select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode("m").alias("m"))
-        for block in _blocks(benchmark)
-    ]
+    docs = documents.select(F.col("doc_id").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").alias("text"))
+    found = [with_matches(docs, block, "m").select("doc_id", "row", F.explode("m").alias("m")) for block in _blocks(benchmark)]
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_regions bigint, start bigint, end bigint, edits bigint")
     rows = reduce(DataFrame.unionByName, found)
