@@ -65,6 +65,15 @@ def theta_corr(theta: Column, sigma: Column) -> Column:
     return theta * erf(theta / (2 * math.sqrt(2) * s)) + math.sqrt(8 / math.pi) * s * F.exp(-theta * theta / (8 * s * s))
 
 
+def theta_inverse(observed: Column, sigma: Column, steps: int = 40) -> Column:
+    """The imbalance whose folded mean is observed, by bisection on [0, 1]; 0 where noise alone explains it."""
+    half = lambda s: (s["low"] + s["high"]) / 2
+    below = lambda s: theta_corr(half(s), sigma) < observed
+    step = lambda s, _: F.struct(F.when(below(s), half(s)).otherwise(s["low"]).alias("low"), F.when(below(s), s["high"]).otherwise(half(s)).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), step, half)
+    return F.when(observed <= theta_corr(F.lit(0.0), sigma), 0.0).otherwise(found)
+
+
 def theta_corr_sql(theta: str, sigma: str) -> str:
     return f"(({theta}) * {erf_sql(f'(({theta}) / (cast({2 * math.sqrt(2)!r} as double) * ({sigma})))')} + cast({math.sqrt(8 / math.pi)!r} as double) * ({sigma}) * exp(-({theta}) * ({theta}) / (8 * ({sigma}) * ({sigma}))))"
 

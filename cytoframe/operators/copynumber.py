@@ -208,6 +208,28 @@ def cell_fraction(af: Column, af_exp: Column, depth: Column) -> tuple[Column, Co
     return ccf, (1 + erf((ccf - 1) / (math.sqrt(2) * F.when(sigma == 0, 1.0).otherwise(sigma)))) / 2
 
 
+def refine_purity(segments: DataFrame, mutations: DataFrame, *, purity: float, ploidy: float, rounds: int = 5) -> float:
+    """Purity from mutations: in each round it is multiplied by the fraction of the largest clonal cluster, up to 1.
+
+    segments: seg_id, cn, theta, theta_sigma, n_snps; mutations: mut_key, seg_id, af_obs, coverage. Only a sample's
+    histogram and its few clusters meet in one place.
+    """
+    from cytoframe.operators import clustering as K
+
+    for _ in range(rounds):
+        states = allele_states(segments.withColumn("purity", F.lit(purity)).withColumn("scale", F.lit(ploidy / (2 * purity))), ["seg_id"]).where("a >= 0")
+        known = mutations.join(states.select("seg_id", "icn", "a"), "seg_id").withColumn("af_exp", expected_af(F.col("af_obs"), F.lit(purity), F.col("icn"), F.col("a")))
+        rows = K.with_fraction(known.where("af_exp is not null")).withColumn("sample_no", F.lit(0))
+        quiet = K.quiet(rows, ["sample_no"])
+        clusters = K.find_clusters(K.fraction_histogram(quiet, ["sample_no"]), K.noise_level(rows, ["sample_no"]), "sample_no")
+        assigned = K.assign_clusters(rows, clusters, ["mut_key"], "sample_no").groupBy("cluster_id").agg(F.count("*").alias("n"))
+        best = K.largest_clonal(assigned.join(clusters, "cluster_id"), "sample_no").first()
+        if best is None:
+            raise ValueError("no mutation lies on a segment with known alleles")
+        purity = min(1.0, purity * best.ccf)
+    return purity
+
+
 def ploidy_summary(segments: DataFrame) -> DataFrame:
     """One row: length-weighted copies and share of the genome that is subclonal; segments without copies are left out."""
     known = segments.where("icn >= 0").withColumn("length", (F.col("s_end") - F.col("s_start")).cast("double"))

@@ -121,3 +121,21 @@ def call_annotations(bases: DataFrame, by: list[str], *, least_quality: int = 13
         for column in ("quality", "mapq", "far"):
             out += [F.sum(F.when(test, F.col(column)).otherwise(0)).alias(f"{name}_{column}"), F.sum(F.when(test, F.col(column) * F.col(column)).otherwise(0)).alias(f"{name}_{column}_squared")]
     return usable.groupBy(*by).agg(*out)
+
+
+def edit_distances(places: DataFrame, by: list[str], inserted: DataFrame | None = None) -> DataFrame:
+    """by, nm (mismatches and deleted bases, and inserted ones if given as by, n) and md (the mismatch string) of each read.
+
+    places: as ``expand_reads`` gives them, with base and ref; clipped and skipped places don't count.
+    """
+    rows = places.where(F.col("op").isin("M", "D"))
+    cell = F.struct("ref_pos", F.when(F.col("op") == "D", "D").when(F.col("base") == F.col("ref"), "=").otherwise("X").alias("kind"), F.col("ref").alias("ref"))
+    text = lambda run, s, x: F.when(x["kind"] == "=", s).when((x["kind"] == "D") & (run < 0), F.concat(s, x["ref"])).when(x["kind"] == "D", F.concat(s, run.cast("string"), F.lit("^"), x["ref"])).otherwise(F.concat(s, F.greatest(run, F.lit(0)).cast("string"), x["ref"]))
+    # run: matches since the last letter, -1 within a deletion
+    run = lambda n, x: F.when(x["kind"] == "=", F.greatest(n, F.lit(0)) + 1).when(x["kind"] == "D", -1).otherwise(0)
+    begin = F.struct(F.lit(0).alias("n"), F.lit("").alias("s"))
+    md = F.aggregate(F.array_sort(F.collect_list(cell)), begin, lambda a, x: F.struct(run(a["n"], x).alias("n"), text(a["n"], a["s"], x).alias("s")), lambda a: F.concat(a["s"], F.greatest(a["n"], F.lit(0)).cast("string")))
+    out = rows.groupBy(*by).agg(F.count_if((F.col("op") == "D") | (F.col("base") != F.col("ref"))).alias("nm"), md.alias("md"))
+    if inserted is None:
+        return out
+    return out.join(inserted.withColumnRenamed("n", "_n"), by, "left").withColumn("nm", F.col("nm") + F.coalesce("_n", F.lit(0))).drop("_n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cytoframe.functions import columns as C
 from cytoframe.operators import calling as V
 from cytoframe.operators import intervals, pileup
-from cytoframe.plans.adapters import TIES, mutations, partitions, reads, snps, with_views
+from cytoframe.plans.adapters import TIES, bases, mutations, partitions, reads, snps, with_views
 
 
 def ranked_alleles(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +100,26 @@ def neighbour_sites(spark: SparkSession, d: str) -> DataFrame:
 
 NEIGHBOUR_SITES = with_views("mutations") + " select mut_key, tid * 1000 + (pos - 1) // 1000 as part_no from mutations where mut_key % 5 = 0"
 
+def edit_distances(spark: SparkSession, d: str) -> DataFrame:
+    inserted = reads(spark, d).withColumn("n", F.when(F.col("l_linenumber") % 5 == 3, 3).otherwise(0)).select(*TIES, "n").distinct()
+    return pileup.edit_distances(bases(spark, d), TIES, inserted).groupBy("nm").agg(F.count("*").alias("n"))
+
+
+EDIT_DISTANCES = with_views("bases") + " select nm, count(*) as n from (select count(*) filter (op = 'D' or base <> ref) + max(case when pattern = 3 then 3 else 0 end) as nm from bases where op in ('M', 'D') group by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) group by nm"
+
+
+def theta_inverse(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of an imbalance from what its folded mean leads back to; 0 where it stands out from the noise."""
+    rows = snps(spark, d).select("tid", "pos", ((F.col("t_a") + 12) / 60.0).alias("theta"))
+    back = C.theta_inverse(C.theta_corr(F.col("theta"), F.lit(0.05)), F.lit(0.05))
+    return rows.select("tid", "pos", (F.abs(back - F.col("theta")) < 1e-6).alias("same"))
+
+
+THETA_INVERSE = with_views("snps") + " select tid, pos, true as same from snps"
+
 QUERIES = {
+    "v13_edit_distances": (edit_distances, EDIT_DISTANCES),
+    "x14_theta_inverse": (theta_inverse, THETA_INVERSE),
     "a30_ranked_alleles": (ranked_alleles, RANKED_ALLELES),
     "v6_likelihoods": (likelihoods, LIKELIHOODS),
     "o5_best_candidates": (best_candidates, BEST_CANDIDATES),
