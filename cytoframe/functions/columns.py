@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,12 +67,25 @@ def theta_corr(theta: Column, sigma: Column) -> Column:
 
 
 def theta_inverse(observed: Column, sigma: Column, steps: int = 40) -> Column:
-    """The imbalance whose folded mean is observed, by bisection on [0, 1]; 0 where noise alone explains it."""
-    half = lambda s: (s["low"] + s["high"]) / 2
-    below = lambda s: theta_corr(half(s), sigma) < observed
-    step = lambda s, _: F.struct(F.when(below(s), half(s)).otherwise(s["low"]).alias("low"), F.when(below(s), s["high"]).otherwise(half(s)).alias("high"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), step, half)
-    return F.when(observed <= theta_corr(F.lit(0.0), sigma), 0.0).otherwise(found)
+    """The imbalance whose folded mean is observed, by bisection on [0, 1]; 0 where noise alone explains it. Nulls give nulls."""
+    def run(y: pd.Series, noise: pd.Series) -> pd.Series:
+        y, s = y.to_numpy(float), np.where(noise == 0, 1e-12, noise.to_numpy(float))
+        node, weight = np.polynomial.legendre.leggauss(24)
+
+        def folded(theta: np.ndarray) -> np.ndarray:
+            half = np.minimum(theta / (2 * math.sqrt(2) * s), 6) / 2
+            erf_ = 2 / math.sqrt(math.pi) * half * (np.exp(-((half[:, None] * (1 + node)) ** 2)) @ weight)
+            return theta * erf_ + math.sqrt(8 / math.pi) * s * np.exp(-theta * theta / (8 * s * s))
+
+        low, high = np.zeros(len(y)), np.ones(len(y))
+        for _ in range(steps):
+            half = (low + high) / 2
+            below = folded(half) < y
+            low, high = np.where(below, half, low), np.where(below, high, half)
+        out = np.where(y <= folded(np.zeros(len(y))), 0.0, (low + high) / 2)
+        return pd.Series(np.where(np.isnan(y) | np.isnan(s), np.nan, out)).astype("Float64").where(~(np.isnan(y) | np.isnan(s)))
+
+    return F.pandas_udf(run, "double")(observed.cast("double"), sigma.cast("double"))
 
 
 def theta_corr_sql(theta: str, sigma: str) -> str:

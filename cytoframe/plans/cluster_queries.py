@@ -84,6 +84,13 @@ def largest_clonal(spark: SparkSession, d: str) -> DataFrame:
     return K.largest_clonal(sizes.join(peaks, "cluster_id"), "sample_no")
 
 
+LARGEST_CLONAL = ASSIGNMENT.replace(
+    "select mut_key, cluster_id, round(w / t, 6) as cluster_prob, round(w0 / t, 6) as p0 from s where k = 1",
+    """, z as (select sample_no, cluster_id, count(*) as n from s join m using (mut_key) where k = 1 group by all), y as (select *, sum(n) over (partition by sample_no) as total from z)
+ select sample_no, max(peak) as ccf from y join c using (cluster_id) where n > cast(0.05 as double) * total group by sample_no""",
+)
+
+
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = _mutations(spark, d)
     hist = K.fraction_histogram(K.quiet(rows, ["sample_no"]), ["sample_no"], 100)
@@ -95,6 +102,6 @@ QUERIES = {
     "a19_histogram": (histogram, HISTOGRAM),
     "k6_assignment": (assignment, ASSIGNMENT),
     "a21_cluster_sizes": (cluster_sizes, CLUSTER_SIZES),
-    "a22_largest_clonal": (largest_clonal, None),
+    "a22_largest_clonal": (largest_clonal, LARGEST_CLONAL),
     "k2_clusters": (clusters, None),
 }
