@@ -122,7 +122,7 @@ class Vocabulary:
     def follows(self, left: int, right: int) -> bool:
         """Whether right may stand after left."""
         if (yes := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             yes = self.pairs[left, right] = self.merged(self.symbols[left] + self.symbols[right]) == [left, right]
         return yes

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Code points of text that a Python worker turns into objects at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
