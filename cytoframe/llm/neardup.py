@@ -10,9 +10,11 @@ Equal texts are one text throughout, so a third of all rows may be copies of one
 form a bucket. Each bucket links every text to one hub, never all pairs: the text that shares buckets with the most
 others. Pairs with at least SHARED sketch values in common are verified by alignment. Then rounds link classes that are
 still apart: in each bucket the texts outside its largest class are held against several of that class and of others,
-and, with the bucket ordered by further sketch values, against their neighbours; other choices in each round, until a
-round finds nothing new. Classes are connected components, found by large-star and small-star steps over tables in the
-shared folder; after the first round over classes only.
+and, with the bucket ordered by further sketch values, against their neighbours; other choices in each round. Hubs and
+rounds only make classes few. Whatever is still apart is settled exactly: two texts at the threshold share one of the
+rarest fifth of their labelled shingles, so all pairs of different classes that do are verified, but for those
+that the places of that shingle rule out. Rounds go on while they lessen those pairs. Classes are connected components,
+found by large-star and small-star steps over tables in the shared folder; after the first round over classes only.
 
 Defined results: null texts count as empty, and all empty texts are equal; a text of fewer than five words is one
 shingle; repeated rows are copies of each other; rows without an id take part and may be a class of their own if no copy
@@ -43,6 +45,12 @@ SHARED = 2
 LARGEST, HUBS, OTHERS = 4, 2, 1
 #: Further sketch values that a bucket is ordered by.
 DEPTH = 4
+#: Rounds end where no more than so many pairs a text, counted once for each rare shingle they share, are left to settle.
+EASY = 1_000
+#: Texts of a rare shingle that meet in one task.
+SALTED = 500
+#: Slots that shingles are counted in, to order them by rarity.
+SLOTS = 1 << 22
 #: Nodes of candidate pairs that are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 
@@ -247,6 +255,69 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, threshold: float = THRESH
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def shingle_ranks(texts: DataFrame) -> np.ndarray:
+    """Rarity of each of SLOTS slots of shingles: eighths of the binary logarithm of how often its shingles occur. texts: key, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, some in parts(batches, "text"):
+            slots, n = np.unique((_shingle_hashes(some)[0] & np.uint64(SLOTS - 1)).astype(np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+    often = texts.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    found = often.select("slot", F.least(F.round(F.log2("n") * 8), F.lit(255)).cast("int").alias("rank")).toArrow()
+    ranks = np.zeros(SLOTS, np.uint8)
+    ranks[found.column("slot").to_numpy()] = found.column("rank").to_numpy()
+    return ranks
+
+
+def rare_shingles(texts: DataFrame) -> DataFrame:
+    """token, key, place (from 1), size for the rarest shingles of each text, those that several texts have. texts: key, text.
+
+    All texts order shingles alike, by rarity and hash. Of size shingles a partner has THRESHOLD of them at least, so the first
+    that both have is among as many as may be missing and one more.
+    """
+    ranks = shingle_ranks(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, some in parts(batches, "text"):
+            h, counts = _shingle_hashes(some)
+            doc = np.repeat(np.arange(len(some)), counts)
+            order = np.lexsort((h, ranks[h & np.uint64(SLOTS - 1)], doc))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+            first = place <= (counts - np.ceil(THRESHOLD * counts - 1e-9) + 1)[doc]
+            size = counts[doc][first].astype(np.int32)
+            tokens = h[order][first].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), batch.column("key").take(pa.array(doc[first])), pa.array(place[first].astype(np.int32)), pa.array(size)], names=["token", "key", "place", "size"])
+
+    rows = stored(texts.select("key", "text").mapInArrow(run, "token bigint, key binary, place int, size int"), "shingles")
+    several = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    return stored(rows.join(several, "token"), "rare-shingles")
+
+
+def apart_shingles(rare: DataFrame, roots: DataFrame) -> DataFrame:
+    """token, n (its texts), apart (pairs of them in different classes) of the rare shingles that several classes have."""
+    each = rare.join(roots, "key").groupBy("token", "root").agg(F.count("*").alias("n"))
+    both = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("classes"))
+    return both.where("classes > 1").select("token", "n", ((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2).alias("apart"))
+
+
+def settling_pairs(rare: DataFrame, roots: DataFrame, apart: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: every pair of texts in different classes that may be similar enough.
+
+    The first shingle that two texts share leaves at most the later ones to be shared, which must be enough. A shingle of many texts
+    is dealt to tasks by salts.
+    """
+    rows = rare.join(apart.select("token", F.ceil(F.col("n") / SALTED).cast("int").alias("salts")), "token").join(roots, "key")
+    left = rows.select("token", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), F.struct("key", "root", "place", "size").alias("x"))
+    right = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.struct("key", "root", "place", "size").alias("y"))
+    most = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    enough = most >= (F.col("x.size") + F.col("y.size")) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6
+    near = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * THRESHOLD - 1e-6
+    same = (left["token"] == right["token"]) & (left["salt"] == right["salt"])
+    met = left.join(right, same & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near & enough)
+    return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """key, root (least key of the component) for every key in pairs; large-star and small-star until every component is a star."""
     edges = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
@@ -277,18 +348,24 @@ def linked_texts(documents: DataFrame, texts: DataFrame) -> DataFrame:
     tested = stored(hub_pairs(members), "pairs")
     roots = components(verified_pairs(likely_pairs(tested, values), whole))
     roots = stored(keys.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root")), "roots")
-    number = 1
+    rare, texts_apart = rare_shingles(whole), keys.count()
+    number, before = 1, float("inf")
     while True:
-        both = _ordered(class_pairs(members, roots, number).unionByName(neighbour_pairs(values, roots, number)))
+        apart = stored(apart_shingles(rare, roots), "apart")
+        left = apart.agg(F.sum("apart")).first()[0] or 0
+        last = left <= EASY * texts_apart or left > 0.9 * before
+        both = settling_pairs(rare, roots, apart) if last else _ordered(class_pairs(members, roots, number).unionByName(neighbour_pairs(values, roots, number)))
         fresh = stored(both.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(fresh)
-        found = verified_pairs(likely_pairs(fresh, values), whole).join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b")
+        likely = fresh if last else likely_pairs(fresh, values)
+        found = verified_pairs(likely, whole).join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b")
         found = stored(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
-        if not found.limit(1).count():
+        if found.limit(1).count():
+            moved = components(found).toDF("root", "moved")
+            roots = stored(roots.join(moved, "root", "left").select("key", F.coalesce("moved", "root").alias("root")), "roots")
+        if last:
             return roots
-        moved = components(found).toDF("root", "moved")
-        roots = stored(roots.join(moved, "root", "left").select("key", F.coalesce("moved", "root").alias("root")), "roots")
-        number += 1
+        number, before = number + 1, left
 
 
 def near_classes(documents: DataFrame) -> DataFrame:

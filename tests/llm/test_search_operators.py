@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cytoframe.llm import decontam, neardup, queries, toxicity
@@ -92,6 +93,17 @@ def test_classes_match_brute_force(spark, near_rows):
     assert len(ids) == len(set(ids)) and set(ids) == set(got.values())
 
 
+def test_classes_do_not_hang_on_hubs_and_draws(spark, near_rows, monkeypatch):
+    rows = [r for r in near_rows if r[0] is None or r[0] < 500]
+    want = brute_classes(rows)
+    nothing = lambda at: lambda *tables: tables[at].select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    for name in ("hub_pairs", "class_pairs", "neighbour_pairs"):
+        monkeypatch.setattr(neardup, name, nothing(0))
+    monkeypatch.setattr(neardup, "SALTED", 7)
+    got = {r.doc_id: r.class_id for r in neardup.dedup_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert neardup.dedup_documents(docs).count() == 0 and neardup.keep_one(docs).count() == 0
