@@ -1,9 +1,12 @@
 """Operators without SQL: mismatch strings, purity from mutations."""
 
+import math
+
 import numpy as np
 import pytest
 
 from cytoframe.operators import copynumber, pileup
+from cytoframe.plans import catalogue, model_queries
 
 
 def test_mismatch_strings(spark):
@@ -23,3 +26,41 @@ def test_purity_from_mutations(spark):
     af = rng.binomial(200, 0.3, 400) / 200.0  # one copy of two in 0.6 of the cells
     mutations = spark.createDataFrame([(k, k % 4, float(a), 200) for k, a in enumerate(af)], "mut_key bigint, seg_id bigint, af_obs double, coverage bigint")
     assert copynumber.refine_purity(segments, mutations, purity=0.8, ploidy=2.0, rounds=3) == pytest.approx(0.6, abs=0.06)
+
+
+def brute_fit(segments, purity, ploidy):
+    """l_bi and l_cn of one point of the grid, pair by pair of alleles."""
+    l_bi = l_cn = 0.0
+    for cn, theta, s in segments:
+        scale = ploidy / (2 * purity)
+        icn = int((cn - 2 * (1 - purity)) * scale + 0.5)
+        icn = 49 if icn > 50 else max(icn, 0)
+        error = math.inf
+        for b in range(icn // 2 + 1):
+            x = purity * (icn - 2 * b) / (2 + purity * (icn - 2))
+            error = min(error, abs(theta - x * math.erf(x / (2 * math.sqrt(2) * s)) - math.sqrt(8 / math.pi) * s * math.exp(-x * x / (8 * s * s))))
+        l_bi += error**2 / (2 * s * s)
+        l_cn += (cn - icn / scale - 2 * (1 - purity)) ** 2 / (2 * s * s)
+    return l_bi, l_cn
+
+
+def test_fit_and_profile_on_the_whole_grid(spark, monkeypatch):
+    few = [(2.0, 0.05, 0.02), (2.7, 0.3, 0.03), (1.3, 0.62, 0.02), (3.4, 0.21, 0.04)]
+    rows = spark.createDataFrame([(k, 1e5, *x, 9) for k, x in enumerate(few)], "seg_id bigint, length double, cn double, theta double, theta_sigma double, n_snps bigint")
+    monkeypatch.setattr(model_queries, "_segments", lambda spark, d: rows)
+    run = lambda name: catalogue.QUERIES[name][0](spark, "").collect()
+    got = {(r.purity, r.ploidy): (r.l_bi, r.l_cn) for r in run("m6_fine_grid")}
+    assert len(got) == 80 * 301
+    want = {x: brute_fit(few, *x) for x in got}
+    assert all(got[x] == pytest.approx(want[x], rel=1e-5, abs=1e-5) for x in got)
+
+    def best(purities, ploidies):
+        return {q: min(purities, key=lambda p: (round(brute_fit(few, p, q)[0], 6), p)) for q in ploidies}
+
+    purities = sorted({p for p, _ in got})
+    per = best(purities, sorted({q for _, q in got}))
+    q = min(per, key=lambda q: (round(want[per[q], q][1], 6), q))
+    assert [(r.purity, r.ploidy) for r in run("m6_fine_fit")] == [(per[q], q)]
+    profile = {r.ploidy: r.purity for r in run("m7_fine_profile")}
+    assert len(profile) == 81 and min(profile) == 1.0 and max(profile) == pytest.approx(5.0)
+    assert profile == best(purities, profile)
