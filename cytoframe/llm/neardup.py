@@ -24,6 +24,7 @@ has an id; an empty table gives an empty table; other columns are ignored (``kee
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
@@ -49,6 +50,8 @@ DEPTH = 4
 EASY = 1_000
 #: Texts of a rare shingle that meet in one task.
 SALTED = 500
+#: 64-bit words of the bitmap of a text's shingles.
+SIGNATURE = 8
 #: Slots that shingles are counted in, to order them by rarity.
 SLOTS = 1 << 22
 #: Nodes of candidate pairs that are broadcast to pick their texts; more are joined by a shuffle.
@@ -116,7 +119,8 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOL
     """Matches over all shingles of the best alignment of two sequences, or 0 where it can't reach the threshold.
 
     If it can, the alignment has at most (len(a) + len(b)) * (1 - t) / (1 + t) gaps, so no match lies further off
-    the main diagonals: matches outside that band are masked. Bit vectors hold a row of the dynamic program.
+    the main diagonals: only matches within that band are aligned, by the longest chain that rises in both sequences.
+    Labelled shingles are distinct within a text, so a band holds at most one match for each of them.
     """
     n, m = len(a), len(b)
     if not n or not m:
@@ -124,19 +128,24 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOL
     if min(n, m) < threshold * max(n, m) - 1e-9:
         return 0.0
     width = int((n + m) * (1 - threshold) / (1 + threshold)) + 1
-    positions: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        positions[x] = positions.get(x, 0) | 1 << i
-    full = (1 << n) - 1
-    band = (1 << 2 * width + 1) - 1
-    v = full
-    for j, x in enumerate(b.tolist()):
-        match = positions.get(x, 0)
-        if match:
-            match &= band << j - width if j >= width else band >> width - j
-            u = v & match
-            v = ((v + u) | (v - u)) & full
-    common = n - v.bit_count()
+    order = np.argsort(a, kind="stable")
+    from_, to = np.searchsorted(a, b, "left", order), np.searchsorted(a, b, "right", order)
+    times = to - from_
+    j = np.repeat(np.arange(m), times)
+    # places of a shingle from the last to the first, so that no chain takes two of them at one place of b
+    i = order[np.repeat(to, times) - 1 - (np.arange(len(j)) - np.repeat(np.cumsum(times) - times, times))]
+    inside = np.abs(i - j) <= width
+    i, j = i[inside], j[inside]
+    if len(i) < threshold / (1 + threshold) * (n + m) - 1e-9:
+        return 0.0
+    if (i[1:] > i[:-1]).all():
+        common = len(i)
+    else:
+        ends: list[int] = []  # least last place of a chain of each length
+        for x in i.tolist():
+            at = bisect_left(ends, x)
+            ends[at : at + 1] = [x]
+        common = len(ends)
     return common / (n + m - common)
 
 
@@ -228,59 +237,73 @@ def likely_pairs(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return both.where(F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda same: same)) >= SHARED).select("a", "b")
 
 
-def _texts_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, text of the nodes, one row each."""
+def _sequences_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, seq (labelled shingle hashes in text order), sig (a bitmap of SIGNATURE words of 64 bits) of the nodes, one row each."""
     rows = documents.select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    picked = rows.join(F.broadcast(nodes) if few else nodes, "key", "left_semi")
-    return picked.groupBy("key").agg(F.first("text").alias("text"))
+    picked = rows.join(F.broadcast(nodes) if few else nodes, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, some in parts(batches, "text"):
+            h, counts = _shingle_hashes(some)
+            bits = np.zeros((len(some), 64 * SIGNATURE), bool)
+            bits[np.repeat(np.arange(len(some)), counts), (h >> np.uint64(32)) % np.uint64(64 * SIGNATURE)] = True
+            words = np.packbits(bits, axis=1).view(np.int64)
+            ends = np.cumsum(counts)
+            seq = [h[e - n : e].tobytes() for e, n in zip(ends, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(seq, pa.binary()), pa.array(list(words), pa.list_(pa.int64()))], names=["key", "seq", "sig"])
 
+    return picked.mapInArrow(run, "key binary, seq binary, sig array<bigint>")
 
-def verified_pairs(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough by banded alignment. texts: key, text."""
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+
+def _sequences(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.RecordBatch, list[list[np.ndarray]]]]:
+    """Slices of the batches with the sequences in the named columns, without a copy of them."""
+    for batch in batches:
+        step = max(1, min(batch.num_rows, 2_000))
+        for at in range(0, batch.num_rows, step):
+            some = batch.slice(at, step)
+            yield some, [[np.frombuffer(x.as_buffer(), np.uint64) for x in some.column(c)] for c in names]
+
+
+def verified_pairs(pairs: DataFrame, sequences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose sequences are similar enough by banded alignment. sequences: key, seq."""
+    seqs = sequences.select("key", "seq")
+    both = pairs.join(seqs.toDF("b", "seq_b"), "b").join(seqs.toDF("a", "seq_a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                left, right = some.column("text_a").to_pylist(), some.column("text_b").to_pylist()
-                distinct = {t: i for i, t in enumerate(dict.fromkeys(chain(left, right)))}
-                h, counts = _shingle_hashes(list(distinct))
-                ends = np.cumsum(counts)
-                seq = [h[e - n : e] for e, n in zip(ends, counts)]
-                good = [aligned_similarity(seq[distinct[x]], seq[distinct[y]], threshold) >= threshold - 1e-12 for x, y in zip(left, right)]
-                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], names=["a", "b"]).filter(pa.array(good))
+        for some, (left, right) in _sequences(batches, ["seq_a", "seq_b"]):
+            good = [aligned_similarity(x, y, threshold) >= threshold - 1e-12 for x, y in zip(left, right)]
+            yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "seq_a", "seq_b").mapInArrow(run, "a binary, b binary")
 
 
-def shingle_ranks(texts: DataFrame) -> np.ndarray:
-    """Rarity of each of SLOTS slots of shingles: eighths of the binary logarithm of how often its shingles occur. texts: key, text."""
+def shingle_ranks(sequences: DataFrame) -> np.ndarray:
+    """Rarity of each of SLOTS slots of shingles: eighths of the binary logarithm of how often its shingles occur. sequences: key, seq."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, some in parts(batches, "text"):
-            slots, n = np.unique((_shingle_hashes(some)[0] & np.uint64(SLOTS - 1)).astype(np.int32), return_counts=True)
+        for _, (some,) in _sequences(batches, ["seq"]):
+            slots, n = np.unique((np.concatenate(some) & np.uint64(SLOTS - 1)).astype(np.int32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
-    often = texts.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    often = sequences.select("seq").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
     found = often.select("slot", F.least(F.round(F.log2("n") * 8), F.lit(255)).cast("int").alias("rank")).toArrow()
     ranks = np.zeros(SLOTS, np.uint8)
     ranks[found.column("slot").to_numpy()] = found.column("rank").to_numpy()
     return ranks
 
 
-def rare_shingles(texts: DataFrame) -> DataFrame:
-    """token, key, place (from 1), size for the rarest shingles of each text, those that several texts have. texts: key, text.
+def rare_shingles(sequences: DataFrame) -> DataFrame:
+    """token, key, place (from 1), size for the rarest shingles of each text, those that several texts have. sequences: key, seq.
 
     All texts order shingles alike, by rarity and hash. Of size shingles a partner has THRESHOLD of them at least, so the first
     that both have is among as many as may be missing and one more.
     """
-    ranks = shingle_ranks(texts)
+    ranks = shingle_ranks(sequences)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, some in parts(batches, "text"):
-            h, counts = _shingle_hashes(some)
+        for batch, (some,) in _sequences(batches, ["seq"]):
+            h, counts = np.concatenate(some), np.fromiter(map(len, some), np.int64, len(some))
             doc = np.repeat(np.arange(len(some)), counts)
             order = np.lexsort((h, ranks[h & np.uint64(SLOTS - 1)], doc))
             place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
@@ -289,7 +312,7 @@ def rare_shingles(texts: DataFrame) -> DataFrame:
             tokens = h[order][first].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(tokens), batch.column("key").take(pa.array(doc[first])), pa.array(place[first].astype(np.int32)), pa.array(size)], names=["token", "key", "place", "size"])
 
-    rows = stored(texts.select("key", "text").mapInArrow(run, "token bigint, key binary, place int, size int"), "shingles")
+    rows = stored(sequences.select("key", "seq").mapInArrow(run, "token bigint, key binary, place int, size int"), "shingles")
     several = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     return stored(rows.join(several, "token"), "rare-shingles")
 
@@ -301,20 +324,23 @@ def apart_shingles(rare: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where("classes > 1").select("token", "n", ((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2).alias("apart"))
 
 
-def settling_pairs(rare: DataFrame, roots: DataFrame, apart: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: every pair of texts in different classes that may be similar enough.
+def settling_pairs(rare: DataFrame, roots: DataFrame, apart: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: every pair of texts in different classes that may be similar enough. sequences: key, sig.
 
-    The first shingle that two texts share leaves at most the later ones to be shared, which must be enough. A shingle of many texts
-    is dealt to tasks by salts.
+    The first shingle that two texts share leaves at most the later ones to be shared, which must be enough; and each bit that
+    one bitmap has and the other hasn't stands for a shingle that isn't shared, at least. Both bounds lose no pair. A shingle of many
+    texts is dealt to tasks by salts.
     """
-    rows = rare.join(apart.select("token", F.ceil(F.col("n") / SALTED).cast("int").alias("salts")), "token").join(roots, "key")
-    left = rows.select("token", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), F.struct("key", "root", "place", "size").alias("x"))
-    right = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.struct("key", "root", "place", "size").alias("y"))
+    rows = rare.join(apart.select("token", F.ceil(F.col("n") / SALTED).cast("int").alias("salts")), "token").join(roots, "key").join(sequences.select("key", "sig"), "key")
+    text = F.struct("key", "root", "place", "size", "sig")
+    left = rows.select("token", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), text.alias("x"))
+    right = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), text.alias("y"))
+    least = (F.col("x.size") + F.col("y.size")) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6
     most = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    enough = most >= (F.col("x.size") + F.col("y.size")) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6
     near = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * THRESHOLD - 1e-6
+    own = lambda x, y: F.col(f"{x}.size") - sum(F.bit_count(F.get(f"{x}.sig", k).bitwiseAND(F.bitwise_not(F.get(f"{y}.sig", k)))) for k in range(SIGNATURE))
     same = (left["token"] == right["token"]) & (left["salt"] == right["salt"])
-    met = left.join(right, same & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near & enough)
+    met = left.join(right, same & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near & (most >= least) & (own("x", "y") >= least) & (own("y", "x") >= least))
     return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
@@ -344,7 +370,7 @@ def linked_texts(documents: DataFrame, texts: DataFrame) -> DataFrame:
     keys = members.select("key").distinct()
     values = stored(texts.join(keys, "key", "left_semi"), "sketches")
     keys = values.select("key")
-    whole = stored(_texts_of(documents, keys), "candidate-texts")
+    whole = stored(_sequences_of(documents, keys), "sequences")
     tested = stored(hub_pairs(members), "pairs")
     roots = components(verified_pairs(likely_pairs(tested, values), whole))
     roots = stored(keys.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root")), "roots")
@@ -354,7 +380,7 @@ def linked_texts(documents: DataFrame, texts: DataFrame) -> DataFrame:
         apart = stored(apart_shingles(rare, roots), "apart")
         left = apart.agg(F.sum("apart")).first()[0] or 0
         last = left <= EASY * texts_apart or left > 0.9 * before
-        both = settling_pairs(rare, roots, apart) if last else _ordered(class_pairs(members, roots, number).unionByName(neighbour_pairs(values, roots, number)))
+        both = settling_pairs(rare, roots, apart, whole) if last else _ordered(class_pairs(members, roots, number).unionByName(neighbour_pairs(values, roots, number)))
         fresh = stored(both.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(fresh)
         likely = fresh if last else likely_pairs(fresh, values)
@@ -379,19 +405,29 @@ def near_classes(documents: DataFrame) -> DataFrame:
 
 
 def dedup_documents(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id (least id of its near-duplicates), kept (one row of each class) for each row."""
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("key"))
-    classes = near_classes(documents).select("key", "class_id")
-    return rows.join(classes, "key").select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    """doc_id, class_id (least id of its near-duplicates), kept (one row of each class, as ``keep_one`` chooses) for each row.
+
+    Rows that repeat an id and a text can't be told apart, so they are counted before the join and dealt out again after it.
+    """
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("key")).groupBy("key", "doc_id").agg(F.count("*").cast("int").alias("times"))
+    classes = near_classes(documents)
+    chosen = chosen_texts(classes).select(F.col("key").alias("chosen_key"), F.col("id").alias("chosen_id"))
+    picked = classes.select("key", "class_id").join(chosen, F.col("key") == F.col("chosen_key"), "left")
+    one = F.col("chosen_key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("chosen_id"))
+    each = rows.join(picked, "key").select("doc_id", "class_id", one.alias("one"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("number"))
+    return each.select("doc_id", "class_id", (F.col("one") & (F.col("number") == 1)).alias("kept"))
+
+
+def chosen_texts(classes: DataFrame) -> DataFrame:
+    """key, id of the row that each class keeps: that of the class's least id, else (no row of it has one) of its root text."""
+    chosen = classes.where(F.col("first_id") == F.col("class_id")).unionByName(classes.where(F.col("class_id").isNull() & (F.col("key") == F.col("root"))))
+    return chosen.groupBy("root").agg(F.min("key").alias("key"), F.first("class_id").alias("id")).select("key", "id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each class, that with the least id, with all columns of documents."""
     names = documents.columns
-    classes = near_classes(documents)
-    # the class's least id, else (no row of it has one) its root text
-    chosen = classes.where(F.col("first_id") == F.col("class_id")).unionByName(classes.where(F.col("class_id").isNull() & (F.col("key") == F.col("root"))))
-    chosen = chosen.groupBy("root").agg(F.min("key").alias("key"), F.first("class_id").alias("id")).select("key", "id")
+    chosen = chosen_texts(near_classes(documents))
     rows = documents.toDF(*[f"c{i}" for i in range(len(names))])
     text, doc_id = F.col(f"c{names.index('text')}"), F.col(f"c{names.index('doc_id')}")
     few = chosen.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES

@@ -1,5 +1,6 @@
 """Decontamination, near-duplicates, toxicity and the pipeline: against brute force, planted cases and odd inputs."""
 
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -109,6 +110,21 @@ def test_near_duplicates_of_nothing(spark):
     assert neardup.dedup_documents(docs).count() == 0 and neardup.keep_one(docs).count() == 0
     alone = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "c d")], "doc_id bigint, text string")
     assert neardup.dedup_documents(alone).count() == 3 and neardup.keep_one(alone).count() == 2
+    # rows that repeat an id and a text, or have no id: one of them is kept
+    again = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a b"), (None, "c d"), (None, "c d")], "doc_id bigint, text string")
+    rows = neardup.dedup_documents(again).collect()
+    assert sorted((r.class_id or 0, r.kept) for r in rows) == [(0, False), (0, True), (1, False), (1, False), (1, True)]
+
+
+def test_alignment_of_long_texts_is_quick():
+    rng = np.random.default_rng(6)
+    a = rng.permutation(200_000).astype(np.uint64)
+    b = a.copy()
+    b[1_000:150_000:10] += np.uint64(1 << 40)
+    b[170_000:180_000] = b[170_000:180_000][::-1]
+    began = time.process_time()
+    assert neardup.aligned_similarity(a, b) == pytest.approx((200_000 - 14_900 - 9_999) / (200_000 + 14_900 + 9_999))
+    assert time.process_time() - began < 5
 
 
 def test_banded_alignment_is_the_full_one():
