@@ -26,13 +26,14 @@ def with_fraction(mutations: DataFrame) -> DataFrame:
 
 
 def noise_level(mutations: DataFrame, by: list[str]) -> DataFrame:
-    """by, mean, population deviation and median of sd."""
-    return mutations.groupBy(*by).agg(F.avg("sd").alias("sd_mean"), F.stddev_pop("sd").alias("sd_pop"), F.median("sd").alias("sd_median"))
+    """by, mean, population deviation and median of sd over mutations whose fraction the histogram covers."""
+    inside = mutations.where((F.col("ccf") >= 0) & (F.col("ccf") < TOP))
+    return inside.groupBy(*by).agg(F.avg("sd").alias("sd_mean"), F.stddev_pop("sd").alias("sd_pop"), F.median("sd").alias("sd_median"))
 
 
 def quiet(mutations: DataFrame, by: list[str]) -> DataFrame:
-    """Mutations whose sd is at most the median and half a deviation, with the sample's noise columns."""
-    joined = mutations.join(F.broadcast(noise_level(mutations, by)), by)  # a row for each sample
+    """Mutations within the histogram whose sd is at most the median and half a deviation, with the sample's noise columns."""
+    joined = mutations.where((F.col("ccf") >= 0) & (F.col("ccf") < TOP)).join(F.broadcast(noise_level(mutations, by)), by)  # a row for each sample
     return joined.where(F.col("sd") <= F.col("sd_median") + 0.5 * F.col("sd_pop"))
 
 

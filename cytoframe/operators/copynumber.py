@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cytoframe.functions.columns import erf, sex_factor, theta_corr, truncate_half
+from cytoframe.functions.columns import erf, sex_factor, theta_corr, theta_inverse, truncate_half
 from cytoframe.operators.intervals import range_join
 
 #: Fixed values of the model.
@@ -44,11 +45,11 @@ def gc_fraction(bases: DataFrame, by: list[str], *, base: str = "base", n: str =
 
 def genome_totals(parts: DataFrame) -> DataFrame:
     """One row: genome size, reads of both samples, their ratio, and the sex by normal depth on Y against X."""
-    size = (F.col("p_end") - F.col("p_start")).cast("double")
+    size = (F.col("p_end") - F.col("p_start") + 1).cast("double")
     depth = lambda t: F.avg(F.when(F.col("tid") == t, F.col("n_t") / size))
     ratio = F.try_divide(depth(23), depth(22))
     return parts.agg(
-        F.sum(F.col("p_end") - F.col("p_start")).alias("genome_size"),
+        F.sum(F.col("p_end") - F.col("p_start") + 1).alias("genome_size"),
         F.sum("n_t").alias("reads_t"),
         F.sum("n_n").alias("reads_n"),
         F.try_divide(F.sum("n_n").cast("double"), F.sum("n_t").cast("double")).alias("ratio_n_t"),
@@ -63,10 +64,12 @@ def gc_bins(parts: DataFrame, value: str, *, gc: str = "gc", bins: int = 1000) -
 
 
 def gc_variance(parts: DataFrame, residual: str, *, gc: str = "gc", bins: int = 100, least: int = 5) -> DataFrame:
-    """gc_bin, mean squared residual; bins of few rows take the largest variance."""
+    """gc_bin, mean squared residual; bins of at most ``least`` rows take the largest variance of the others (0 without any)."""
     rows = parts.where(F.col(gc) >= 0).withColumn("gc_bin", F.floor(F.col(gc) * bins).cast("int"))
     each = rows.groupBy("gc_bin").agg(F.avg(F.col(residual) * F.col(residual)).alias("v"), F.count("*").alias("n"))
-    return each.select("gc_bin", "n", F.when(F.col("n") > least, F.col("v")).otherwise(F.max("v").over(W.partitionBy(F.lit(1)))).alias("variance"))
+    full = F.when(F.col("n") > least, F.col("v"))
+    # at most bins + 1 rows
+    return each.select("gc_bin", "n", F.coalesce(full, F.max(full).over(W.partitionBy(F.lit(1))), F.lit(0.0)).alias("variance"))
 
 
 def segment_ratios(parts: DataFrame, *, segment: str, ratio: str, chromosome: str = "tid", sex: str = "m") -> DataFrame:
@@ -98,33 +101,57 @@ def imbalance_by(sites: DataFrame, by: list[str], *, a: str = "t_a", b: str = "t
     return spread.select(*by, "n_snps", "theta", F.greatest(F.col("_s") / F.col("n_snps"), F.lit(LEAST_THETA_SIGMA)).alias("theta_sigma"))
 
 
-def folded_sigma(sites: DataFrame, by: list[str]) -> DataFrame:
-    """by, noise of the imbalance in the normal sample, folded back from its median."""
+def normal_heterozygous_sites(sites: DataFrame, *, least_depth: int = 15) -> DataFrame:
+    """Sites deep enough in both samples and far enough from being homozygous in the normal one."""
+    n = F.col("n_a") + F.col("n_b")
+    y = 0.5 - F.abs(F.try_divide(F.col("n_a").cast("double"), n.cast("double")) - 0.5)
+    return sites.where((F.col("t_a") + F.col("t_b") >= least_depth) & (n >= least_depth) & (y * y >= 0.15 * 0.15))
+
+
+def folded_sigma(sites: DataFrame, by: list[str], ratio: float) -> DataFrame:
+    """by, noise of the imbalance in the normal sample, folded back from its median. ratio: reads of the normal over those of the tumour sample."""
     xi = imbalance(F.col("n_a"), F.col("n_b"))
-    depth = F.avg((F.col("n_a") + F.col("n_b")).cast("double"))
-    return sites.groupBy(*by).agg(F.sqrt(F.median(xi) * depth * FOLD_PI / 8).alias("sigma"))
+    return normal_heterozygous_sites(sites).groupBy(*by).agg(F.sqrt(F.median(xi) * F.lit(float(ratio)) * FOLD_PI / 8).alias("sigma"))
+
+
+def raw_copies(cn: Column, purity: Column, scale: Column) -> Column:
+    """Copies in tumour cells, not yet whole."""
+    return (cn - 2 * (1 - purity)) * scale
 
 
 def whole_copies(cn: Column, purity: Column, scale: Column) -> Column:
     """Copies in tumour cells as a whole number: below 0 is 0, above MAX_COPIES is CAPPED_COPIES."""
-    x = truncate_half((cn - 2 * (1 - purity)) * scale)
+    x = truncate_half(raw_copies(cn, purity, scale))
     return F.when(x > MAX_COPIES, CAPPED_COPIES).when(x < 0, 0).otherwise(x)
 
 
-def allele_states(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """segments (cn, theta, theta_sigma, n_snps, purity, scale) with icn, a, b, theta_exp and error of the best pair of alleles.
+def expected_imbalance(purity: Column, icn: Column, b: Column, sigma: float) -> Column:
+    """Imbalance of icn copies, b of them of the rarer allele, under the sample's noise; without copies that of noise alone."""
+    theta = F.when(icn == 0, 0.0).otherwise(purity * (icn - 2 * b) / (2 + purity * (icn - 2)))
+    return theta_corr(theta, F.lit(float(sigma)))
+
 
-    The pair with A + B = icn whose expected imbalance is nearest wins, of equals the smaller B; under 5 sites a, b and
-    theta_exp are -1. keys name the rows.
+def allele_states(segments: DataFrame, keys: list[str], sigma: float) -> DataFrame:
+    """keys, icn, a, b, theta_exp, error and weight ls of the best pair of alleles of each segment.
+
+    segments: cn, theta, n_snps, purity, scale; sigma is the sample's folded noise. The pair with A + B = icn whose
+    expected imbalance is nearest wins, of equals the smaller B. Without copies A = B = 0; otherwise a segment of under 5
+    sites has -1 for a, b and theta_exp, and a null error.
     """
     own = segments.withColumn("icn", whole_copies(F.col("cn"), F.col("purity"), F.col("scale")))
     each = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.floor(F.col("icn") / 2).cast("int")))).withColumn("a", F.col("icn") - F.col("b"))
-    expected = theta_corr(F.col("purity") * (F.col("a") - F.col("b")) / (2 + F.col("purity") * (F.col("icn") - 2)), F.col("theta_sigma"))
-    each = each.withColumn("theta_exp", F.when(F.col("icn") == 0, theta_corr(F.lit(0.0), F.col("theta_sigma"))).otherwise(expected))
+    each = each.withColumn("theta_exp", expected_imbalance(F.col("purity"), F.col("icn"), F.col("b"), sigma))
     each = each.withColumn("error", F.abs(F.col("theta") - F.col("theta_exp")))
-    known = F.col("n_snps") >= 5
-    best = each.groupBy(*keys).agg(F.min(F.struct(F.round("error", 9).alias("e"), "b", "a", "theta_exp", "error", "icn", "n_snps")).alias("x")).select(*keys, "x.*")
-    return best.select(*keys, "icn", *[F.when(known, F.col(c)).otherwise(-1).alias(c) for c in ("a", "b", "theta_exp")], F.when(known, F.col("error")).alias("error"))
+    # distance between neighbouring pairs, by which a segment tells them apart
+    after = expected_imbalance(F.col("purity"), F.col("icn"), F.col("b") + 1, sigma)
+    single = F.abs(F.col("theta_exp") - expected_imbalance(F.col("purity"), F.lit(0), F.lit(0), sigma))
+    step = F.when(F.col("icn") == 1, single).when(F.col("b") < F.floor(F.col("icn") / 2), F.abs(F.col("theta") - F.col("theta_exp") - after))
+    pair = F.struct(F.round("error", 9).alias("e"), "b", "a", "theta_exp", "error", "icn", "n_snps")
+    best = each.groupBy(*keys).agg(F.min(pair).alias("x"), F.min(step).alias("step")).select(*keys, "x.*", "step")
+    empty = F.col("icn") == 0
+    known = empty | (F.col("n_snps") >= 5)
+    ls = F.when(known & ~empty, F.try_divide(F.lit(1.0), F.when(F.col("icn") == 1, F.col("step")).otherwise(F.least("step", F.lit(1.0)))))
+    return best.select(*keys, "icn", *[F.when(known, F.col(c)).otherwise(-1).alias(c) for c in ("a", "b", "theta_exp")], F.when(known, F.col("error")).alias("error"), ls.alias("ls"))
 
 
 def grid(first: float, last: float, step: float) -> list[float]:
@@ -136,25 +163,40 @@ def grid(first: float, last: float, step: float) -> list[float]:
     return out
 
 
-def fit_grid(segments: DataFrame, purities: list[float], ploidies: list[float]) -> DataFrame:
-    """purity, ploidy, l_bi (misfit of imbalance) and l_cn (misfit of depth) for every grid point.
+def _expected_pairs(segments: DataFrame, purities: list[float], sigma: float) -> DataFrame:
+    """purity, icn, thetas (by rising B): expected imbalances of every whole number of copies, a few thousand rows of the grid."""
+    points = segments.sparkSession.createDataFrame([(float(p),) for p in purities], "purity double")
+    each = points.select("purity", F.explode(F.sequence(F.lit(0), F.lit(MAX_COPIES))).alias("icn")).select("purity", "icn", F.explode(F.sequence(F.lit(0), F.floor(F.col("icn") / 2).cast("int"))).alias("b"))
+    each = each.withColumn("theta_exp", expected_imbalance(F.col("purity"), F.col("icn"), F.col("b"), sigma))
+    pairs = F.array_sort(F.collect_list(F.struct("b", "theta_exp")))
+    return each.groupBy("purity", F.col("icn").cast("bigint").alias("icn")).agg(F.transform(pairs, lambda x: x["theta_exp"]).alias("thetas"))
+
 
-    segments: seg_id, length, cn, theta, theta_sigma, n_snps. Each grid point is a group of one row per segment and
-    pair of alleles, so partial sums are made before the shuffle.
+def fit_grid(segments: DataFrame, purities: list[float], ploidies: list[float], sigma: float) -> DataFrame:
+    """purity, ploidy, scale, l_bi (misfit of imbalance), l_cn (misfit of depth), mean_copies and autosome_copies for every grid point.
+
+    segments: tid, seg_id, length, cn, theta, theta_sigma, n_snps; sigma is the sample's folded noise. Segments with copies but under 5
+    sites have no misfit. mean_copies counts a segment without copies as 1; autosome_copies leaves out sex chromosomes and negative copies.
+    Every segment is set out by purity, then ploidy, and summed to the grid before the shuffle; what imbalances copies are
+    expected to show depends on purity and copies alone and is looked up.
     """
-    spark = segments.sparkSession
-    points = spark.createDataFrame([(float(p), float(q)) for p in purities for q in ploidies], "purity double, ploidy double")
-    rows = points.repartition(spark.sparkContext.defaultParallelism).join(F.broadcast(segments), F.lit(True)).withColumn("scale", F.col("ploidy") / (2 * F.col("purity")))
-    own = rows.withColumn("icn", whole_copies(F.col("cn"), F.col("purity"), F.col("scale")))
-    mid = F.col("purity") / (2 + F.col("purity") * (F.col("icn") - 2))
-    miss = lambda b: F.abs(F.col("theta") - theta_corr(mid * (F.col("icn") - 2 * b), F.col("theta_sigma")))
-    error = F.array_min(F.transform(F.sequence(F.lit(0), F.floor(F.col("icn") / 2).cast("int")), miss))
-    real = (F.col("icn") / F.col("scale")) + 2 * (1 - F.col("purity"))
+    own = segments.select("tid", "seg_id", "length", "cn", "theta", "theta_sigma", "n_snps", F.explode(F.array(*[F.lit(float(p)) for p in purities])).alias("purity"))
+    dealt = own.repartition(segments.sparkSession.sparkContext.defaultParallelism, "seg_id", "purity")
+    rows = dealt.withColumn("ploidy", F.explode(F.array(*[F.lit(float(q)) for q in ploidies]))).withColumn("scale", F.col("ploidy") / (2 * F.col("purity")))
+    raw = raw_copies(F.col("cn"), F.col("purity"), F.col("scale"))
+    rows = rows.withColumn("raw", raw).withColumn("whole", truncate_half(raw)).withColumn("icn", whole_copies(F.col("cn"), F.col("purity"), F.col("scale")).cast("bigint"))
+    # as many rows as the grid has purities and copies
+    rows = rows.join(F.broadcast(_expected_pairs(segments, purities, sigma)), ["purity", "icn"])
+    error = F.array_min(F.transform("thetas", lambda t: F.abs(F.col("theta") - t)))
+    fits = (F.col("icn") == 0) | (F.col("n_snps") >= 5)
     variance = 2 * F.col("theta_sigma") * F.col("theta_sigma")
-    return own.withColumn("error", error).groupBy("purity", "ploidy").agg(
-        F.sum(F.col("error") * F.col("error") / variance).alias("l_bi"),
-        F.sum((F.col("cn") - real) * (F.col("cn") - real) / variance).alias("l_cn"),
-        F.try_divide(F.sum(F.col("length") * F.col("icn")), F.sum("length")).alias("mean_copies"),
+    squared = lambda x: F.sum(F.when(fits, x * x / variance).otherwise(0.0))
+    some = (F.col("tid") < 22) & (F.col("whole") >= 0)
+    return rows.withColumn("error", error).groupBy("purity", "ploidy", "scale").agg(
+        squared(F.col("error")).alias("l_bi"),
+        squared(F.col("raw") - F.col("icn")).alias("l_cn"),
+        F.try_divide(F.sum(F.col("length") * F.greatest("whole", F.lit(1))), F.sum("length")).alias("mean_copies"),
+        F.try_divide(F.sum(F.when(some, F.col("length") * F.col("whole"))), F.sum(F.when(some, F.col("length")))).alias("autosome_copies"),
     )
 
 
@@ -166,59 +208,116 @@ def best_fit(points: DataFrame) -> DataFrame:
 
 
 def ploidy_profile(points: DataFrame) -> DataFrame:
-    """For each ploidy its best purity, mean copies and misfits."""
-    return points.groupBy("ploidy").agg(F.min(F.struct(F.round("l_bi", 6).alias("l"), "purity", "mean_copies", "l_bi", "l_cn")).alias("x")).select("ploidy", "x.purity", "x.mean_copies", "x.l_bi", "x.l_cn")
+    """ploidy_exp, purity, ploidy, scale and misfits: for each expected ploidy its best purity and the mean copies of autosomes there."""
+    best = F.min(F.struct(F.round("l_bi", 6).alias("l"), "purity", "autosome_copies", "scale", "l_bi", "l_cn")).alias("x")
+    return points.groupBy("ploidy").agg(best).select(F.col("ploidy").alias("ploidy_exp"), "x.purity", F.col("x.autosome_copies").alias("ploidy"), "x.scale", "x.l_bi", "x.l_cn")
 
 
 def subclonal_test(segments: DataFrame) -> DataFrame:
-    """segments (theta, theta_exp, theta_sigma, a, b, n_snps) with p_subclonal and is_subclonal."""
+    """segments (theta, theta_exp, theta_sigma, a, b, n_snps) with p_subclonal and is_subclonal.
+
+    p is 1 where a segment has under 5 sites or no expected imbalance, and where the difference can't come from a second clone:
+    balanced alleles that look more balanced, or one lost allele that looks more than lost.
+    """
     p = 1 - erf(F.abs(F.col("theta") - F.col("theta_exp")) / (math.sqrt(2) * F.col("theta_sigma")))
+    known = (F.col("n_snps") >= 5) & (F.col("theta_exp") >= 0)
     wrong = ((F.col("a") == F.col("b")) & (F.col("theta") < F.col("theta_exp"))) | ((F.col("b") == 0) & (F.col("theta") > F.col("theta_exp")))
-    return segments.withColumn("p_subclonal", p).withColumn("is_subclonal", (F.col("n_snps") >= 5) & (F.col("p_subclonal") < SUBCLONAL_P) & ~wrong)
+    low = p < SUBCLONAL_P
+    tested = segments.withColumn("p_subclonal", F.when(known & ~(low & wrong), p).otherwise(1.0))
+    return tested.withColumn("is_subclonal", F.col("p_subclonal") < SUBCLONAL_P)
 
 
-def two_clones(segments: DataFrame) -> DataFrame:
-    """segments (raw_a, raw_b: copies of either allele as fractions) with two whole states and the share tau of the first.
+def two_clones(segments: DataFrame, sigma: float) -> DataFrame:
+    """Subclonal segments (cn, theta, a, b, purity, scale) as a mixture of two whole states.
 
-    The states differ by one copy of one allele; of those with a share between 0 and 1 the largest share wins. Null
-    where no state fits or raw_b is negative.
+    The imbalance without noise and the raw copies give raw copies of either allele, a point in a unit square of whole
+    states. The fitted state (a, b) is one corner of the triangle of that square in which the point lies; the other
+    state is another corner of it that differs by one copy of one allele and has A >= B. The mixture that explains
+    the imbalance gives the fitted state a share tau between 0 and 1; the largest share wins. Adds a1, b1, tau1, a2, b2,
+    tau2 (null without a mixture), is_inconsistent where none fits, and has a, b and icn of the first clone.
     """
-    a, b = F.floor("raw_a"), F.floor("raw_b")
-    x, y = F.col("raw_a") - a, F.col("raw_b") - b
-    state = lambda share, da, db, ea, eb: F.struct(share.alias("tau"), (a + da).alias("a1"), (b + db).alias("b1"), (a + ea).alias("a2"), (b + eb).alias("b2"))
-    four = F.array(state(1 - x, 0, 0, 1, 0), state(1 - y, 0, 0, 0, 1), state(x, 1, 0, 0, 0), state(y, 0, 1, 0, 0))
-    # nearest whole state of the allele that doesn't change
-    miss = F.array(y, x, y, x)
-    fits = F.filter(F.zip_with(four, miss, lambda s, m: F.struct(s["tau"].alias("tau"), F.least(m, 1 - m).alias("miss"), s.alias("s"))), lambda s: (s["tau"] > 0) & (s["tau"] < 1))
-    best = F.get(F.array_sort(fits, lambda p, q: F.when(p["tau"] > q["tau"], -1).when(p["tau"] < q["tau"], 1).otherwise(0)), 0)
-    return segments.withColumn("_s", F.when(F.col("raw_b") >= 0, best["s"])).select(*segments.columns, "_s.tau", "_s.a1", "_s.b1", "_s.a2", "_s.b2")
-
-
-def expected_af(af: Column, purity: Column, icn: Column, a: Column) -> Column:
-    """Expected allele frequency of a clonal mutation: its copies from the observed one, at least 1 and at most A."""
-    total = 2 * (1 - purity) + purity * icn
-    copies = F.least(F.greatest(F.floor(af * total / purity + 0.5), F.lit(1)), F.greatest(a, F.lit(1)))
-    return F.when(icn > 0, copies * purity / total)
+    bare = theta_inverse(F.col("theta"), F.lit(float(sigma)))
+    state = F.pandas_udf(_mixtures, "a1 bigint, b1 bigint, tau1 double, a2 bigint, b2 bigint, tau2 double")
+    subclonal = F.coalesce(F.col("is_subclonal"), F.lit(False))
+    rows = segments.withColumn("_s", state(bare, F.col("cn"), F.col("a").cast("bigint"), F.col("b").cast("bigint"), F.col("purity"), F.col("scale"), subclonal))
+    first = lambda c: F.coalesce(F.col(f"_s.{c}1"), F.col(c).cast("bigint"))
+    return rows.select(*[F.col(c) for c in segments.columns if c not in ("a", "b", "icn")], "_s.*", (subclonal & F.col("_s.a1").isNull()).alias("is_inconsistent"), first("a").alias("a"), first("b").alias("b"), (first("a") + first("b")).alias("icn"))
+
+
+def _mixtures(theta: pd.Series, cn: pd.Series, a: pd.Series, b: pd.Series, purity: pd.Series, scale: pd.Series, subclonal: pd.Series) -> pd.DataFrame:
+    t, p, a, b = (x.to_numpy(float) for x in (theta, purity, a, b))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        raw = np.maximum((cn.to_numpy(float) - 2 * (1 - p)) * scale.to_numpy(float), 0)
+        raw_a = (t * (2 + p * (raw - 2)) + p * raw) / (2 * p)
+        raw_b = raw - raw_a
+        low_a, low_b = np.floor(raw_a), np.floor(raw_b)
+        lower = low_a + low_b == np.floor(raw)
+
+        def other(x: np.ndarray, low: np.ndarray, fixed: np.ndarray, fixed_low: np.ndarray) -> np.ndarray:
+            # the corner across the allele that changes, if the one that doesn't is at the triangle's right angle
+            across = np.where(x == low, low + 1, np.where(x == low + 1, low, np.nan))
+            return np.where(fixed == fixed_low + ~lower, across, np.nan)
+
+        def share(a2: np.ndarray, b2: np.ndarray) -> np.ndarray:
+            # of the fitted state, at which both states' allele differences and copies, with the normal cells, give theta
+            tau = ((a2 - b2) - t * (a2 + b2) - 2 * t * (1 - p) / p) / (t * (a + b - a2 - b2) - (a - b) + (a2 - b2))
+            return np.where((tau > 0) & (tau < 1) & (a2 >= b2), tau, -1.0)
+
+        other_a, other_b = other(a, low_a, b, low_b), other(b, low_b, a, low_a)
+        tau_a, tau_b = share(other_a, b), share(a, other_b)
+    by_a = np.where(lower, tau_a >= tau_b, tau_a > tau_b)
+    tau = np.where(by_a, tau_a, tau_b)
+    found = (tau > 0) & (raw_b >= 0) & subclonal.to_numpy(bool)
+    a2, b2 = np.where(by_a, other_a, a), np.where(by_a, b, other_b)
+    # the fitted state comes second where the other lost an allele or has more copies
+    swap = (b != 0) & ((b2 == 0) | (a2 + b2 > a + b))
+    first, second = (np.where(swap, a2, a), np.where(swap, b2, b), np.where(swap, 1 - tau, tau)), (np.where(swap, a, a2), np.where(swap, b, b2), np.where(swap, tau, 1 - tau))
+    columns = [pd.Series(np.where(found, x, np.nan)).astype(k) for x, k in zip((*first, *second), ("Int64", "Int64", "Float64") * 2)]
+    return pd.DataFrame(dict(zip(("a1", "b1", "tau1", "a2", "b2", "tau2"), columns)))
+
+
+def expected_af(mutations: DataFrame) -> DataFrame:
+    """mutations (af_obs, purity, a, b, is_subclonal, is_inconsistent, a1, b1, tau1, a2, b2, tau2) with copies, copies_raw, icn and af_exp.
+
+    On a clonal segment a mutation has its nearest whole number of copies, at least 1 and at most A. On one of two clones
+    it has that of 1 to the smaller A, or one of these and the share of the clone of more copies, whichever is nearest; 1 if there
+    is none. Null without copies.
+    """
+    p, total = F.col("purity"), F.col("a") + F.col("b")
+    mixed = F.col("is_subclonal") & ~F.col("is_inconsistent")
+    one, two = F.col("a1") + F.col("b1"), F.col("a2") + F.col("b2")
+    icn = F.when(mixed, one * F.col("tau1") + two * F.col("tau2")).otherwise(total.cast("double"))
+    rows = mutations.withColumn("icn", F.when(total > 0, icn)).withColumn("copies_raw", F.col("af_obs") * (2 * (1 - p) + p * F.col("icn")) / p)
+    share = F.when(one > two, F.col("tau1")).otherwise(F.col("tau2"))
+    most = F.least("a1", "a2")
+    steps = F.flatten(F.transform(F.when(most >= 1, F.sequence(F.lit(1), most.cast("int"))), lambda m: F.array(m.cast("double"), m + share)))
+    nearest = F.array_min(F.transform(steps, lambda m, k: F.struct(F.abs(m - F.col("copies_raw")).alias("d"), k.alias("k"), m.alias("m"))))["m"]
+    whole = F.least(F.greatest(F.floor(F.col("copies_raw") + 0.5), F.lit(1)), F.col("a")).cast("double")
+    rows = rows.withColumn("copies", F.when(mixed, F.coalesce(nearest, F.lit(1.0))).otherwise(whole))
+    return rows.withColumn("af_exp", F.col("copies") * p / (2 * (1 - p) + p * F.col("icn")))
 
 
 def cell_fraction(af: Column, af_exp: Column, depth: Column) -> tuple[Column, Column]:
-    """Share of cells with a mutation, and the probability that it is below 1."""
+    """Share of cells with a mutation, and the probability that it is below 1 (1 where nothing varies)."""
     ccf = F.try_divide(af, af_exp)
     sigma = F.sqrt(F.try_divide(ccf * (1 - af), depth * af_exp))
-    return ccf, (1 + erf((ccf - 1) / (math.sqrt(2) * F.when(sigma == 0, 1.0).otherwise(sigma)))) / 2
+    return ccf, F.when(sigma == 0, 1.0).otherwise((1 + erf((ccf - 1) / (math.sqrt(2) * sigma))) / 2)
 
 
-def refine_purity(segments: DataFrame, mutations: DataFrame, *, purity: float, ploidy: float, rounds: int = 5) -> float:
-    """Purity from mutations: in each round it is multiplied by the fraction of the largest clonal cluster, up to 1.
+def refine_purity(segments: DataFrame, mutations: DataFrame, *, sigma: float, purity: float = 1.0, scale: float = 1.0, ploidy: float = 1.5, rounds: int = 5) -> tuple[float, float]:
+    """Purity and ploidy from mutations, for a sample whose copies don't tell.
 
-    segments: seg_id, cn, theta, theta_sigma, n_snps; mutations: mut_key, seg_id, af_obs, coverage. Only a sample's
-    histogram and its few clusters meet in one place.
+    In each round purity is multiplied by the fraction of the largest clonal cluster, up to 1; the scale follows from purity and
+    ploidy, and the mean copies at that scale are the next ploidy. segments: seg_id, length, cn, theta, n_snps; mutations: mut_key, seg_id,
+    af_obs, coverage. Only a sample's histogram and its few clusters meet in one place.
     """
     from cytoframe.operators import clustering as K
 
     for _ in range(rounds):
-        states = allele_states(segments.withColumn("purity", F.lit(purity)).withColumn("scale", F.lit(ploidy / (2 * purity))), ["seg_id"]).where("a >= 0")
-        known = mutations.join(states.select("seg_id", "icn", "a"), "seg_id").withColumn("af_exp", expected_af(F.col("af_obs"), F.lit(purity), F.col("icn"), F.col("a")))
+        at = {"purity": F.lit(purity), "scale": F.lit(scale)}
+        states = allele_states(segments.withColumns(at), ["seg_id"], sigma).where("a >= 0").select("seg_id", "a", "b")
+        clonal = {"is_subclonal": F.lit(False), "is_inconsistent": F.lit(False)} | {c: F.lit(None).cast("double") for c in ("a1", "b1", "tau1", "a2", "b2", "tau2")}
+        known = expected_af(mutations.join(states, "seg_id").withColumn("purity", F.lit(purity)).withColumns(clonal))
         rows = K.with_fraction(known.where("af_exp is not null")).withColumn("sample_no", F.lit(0))
         quiet = K.quiet(rows, ["sample_no"])
         clusters = K.find_clusters(K.fraction_histogram(quiet, ["sample_no"]), K.noise_level(rows, ["sample_no"]), "sample_no")
@@ -227,13 +326,34 @@ def refine_purity(segments: DataFrame, mutations: DataFrame, *, purity: float, p
         if best is None:
             raise ValueError("no mutation lies on a segment with known alleles")
         purity = min(1.0, purity * best.ccf)
-    return purity
+        scale = ploidy / (2 * purity)
+        whole = F.greatest(truncate_half(raw_copies(F.col("cn"), F.lit(purity), F.lit(scale))), F.lit(1))
+        ploidy = segments.agg(F.sum(F.col("length") * whole) / F.sum("length")).first()[0]
+    return purity, ploidy
 
 
-def ploidy_summary(segments: DataFrame) -> DataFrame:
-    """One row: length-weighted copies and share of the genome that is subclonal; segments without copies are left out."""
-    known = segments.where("icn >= 0").withColumn("length", (F.col("s_end") - F.col("s_start")).cast("double"))
-    return known.agg(F.try_divide(F.sum(F.col("length") * F.col("icn")), F.sum("length")).alias("ploidy"), F.try_divide(F.sum(F.when(F.col("is_subclonal"), F.col("length")).otherwise(0.0)), F.sum("length")).alias("share_subclonal"))
+def ploidy_summary(segments: DataFrame, *, mode: str = "optimum", sample: str = "sample", sex: str = "m") -> DataFrame:
+    """One row: sample_name, purity, ploidy, fraction_subclonal_cn, sex_estimated, status, fraction_inconsistent_segs.
+
+    segments: tid, s_start, s_end, cn, purity, scale, theta_exp, n_snps, is_subclonal, is_inconsistent. Sex chromosomes are left out, and
+    segments of negative copies from ploidy; consistent segments of at least 5 sites with an expected imbalance count for the subclonal part.
+    """
+    rows = segments.where(F.col("tid") < 22).withColumn("length", (F.col("s_end") - F.col("s_start")).cast("double"))
+    rows = rows.withColumn("whole", truncate_half(raw_copies(F.col("cn"), F.col("purity"), F.col("scale"))))
+    sized = (F.col("n_snps") >= 5) & (F.col("theta_exp") >= 0) & ~F.col("is_inconsistent")
+    part = lambda some, of: F.coalesce(F.try_divide(F.sum(F.when(some & of, F.col("length")).otherwise(0.0)), F.sum(F.when(of, F.col("length")))), F.lit(0.0))
+    real = F.col("whole") >= 0
+    return rows.agg(
+        F.lit(sample).alias("sample_name"), F.max("purity").alias("purity"),
+        F.try_divide(F.sum(F.when(real, F.col("length") * F.col("whole"))), F.sum(F.when(real, F.col("length")))).alias("ploidy"),
+        part(F.col("is_subclonal"), sized).alias("fraction_subclonal_cn"), F.lit(sex).alias("sex_estimated"), F.lit(mode).alias("status"),
+        part(F.col("is_inconsistent"), real).alias("fraction_inconsistent_segs"),
+    )
+
+
+def eligible_segments(segments: DataFrame, *, least_snps: int = 100, most_copies: float = 5.0) -> DataFrame:
+    """Segments that the fit may use: autosomes with enough sites and not too many copies. segments: tid, cn, n_snps."""
+    return segments.where((F.col("n_snps") >= least_snps) & (F.col("tid") < 22) & (F.col("cn") <= most_copies))
 
 
 def fold_windows(rows: np.ndarray, least_length: float, least_reads: int) -> np.ndarray:
@@ -258,8 +378,6 @@ def greedy_windows(parts: DataFrame, *, least_length: int, least_reads: int) ->
 
     A chromosome's partitions are folded in order as they stream by; a window needs no more memory than its sums.
     """
-    import pandas as pd
-
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["p_start", "part_no"], ignore_index=True)
         size = (frame.p_end - frame.p_start + 1).to_numpy(float)

@@ -6,6 +6,11 @@ one task. Allele counts are summed before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,20 +25,26 @@ MIN_COVERAGE = 5
 MAX_DEPTH = 8_000
 
 
-def expand_reads(reads: DataFrame, keep: list[str], *, cigar: str = "cigar", start: str = "pos") -> DataFrame:
-    """keep, ref_pos, query_at (from 0; null in a gap), op, is_head, is_tail: a row for each place an alignment takes on the reference.
+def expand_reads(reads: DataFrame, keep: list[str], *, cigar: str = "cigar", start: str = "pos", ops: str = "MDNS") -> DataFrame:
+    """keep, ref_pos, query_at (from 0; null in a gap), op, indel, is_head, is_tail: a row for each place an alignment takes on the reference.
 
-    Insertions and a leading soft clip take no place; later soft clips do.
+    Insertions and a leading soft clip take no place; later soft clips do. indel, on the last place before it, is the length of an
+    insertion or minus that of a deletion, else 0. ops: the operations whose places are wanted.
     """
-    ops = reads.select(*keep, F.col(start).alias("_start"), F.explode(place_cigar(F.col(cigar))).alias("o"), F.size(cigar).alias("_n"))
-    taking = ops.where(F.col("o.op").isin("M", "D", "N") | ((F.col("o.op") == "S") & (F.col("o.number") > 0))).where("o.len > 0")
-    each = taking.select(*keep, "_start", "o", "_n", F.explode(F.sequence(F.lit(0), F.col("o.len") - 1)).alias("k"))
+    placed = reads.select(*keep, F.col(start).alias("_start"), place_cigar(F.col(cigar)).alias("_all"))
+    each_op = placed.select(*keep, "_start", "_all", F.posexplode("_all").alias("_i", "o"))
+    after = F.get(F.col("_all"), F.col("_i") + 1)
+    ahead = F.when(after["op"] == "I", after["len"]).when((after["op"] == "D") & (F.col("o.op") != "D"), -after["len"]).otherwise(0)
+    rows = each_op.select(*keep, "_start", F.size("_all").alias("_n"), "o", ahead.cast("int").alias("_ahead"))
+    taking = rows.where(F.col("o.op").isin(*set(ops) - {"S"}) | (F.lit("S" in ops) & (F.col("o.op") == "S") & (F.col("o.number") > 0))).where("o.len > 0")
+    each = taking.select(*keep, "_start", "o", "_n", "_ahead", F.explode(F.sequence(F.lit(0), F.col("o.len") - 1)).alias("k"))
     query = F.when(F.col("o.op").isin("M", "S"), F.col("o.q0") + F.col("k"))
     return each.select(
         *keep,
         (F.col("_start") + F.col("o.r0") + F.col("k")).cast("bigint").alias("ref_pos"),
         query.cast("int").alias("query_at"),
         F.col("o.op").alias("op"),
+        F.when(F.col("k") == F.col("o.len") - 1, F.col("_ahead")).otherwise(0).alias("indel"),
         ((F.col("o.r0") + F.col("k")) == 0).alias("is_head"),
         ((F.col("o.number") == F.col("_n") - 1) & (F.col("k") == F.col("o.len") - 1)).alias("is_tail"),
     )
@@ -52,6 +63,12 @@ def certain_base(mapq: Column, quality: Column, flag: Column) -> Column:
     return (quality >= MIN_BASE_QUALITY) & (mapq > 0) & ~has_bits(flag, 1024) & (sure >= MIN_CERTAINTY)
 
 
+def least_quality(mapq: Column) -> Column:
+    """The least base quality that makes a base of a read of that mapping quality certain; null where none does."""
+    sure = [next((q for q in range(MIN_BASE_QUALITY, 94) if m and (1 - 10.0 ** (-m / 10)) * (1 - 10.0 ** (-q / 10)) >= MIN_CERTAINTY), None) for m in range(256)]
+    return F.get(F.array(*[F.lit(q).cast("int") for q in sure]), mapq)
+
+
 def allele_counts(bases: DataFrame, by: list[str], *, base: str = "base", strand: str | None = None) -> DataFrame:
     """by, n_a, n_c, n_g, n_t, and with a boolean column strand the same on the reverse strand (r_a ...)."""
     out = [F.count_if(F.col(base) == b).alias(f"n_{b.lower()}") for b in "ACGT"]
@@ -73,16 +90,56 @@ def restrict_sites(rows: DataFrame, sites: DataFrame) -> DataFrame:
     return rows.join(sites.select("tid", "pos").distinct(), ["tid", "pos"], "left_semi")
 
 
-def pileup_strings(bases: DataFrame, *, order: list[str]) -> DataFrame:
-    """tid, pos, depth, pileup text (. , for the reference on either strand, other bases as letters, * in gaps, ^ and $ at ends).
+def pileup_cell(*, reference: Column | None = None, inserted: Column | None = None) -> Column:
+    """What one read shows at one place: ^ and mapping quality at its head, the base, a change of length ahead, $ at its tail.
 
-    bases: tid, pos, base (null in a gap), ref, reverse, is_head, is_tail, mapq and the columns of order.
+    The base is . or , where it equals the reference (by strand), else its letter; * in a deletion, > or < in a skip. A change of
+    length is its signed number and the bases inserted or deleted (N where they aren't given), small on the reverse strand.
+    """
+    by_strand = lambda x: F.when(F.col("reverse"), F.lower(x)).otherwise(F.upper(x))
+    gap = F.when(F.col("op") == "N", F.when(F.col("reverse"), "<").otherwise(">")).otherwise("*")
+    shown = F.when(F.col("base").isNull(), gap).when(F.col("base") == F.col("ref"), F.when(F.col("reverse"), ",").otherwise(".")).otherwise(by_strand("base"))
+    head = F.when(F.col("is_head"), F.concat(F.lit("^"), F.char(F.when(F.col("mapq") > 93, 126).otherwise(F.col("mapq") + 33)))).otherwise("")
+    size = F.abs("indel")
+    unknown = F.repeat(F.lit("N"), size)
+    gained = F.concat(F.lit("+"), size.cast("string"), by_strand(unknown if inserted is None else inserted))
+    lost = F.concat(F.col("indel").cast("string"), by_strand(unknown if reference is None else reference))
+    change = F.when(F.col("indel") > 0, gained).when(F.col("indel") < 0, lost).otherwise("")
+    return F.concat(head, shown, change, F.when(F.col("is_tail"), "$").otherwise(""))
+
+
+def pileup_strings(bases: DataFrame, *, order: str, cell: Column, block: int = 1 << 14) -> DataFrame:
+    """tid, pos, depth, pileup: the cells of all reads at each place, in order. bases: tid, pos, order (a number of the read) and what cell needs.
+
+    Places are dealt by blocks and sorted; rows of one place follow each other and are joined as they stream by, so a
+    task holds one batch and the cells of one place, which ``cap_depth`` bounds.
     """
-    shown = F.when(F.col("base").isNull(), "*").when(F.col("base") == F.col("ref"), F.when(F.col("reverse"), ",").otherwise(".")).otherwise(F.when(F.col("reverse"), F.lower("base")).otherwise(F.upper("base")))
-    head = F.when(F.col("is_head"), F.concat(F.lit("^"), F.char(F.least(F.col("mapq"), F.lit(93)) + 33))).otherwise("")
-    cell = F.concat(head, shown, F.when(F.col("is_tail"), "$").otherwise(""))
-    rows = F.array_sort(F.collect_list(F.struct(*order, cell.alias("cell"))))
-    return bases.groupBy("tid", "pos").agg(F.count("*").alias("depth"), F.array_join(F.transform(rows, lambda r: r["cell"]), "").alias("pileup"))
+    rows = bases.select("tid", F.col("pos").cast("bigint").alias("pos"), F.col(order).cast("bigint").alias("_ord"), cell.alias("cell"))
+    dealt = rows.repartition("tid", F.floor(F.col("pos") / block)).sortWithinPartitions("tid", "pos", "_ord").select("tid", "pos", "cell")
+    return dealt.mapInArrow(_join_cells, f"tid {bases.schema['tid'].dataType.simpleString()}, pos bigint, depth bigint, pileup string")
+
+
+def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rest: pa.Table | None = None
+
+    def joined(table: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+        starts = np.concatenate([[0], ends[:-1]])
+        cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), table.column("cell").combine_chunks())
+        first = pa.array(starts)
+        columns = [table.column("tid").take(first), table.column("pos").take(first), pa.array(ends - starts), pc.binary_join(cells, "")]
+        return pa.Table.from_arrays(columns, names=["tid", "pos", "depth", "pileup"]).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+        tid, pos = (table.column(c).to_numpy() for c in ("tid", "pos"))
+        ends = np.flatnonzero((tid[1:] != tid[:-1]) | (pos[1:] != pos[:-1])) + 1
+        if len(ends):
+            yield joined(table.slice(0, int(ends[-1])), ends)
+        rest = table.slice(int(ends[-1]) if len(ends) else 0)
+    if rest is not None:
+        yield joined(rest.combine_chunks(), np.array([rest.num_rows]))
 
 
 def rms_mapq(bases: DataFrame, by: list[str]) -> DataFrame:

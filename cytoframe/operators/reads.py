@@ -137,41 +137,54 @@ def remove_duplicate_pairs(reads: DataFrame, *, quality: str, order: list[str],
     return heads.where("_rank = 1").drop("_rank").unionByName(kept_tails).unionByName(unmatched)
 
 
-def remove_duplicate_singles(reads: DataFrame, *, quality: str, order: list[str], library: str = "lb") -> DataFrame:
-    """Of mapped reads with equal library, strand and 5' end the one of the largest quality sum stays."""
+def remove_duplicate_singles(reads: DataFrame, *, quality: str, order: list[str], library: str = "lb", forced: bool = False) -> DataFrame:
+    """Of mapped single reads with equal library, strand and 5' end the one of the largest quality sum stays.
+
+    Unmapped reads pass, and paired ones unless forced.
+    """
     reverse = has_bits(F.col("flag"), FLAGS["REVERSE"])
     end = F.when(reverse, F.col("ref_end")).otherwise(F.col("pos"))
-    mapped = reads.where(has_none(F.col("flag"), 4)).withColumn("_reverse", reverse).withColumn("_end", end)
+    tested = F.coalesce(has_none(F.col("flag"), FLAGS["UNMAP"] | (0 if forced else FLAGS["PAIRED"])), F.lit(False))
+    mapped = reads.where(tested).withColumn("_reverse", reverse).withColumn("_end", end)
     best = _best(mapped, [library, "tid", "_reverse", "_end"], quality, order).where("_rank = 1").drop("_rank", "_reverse", "_end")
-    return best.unionByName(reads.where(has_bits(F.col("flag"), 4)))
+    return best.unionByName(reads.where(~tested))
 
 
 def fix_mates(reads: DataFrame, *, order: list[str]) -> DataFrame:
     """Mate place, strand and insert size from the other read of each name: the n-th two rows of a name in order are mates.
 
-    A row without a partner loses its mate marks. Insert sizes go between 5' ends, and are 0 across chromosomes or
-    where a read is unmapped.
+    Insert sizes go between 5' ends, from a start counted from 0 to an end not included, and are 0 across chromosomes or where
+    either read or mate is marked unmapped. A read whose mate is unmapped is marked so and is no proper pair. A paired read
+    without a partner has an unmapped mate on the forward strand and no mate place; the last row of all by name stays as it is
+    if it has none.
     """
     w = W.partitionBy("qname").orderBy(*order)
     numbered = reads.withColumn("_n", F.row_number().over(w)).withColumn("_odd", F.col("_n") % 2 == 1)
     other = lambda c: F.when(F.col("_odd"), F.lead(c).over(w)).otherwise(F.lag(c).over(w))
-    five = F.when(has_bits(F.col("flag"), 16), F.col("ref_end")).otherwise(F.col("pos"))
+    five = F.when(has_bits(F.col("flag"), FLAGS["REVERSE"]), F.col("ref_end")).otherwise(F.col("pos") - 1)
     ready = numbered.withColumn("_five", five)
     seen = ready.select(*ready.columns, other("tid").alias("_tid"), other("pos").alias("_pos"), other("flag").alias("_flag"), other("_five").alias("_mfive"))
+    last = reads.agg(F.max(natural_key(F.col("qname"))).alias("_end"))  # one row
+    seen = seen.withColumn("_key", natural_key(F.col("qname"))).join(F.broadcast(last), F.col("_key") == F.col("_end"), "left")
     alone = F.col("_flag").isNull()
-    both = ~alone & (F.col("tid") == F.col("_tid")) & has_none(F.col("flag"), 4) & has_none(F.col("_flag"), 4)
-    marks = F.when(has_bits(F.col("_flag"), 4), 8).otherwise(0) + F.when(has_bits(F.col("_flag"), 16), 32).otherwise(0)
-    bare = F.col("flag").bitwiseAND(~(8 | 32))
+    as_is = alone & F.col("_end").isNotNull()
+    unmapped = FLAGS["UNMAP"] | FLAGS["MUNMAP"]
+    both = ~alone & (F.col("tid") == F.col("_tid")) & has_none(F.col("flag"), unmapped) & has_none(F.col("_flag"), unmapped)
+    flag, strand = F.col("flag"), FLAGS["MREVERSE"]
+    paired = flag.bitwiseAND(~strand) + F.when(has_bits(F.col("_flag"), FLAGS["REVERSE"]), strand).otherwise(0)
+    paired = F.when(has_bits(F.col("_flag"), FLAGS["UNMAP"]), paired.bitwiseOR(FLAGS["MUNMAP"]).bitwiseAND(~FLAGS["PROPER"])).otherwise(paired)
+    single = F.when(has_bits(flag, FLAGS["PAIRED"]), flag.bitwiseOR(FLAGS["MUNMAP"]).bitwiseAND(~(strand | FLAGS["PROPER"]))).otherwise(flag)
+    own = lambda c, lone, mate: F.when(as_is, F.col(c)).when(alone, lone).otherwise(mate)
     return seen.select(
         *[c for c in reads.columns if c not in ("flag", "mtid", "mpos", "isize")],
-        F.when(alone, bare.bitwiseAND(~(1 | 2))).otherwise(bare + marks).cast("int").alias("flag"),
-        F.coalesce("_tid", F.lit(-1)).cast("int").alias("mtid"),
-        F.coalesce("_pos", F.lit(0)).cast("bigint").alias("mpos"),
-        F.when(both, F.col("_mfive") - F.col("_five")).otherwise(0).cast("bigint").alias("isize"),
+        own("flag", single, paired).cast("int").alias("flag"),
+        own("mtid", F.lit(-1), F.col("_tid")).cast("int").alias("mtid"),
+        own("mpos", F.lit(0), F.col("_pos")).cast("bigint").alias("mpos"),
+        own("isize", F.lit(0), F.when(both, F.col("_mfive") - F.col("_five")).otherwise(0)).cast("bigint").alias("isize"),
     )
 
 
 def valid_reads(reads: DataFrame, n_targets: int) -> DataFrame:
-    """Reads whose targets and places can be, and whose CIGAR covers as many bases as the read has."""
+    """Reads with a name whose target and mate's target exist (or are -1 for none)."""
     in_range = lambda c: (F.col(c) >= -1) & (F.col(c) < n_targets)
-    return reads.where(in_range("tid") & in_range("mtid") & (F.col("pos") >= 0) & (F.length("qname") > 0))
+    return reads.where(in_range("tid") & in_range("mtid") & (F.length("qname") > 0))

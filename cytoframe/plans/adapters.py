@@ -5,7 +5,7 @@ The expressions are integer arithmetic that Spark and DuckDB read alike, so the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 READS = """
@@ -52,7 +52,7 @@ SEGMENT = "tid, seg, cast(tid * 10 + seg as bigint) as seg_id, cast(seg * 100000
 CTE = {
     "reads": f"reads as (select {READS} from lineitem)",
     "snps": f"snps as (select {SNPS} from orders)",
-    "mutations": f"mutations as (select {MUTATIONS} from orders where o_orderkey % 3 = 0)",
+    "mutations": f"mutations as (select {MUTATIONS} from orders)",
     "partitions": f"partitions as (select {PARTITION} from (select cast(unnest(range(24)) as int) as tid) a cross join (select cast(unnest(range(1000)) as int) as bin) b)",
     "segments": f"segments as (select {SEGMENT} from (select cast(unnest(range(24)) as int) as tid) a cross join (select cast(unnest(range(10)) as int) as seg) b)",
     # operations of the five alignment patterns with their places in the read and on the reference
@@ -105,7 +105,7 @@ def snps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").selectExpr(*_exprs(MUTATIONS))
+    return table(spark, sf_dir, "orders").selectExpr(*_exprs(MUTATIONS))
 
 
 def partitions(spark: SparkSession) -> DataFrame:
@@ -116,14 +116,14 @@ def segments(spark: SparkSession) -> DataFrame:
     return spark.range(240).selectExpr("cast(id div 10 as int) as tid", "cast(id % 10 as int) as seg").selectExpr(*_exprs(SEGMENT))
 
 
-def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bases(spark: SparkSession, sf_dir: str, *, source: DataFrame | None = None, ops: str = "MDNS", keep: list[str] | None = None) -> DataFrame:
     """A row for each place that a read takes, with base, reference base and quality."""
     from cytoframe.functions.columns import parse_cigar
     from cytoframe.operators.pileup import expand_reads
 
-    keep = ["tid", "pos", "mapq", "flag", "qlen", "sample", *TIES]
-    rows = expand_reads(reads(spark, sf_dir).withColumn("cigar", parse_cigar(F.col("cigar"))), keep)
-    letter = lambda x: F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))
+    keep = keep or ["tid", "pos", "mapq", "flag", "qlen", "sample", *TIES]
+    rows = source if source is not None else reads(spark, sf_dir)
+    rows = expand_reads(rows.withColumn("cigar", parse_cigar(F.col("cigar"))), keep, ops=ops)
     return rows.withColumns(
         {
             "base": letter(F.col("l_partkey") + F.col("query_at") * 7 + F.col("l_orderkey")),
@@ -132,3 +132,7 @@ def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
             "reverse": F.col("flag").bitwiseAND(16) != 0,
         }
     )
+
+
+def letter(x: Column) -> Column:
+    return F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))

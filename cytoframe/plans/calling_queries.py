@@ -12,16 +12,18 @@ from cytoframe.plans.adapters import TIES, bases, mutations, partitions, reads,
 
 
 def ranked_alleles(spark: SparkSession, d: str) -> DataFrame:
-    rows = snps(spark, d).withColumn("ref", F.substring(F.lit("ACGT"), (F.col("pos") % 4 + 1).cast("int"), F.lit(1)))
+    rows = snps(spark, d).withColumn("ref", F.substring(F.lit("ACGTN"), (F.col("pos") % 5 + 1).cast("int"), F.lit(1)))
     rows = rows.select("tid", "pos", "ref", F.col("t_a").alias("qsum_a"), (F.col("t_b") % 7).alias("qsum_c"), (F.col("n_a") % 5).alias("qsum_g"), (F.col("n_b") % 3).alias("qsum_t"))
-    return V.ranked_alleles(rows).select("tid", "pos", "alleles")
+    return V.ranked_alleles(rows).select("tid", "pos", "alleles", "unseen")
 
 
 RANKED_ALLELES = (
     with_views("snps")
-    + """, x as (select tid, pos, substr('ACGT', cast(pos % 4 + 1 as int), 1) as ref, t_a as a, t_b % 7 as c, n_a % 5 as g, n_b % 3 as t from snps),
- y as (select tid, pos, ref, unnest(['A', 'C', 'G', 'T']) as b, unnest([a, c, g, t]) as q from x)
- select tid, pos, string_agg(b, '' order by case when b = ref then 0 else 1 end, q desc, b) as alleles from y where b = ref or q > 0 group by tid, pos"""
+    + """, x as (select tid, pos, substr('ACGTN', cast(pos % 5 + 1 as int), 1) as ref, t_a as a, t_b % 7 as c, n_a % 5 as g, n_b % 3 as t from snps),
+ y as (select tid, pos, ref, unnest(['A', 'C', 'G', 'T', 'N']) as b, unnest([a, c, g, t, 0]) as q from x),
+ o as (select *, row_number() over (partition by tid, pos, q = 0 order by b desc) as k from y where b <> ref and b <> 'N')
+ select x.tid, x.pos, ref || coalesce(string_agg(b, '' order by q desc, b desc) filter (q > 0 or k = 1), '') as alleles,
+  cast(case when count(*) filter (q = 0) > 0 then count(*) filter (q > 0) + 1 else -1 end as int) as unseen from x join o using (tid, pos, ref) group by x.tid, x.pos, ref"""
 )
 
 
@@ -94,11 +96,11 @@ TAGS = with_views("reads") + " select rg, case when mapq % 2 = 0 then '0' end as
 
 def neighbour_sites(spark: SparkSession, d: str) -> DataFrame:
     """Breakpoints in the first partition that holds them."""
-    points = mutations(spark, d).select("mut_key", "tid", "pos").where("mut_key % 5 = 0")
+    points = mutations(spark, d).select("mut_key", "tid", "pos")
     return intervals.first_match(points, partitions(spark).select("tid", "part_no", "p_start", "p_end"), key=["mut_key"], group="tid", at="pos", begin="p_start", end="p_end", ordinal="part_no", width=1_000)
 
 
-NEIGHBOUR_SITES = with_views("mutations") + " select mut_key, tid * 1000 + (pos - 1) // 1000 as part_no from mutations where mut_key % 5 = 0"
+NEIGHBOUR_SITES = with_views("mutations") + " select mut_key, tid * 1000 + (pos - 1) // 1000 as part_no from mutations"
 
 def edit_distances(spark: SparkSession, d: str) -> DataFrame:
     inserted = reads(spark, d).withColumn("n", F.when(F.col("l_linenumber") % 5 == 3, 3).otherwise(0)).select(*TIES, "n").distinct()
@@ -109,13 +111,21 @@ EDIT_DISTANCES = with_views("bases") + " select nm, count(*) as n from (select c
 
 
 def theta_inverse(spark: SparkSession, d: str) -> DataFrame:
-    """Distance of an imbalance from what its folded mean leads back to; 0 where it stands out from the noise."""
-    rows = snps(spark, d).select("tid", "pos", ((F.col("t_a") + 12) / 60.0).alias("theta"))
-    back = C.theta_inverse(C.theta_corr(F.col("theta"), F.lit(0.05)), F.lit(0.05))
-    return rows.select("tid", "pos", (F.abs(back - F.col("theta")) < 1e-6).alias("same"))
-
-
-THETA_INVERSE = with_views("snps") + " select tid, pos, true as same from snps"
+    """The imbalance that noise of two sizes turns into what is seen."""
+    rows = snps(spark, d).select("tid", "pos", ((F.col("t_a") + F.col("t_b")) / 100.0).alias("theta"), (0.02 + F.col("n_a") % 2 / 20.0).alias("sigma"))
+    return rows.select("tid", "pos", F.round(C.theta_inverse(F.col("theta"), F.col("sigma")), 6).alias("bare"))
+
+
+_HALF = "((low + high) / 2)"
+THETA_INVERSE = (
+    with_views("snps").replace("with ", "with recursive ", 1)
+    + f""", x as (select tid, pos, (t_a + t_b) / cast(100 as double) as y, cast(0.02 as double) + n_a % 2 / cast(20 as double) as s from snps),
+ d as (select distinct y, s from x),
+ inv as (select y, s, cast(0 as double) as low, cast(1 as double) as high, 0 as n from d
+  union all select y, s, case when below then {_HALF} else low end, case when below then high else {_HALF} end, n + 1 from (select *, {C.theta_corr_sql(_HALF, "s")} < y as below from inv where n < 40)),
+ out as (select y, s, case when y <= {C.theta_corr_sql("cast(0 as double)", "s")} then 0 else {_HALF} end as bare from inv where n = 40)
+ select tid, pos, round(bare, 6) as bare from x join out using (y, s)"""
+)
 
 QUERIES = {
     "v13_edit_distances": (edit_distances, EDIT_DISTANCES),

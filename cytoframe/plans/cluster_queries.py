@@ -26,7 +26,7 @@ def noise(spark: SparkSession, d: str) -> DataFrame:
     return out.select("sample_no", *[F.round(c, 9).alias(c) for c in ("sd_mean", "sd_pop", "sd_median")])
 
 
-NOISE = with_views("mutations") + _MUT + " select sample_no, round(avg(sd), 9) as sd_mean, round(stddev_pop(sd), 9) as sd_pop, round(median(sd), 9) as sd_median from m group by sample_no"
+NOISE = with_views("mutations") + _MUT + " select sample_no, round(avg(sd), 9) as sd_mean, round(stddev_pop(sd), 9) as sd_pop, round(median(sd), 9) as sd_median from m where ccf >= 0 and ccf < 1.5 group by sample_no"
 
 
 def histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +36,7 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
 HISTOGRAM = (
     with_views("mutations")
     + _MUT
-    + """, n as (select sample_no, stddev_pop(sd) as p, median(sd) as md from m group by sample_no), q as (select m.* from m join n using (sample_no) where sd <= md + cast(0.5 as double) * p),
+    + """, n as (select sample_no, stddev_pop(sd) as p, median(sd) as md from m where ccf >= 0 and ccf < 1.5 group by sample_no), q as (select m.* from m join n using (sample_no) where sd <= md + cast(0.5 as double) * p),
  h as (select sample_no, cast(floor(ccf * cast(33.333333333333336 as double)) as int) as bin, count(*) as n from q where ccf >= 0 and ccf < 1.5 group by all),
  f as (select s.sample_no, b.bin, coalesce(h.n, 0) as n from (select distinct sample_no from h) s cross join (select cast(unnest(range(50)) as int) as bin) b left join h on h.sample_no = s.sample_no and h.bin = b.bin)
  select sample_no, bin, n, round(n / (sum(n) over (partition by sample_no) * cast(0.03 as double)), 9) as density from f"""

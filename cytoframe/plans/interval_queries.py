@@ -40,7 +40,7 @@ def genome_totals(spark: SparkSession, d: str) -> DataFrame:
 GENOME_TOTALS = (
     with_views("reads", "partitions")
     + _COUNTS
-    + " select cast(sum(p_end - p_start) as bigint) as genome_size, cast(sum(n_t) as bigint) as reads_t, cast(sum(n_n) as bigint) as reads_n, round(cast(sum(n_n) as double) / sum(n_t), 9) as ratio_n_t, case when avg(n_t / cast(999 as double)) filter (tid = 23) / avg(n_t / cast(999 as double)) filter (tid = 22) < 0.2 and avg(n_t) filter (tid = 22) > 0 then 'f' else 'm' end as sex from counts"
+    + " select cast(sum(p_end - p_start + 1) as bigint) as genome_size, cast(sum(n_t) as bigint) as reads_t, cast(sum(n_n) as bigint) as reads_n, round(cast(sum(n_n) as double) / sum(n_t), 9) as ratio_n_t, case when avg(n_t / cast(1000 as double)) filter (tid = 23) / avg(n_t / cast(1000 as double)) filter (tid = 22) < 0.2 and avg(n_t) filter (tid = 22) > 0 then 'f' else 'm' end as sex from counts"
 )
 
 
@@ -60,7 +60,7 @@ def gc_variance(spark: SparkSession, d: str) -> DataFrame:
 GC_VARIANCE = (
     with_views("reads", "partitions")
     + _COUNTS
-    + ", g as (select cast(floor(gc_permille / cast(1000 as double) * 100) as int) as gc_bin, avg(pow(ln(1 + n_n) - 1, 2)) as v, count(*) as n from counts group by 1) select gc_bin, round(case when n > 5 then v else max(v) over () end, 7) as variance from g"
+    + ", g as (select cast(floor(gc_permille / cast(1000 as double) * 100) as int) as gc_bin, avg(pow(ln(1 + n_n) - 1, 2)) as v, count(*) as n from counts group by 1) select gc_bin, round(coalesce(case when n > 5 then v end, max(case when n > 5 then v end) over (), 0), 7) as variance from g"
 )
 
 

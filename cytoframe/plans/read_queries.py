@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cytoframe.functions import columns as C
 from cytoframe.operators import intervals, pileup
 from cytoframe.operators import reads as R
-from cytoframe.plans.adapters import TIES, bases, reads, with_views
+from cytoframe.plans.adapters import TIES, bases, letter, reads, with_views
 
 ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 TARGETS = [(i, f"chr{i + 1}" if i < 22 else "chrX" if i == 22 else "chrY") for i in range(24)]
@@ -180,11 +180,12 @@ TAG_VIEW = with_views("reads") + f" select qname, flag, rg as value, {ID} from r
 
 
 def valid_reads(spark: SparkSession, d: str) -> DataFrame:
-    rows = reads(spark, d).withColumn("tid", F.col("tid") + F.when(F.col("l_orderkey") % 13 == 0, 10).otherwise(0))
+    rows = reads(spark, d).withColumn("tid", F.col("tid") + F.when(F.col("l_orderkey") % 13 == 0, 10).when(F.col("l_orderkey") % 17 == 0, -12).otherwise(0))
+    rows = rows.withColumn("mtid", F.when(F.col("l_partkey") % 11 == 0, -2).otherwise(F.col("mtid"))).withColumn("qname", F.when(F.col("l_suppkey") % 9 == 0, "").otherwise(F.col("qname")))
     return R.valid_reads(rows, 24).groupBy("tid").agg(F.count("*").alias("n"))
 
 
-VALID_READS = with_views("reads") + " select tid, count(*) as n from (select tid + case when l_orderkey % 13 = 0 then 10 else 0 end as tid from reads) x where tid < 24 group by tid"
+VALID_READS = with_views("reads") + " select tid, count(*) as n from (select tid + case when l_orderkey % 13 = 0 then 10 when l_orderkey % 17 = 0 then -12 else 0 end as tid from reads where l_partkey % 11 <> 0 and l_suppkey % 9 <> 0) x where tid between -1 and 23 group by tid"
 
 
 def sorted_order(spark: SparkSession, d: str) -> DataFrame:
@@ -226,11 +227,19 @@ def duplicate_singles(spark: SparkSession, d: str) -> DataFrame:
 DUPLICATE_SINGLES = (
     with_views("reads")
     + f""", x as (select * replace (pos % 300 as pos), pos % 300 + qlen - 1 as ref_end from reads)
- select tid, pos, qname, {ID} from (select *, row_number() over (partition by lb, tid, (flag & 16), case when (flag & 16) <> 0 then ref_end else pos end order by qsum desc, {ID}) as k from x where (flag & 4) = 0) where k = 1
- union all select tid, pos, qname, {ID} from x where (flag & 4) <> 0"""
+ select tid, pos, qname, {ID} from (select *, row_number() over (partition by lb, tid, (flag & 16), case when (flag & 16) <> 0 then ref_end else pos end order by qsum desc, {ID}) as k from x where (flag & 5) = 0) where k = 1
+ union all select tid, pos, qname, {ID} from x where (flag & 5) <> 0"""
 )
 
 
+def forced_singles(spark: SparkSession, d: str) -> DataFrame:
+    rows = reads(spark, d).withColumn("pos", (F.col("pos") % 300).cast("bigint")).withColumn("ref_end", F.col("pos") + F.col("qlen") - 1)
+    return R.remove_duplicate_singles(rows, quality="qsum", order=TIES, forced=True).select("tid", "pos", "qname", *TIES)
+
+
+FORCED_SINGLES = DUPLICATE_SINGLES.replace("(flag & 5)", "(flag & 4)")
+
+
 def fixed_mates(spark: SparkSession, d: str) -> DataFrame:
     rows = reads(spark, d).withColumn("ref_end", F.col("pos") + F.col("qlen") - 1).withColumn("mpos", F.lit(0).cast("bigint"))
     return R.fix_mates(rows, order=TIES[1:]).select("qname", "flag", "mtid", "mpos", "isize", *TIES)
@@ -238,18 +247,23 @@ def fixed_mates(spark: SparkSession, d: str) -> DataFrame:
 
 FIXED_MATES = (
     with_views("reads")
-    + f""", n as (select *, pos + qlen - 1 as ref_end, row_number() over w as k from reads window w as (partition by qname order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
- m as (select a.*, b.tid as tid2, b.pos as pos2, b.flag as flag2, case when (b.flag & 16) <> 0 then b.ref_end else b.pos end as five2
-  from n a left join n b on a.qname = b.qname and b.k = case when a.k % 2 = 1 then a.k + 1 else a.k - 1 end)
- select qname, cast(case when flag2 is null then flag & ~43 else (flag & ~40) + case when (flag2 & 4) <> 0 then 8 else 0 end + case when (flag2 & 16) <> 0 then 32 else 0 end end as int) as flag,
-  coalesce(tid2, -1) as mtid, coalesce(pos2, 0) as mpos,
-  case when flag2 is not null and tid = tid2 and (flag & 4) = 0 and (flag2 & 4) = 0 then five2 - case when (flag & 16) <> 0 then ref_end else pos end else 0 end as isize, {ID} from m"""
+    + f""", n as (select *, case when (flag & 16) <> 0 then pos + qlen - 1 else pos - 1 end as five, row_number() over w as k,
+   lead(struct_pack(tid := tid, pos := pos, flag := flag, five := case when (flag & 16) <> 0 then pos + qlen - 1 else pos - 1 end)) over w as after,
+   lag(struct_pack(tid := tid, pos := pos, flag := flag, five := case when (flag & 16) <> 0 then pos + qlen - 1 else pos - 1 end)) over w as before
+   from reads window w as (partition by qname order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+ m as (select *, case when k % 2 = 1 then after else before end as mate, l_orderkey = (select max(l_orderkey) from reads) as final from n)
+ select qname, cast(case when mate is null and final then flag when mate is null then case when (flag & 1) = 1 then (flag | 8) & ~34 else flag end
+   else ((flag & ~32) | case when (mate.flag & 16) <> 0 then 32 else 0 end | case when (mate.flag & 4) <> 0 then 8 else 0 end) & case when (mate.flag & 4) <> 0 then ~2 else ~0 end end as int) as flag,
+  case when mate is null and final then mtid else coalesce(mate.tid, -1) end as mtid, coalesce(mate.pos, 0) as mpos,
+  case when mate is null and final then isize when mate is not null and tid = mate.tid and (flag & 12) = 0 and (mate.flag & 12) = 0 then mate.five - five else 0 end as isize, {ID} from m"""
 )
 
 
 def allele_counts(spark: SparkSession, d: str) -> DataFrame:
-    sure = bases(spark, d).where(pileup.certain_base(F.col("mapq"), F.col("quality"), F.col("flag")))
-    return pileup.allele_counts(sure.where("base is not null"), ["tid", "ref_pos"], strand="reverse")
+    # what a read decides is decided before it is taken apart
+    good = reads(spark, d).where("mapq > 0 and (flag & 1024) = 0").withColumn("least", pileup.least_quality(F.col("mapq"))).where("least is not null")
+    sure = bases(spark, d, source=good, ops="MS", keep=["tid", "pos", "flag", "least", "l_partkey", "l_orderkey"]).where("quality >= least")
+    return pileup.allele_counts(sure, ["tid", "ref_pos"], strand="reverse")
 
 
 _SURE = "quality >= 10 and mapq > 0 and (flag & 1024) = 0 and (1 - pow(cast(10 as double), -mapq / cast(10 as double))) * (1 - pow(cast(10 as double), -quality / cast(10 as double))) >= 0.99"
@@ -259,7 +273,7 @@ ALLELE_COUNTS = with_views("bases") + " select tid, ref_pos, " + ", ".join(f"cou
 def snp_counts(spark: SparkSession, d: str) -> DataFrame:
     from cytoframe.plans.adapters import snps
 
-    near = bases(spark, d).where("base is not null").withColumn("ref_pos", F.col("ref_pos") % 5_000)
+    near = bases(spark, d, ops="MS").withColumn("ref_pos", F.col("ref_pos") % 5_000)
     per = {s: pileup.allele_counts(near.where(F.col("sample") == s), ["tid", "ref_pos"]).withColumnRenamed("ref_pos", "pos") for s in "TN"}
     sites = snps(spark, d).select("tid", (F.col("pos") % 5_000).alias("pos")).distinct()
     return pileup.snp_rows(per["T"], per["N"], sites)
@@ -274,21 +288,36 @@ SNP_COUNTS = (
 
 
 def pileup_text(spark: SparkSession, d: str) -> DataFrame:
-    return pileup.pileup_strings(bases(spark, d).where("(flag & 1796) = 0 and op <> 'N'").withColumnRenamed("ref_pos", "_p").drop("pos").withColumnRenamed("_p", "pos"), order=TIES)
-
-
-PILEUP_TEXT = with_views("bases") + f" select tid, ref_pos as pos, count(*) as depth, string_agg(case when is_head then '^' || chr(least(mapq, 93) + 33) else '' end || case when query_at is null then '*' when base = ref then case when reverse then ',' else '.' end when reverse then lower(base) else base end || case when is_tail then '$' else '' end, '' order by {ID}) as pileup from bases where (flag & 1796) = 0 and op <> 'N' group by tid, ref_pos"
+    good = intervals.number_rows(reads(spark, d).where("(flag & 1796) = 0"), group="tid", at="pos", order=TIES)
+    rows = bases(spark, d, source=good, keep=["tid", "pos", "mapq", "flag", "ord", "l_partkey", "l_orderkey"]).drop("pos").withColumnRenamed("ref_pos", "pos")
+    # letters ahead, where the length changes: at most the three inserted, the two deleted
+    gained = F.concat(*[letter(F.col("l_partkey") + (F.col("query_at") + k) * 7 + F.col("l_orderkey")) for k in (1, 2, 3)])
+    lost = F.concat(*[letter((F.col("pos") + k) * 7 + F.col("tid")) for k in (1, 2)])
+    return pileup.pileup_strings(rows, order="ord", cell=pileup.pileup_cell(reference=lost, inserted=gained))
+
+
+_LETTER = lambda x: f"substr('ACGT', cast(({x}) % 4 + 1 as int), 1)"
+_GAINED = " || ".join(_LETTER(f"l_partkey + (query_at + {k}) * 7 + l_orderkey") for k in (1, 2, 3))
+_LOST = " || ".join(_LETTER(f"(ref_pos + {k}) * 7 + tid") for k in (1, 2))
+PILEUP_TEXT = (
+    with_views("bases")
+    + f""", cells as (select tid, ref_pos, pos, {ID}, case when is_head then '^' || chr(case when mapq > 93 then 126 else mapq + 33 end) else '' end
+   || case when op = 'N' then case when reverse then '<' else '>' end when query_at is null then '*' when base = ref then case when reverse then ',' else '.' end when reverse then lower(base) else base end
+   || case when pattern = 3 and r0 + k = 9 then '+3' || case when reverse then lower({_GAINED}) else {_GAINED} end when pattern = 2 and r0 + k = 9 then '-2' || case when reverse then lower({_LOST}) else {_LOST} end else '' end
+   || case when is_tail then '$' else '' end as cell from bases where (flag & 1796) = 0)
+ select tid, ref_pos as pos, count(*) as depth, string_agg(cell, '' order by pos, {ID}) as pileup from cells group by tid, ref_pos"""
+)
 
 
 def mapping_rms(spark: SparkSession, d: str) -> DataFrame:
     rows = bases(spark, d).withColumn("block", (F.col("ref_pos") % 1_000))
-    return pileup.rms_mapq(rows, ["tid", "block"]).join(pileup.iupac_consensus(rows.where("base is not null and ref_pos % 3 = 0"), ["tid", "block"]), ["tid", "block"], "left")
+    return pileup.rms_mapq(rows, ["tid", "block"]).join(pileup.iupac_consensus(rows.where("base is not null"), ["tid", "block"]), ["tid", "block"], "left")
 
 
 MAPPING_RMS = (
     with_views("bases")
     + """, m as (select tid, ref_pos % 1000 as block, cast(trunc(sqrt(avg(mapq * mapq)) + 0.499) as int) as rms_mapq from bases group by all),
- c as (select tid, ref_pos % 1000 as block, bit_or(case base when 'A' then 1 when 'C' then 2 when 'G' then 4 else 8 end) as code from bases where query_at is not null and ref_pos % 3 = 0 group by all)
+ c as (select tid, ref_pos % 1000 as block, bit_or(case base when 'A' then 1 when 'C' then 2 when 'G' then 4 else 8 end) as code from bases where query_at is not null group by all)
  select tid, block, rms_mapq, substr('=ACMGRSVTWYHKDBN', code + 1, 1) as consensus from m left join c using (tid, block)"""
 )
 
@@ -359,6 +388,7 @@ QUERIES = {
     "o2_merged_inputs": (merged_inputs, MERGED_INPUTS),
     "v14_duplicate_pairs": (duplicate_pairs, DUPLICATE_PAIRS),
     "v15_duplicate_singles": (duplicate_singles, DUPLICATE_SINGLES),
+    "v15_forced_singles": (forced_singles, FORCED_SINGLES),
     "v16_fixed_mates": (fixed_mates, FIXED_MATES),
     "a3_allele_counts": (allele_counts, ALLELE_COUNTS),
     "f11_snp_counts": (snp_counts, SNP_COUNTS),
