@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,21 @@ def local_session(cores: int | None = None, app: str = "cytoframe") -> SparkSess
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder named in spark.checkpoint.dir; in a temporary one only where the setting is absent (local runs)."""
+    """A new path in the folder named in spark.checkpoint.dir; in a temporary one only where the setting is absent and Spark runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         at = getattr(spark, "_cytoframe_shared", None)
         if at is None:
             at = spark._cytoframe_shared = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{at.rstrip('/')}/cytoframe-{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a path that ``shared_path`` gave, in whatever file system it lies."""
+    if "/cytoframe-" not in path:
+        raise ValueError(f"not a path of this package: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
