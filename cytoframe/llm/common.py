@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cytoframe.session import remove_path, shared_path
+
 #: Code points of text that a Python worker turns into objects at once.
 SLICE_CHARS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the setting is absent (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(spark, "_cytoframe_dir", None)
-        if at is None:
-            at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            spark._cytoframe_dir = at
-    return at.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/cytoframe-{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing is to be read from any more."""
+    for df in tables:
+        remove_path(df.sparkSession, df._stored_path)
 
 
 def text_key(text: Column) -> Column:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoframe.llm.common import mix, parts, stored, text_key
+from cytoframe.llm.common import discard, mix, parts, stored, text_key
 
 WORD = re.compile(r"[^ \t-\r]+")
 SHINGLE = 5
@@ -314,7 +314,9 @@ def rare_shingles(sequences: DataFrame) -> DataFrame:
 
     rows = stored(sequences.select("key", "seq").mapInArrow(run, "token bigint, key binary, place int, size int"), "shingles")
     several = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    return stored(rows.join(several, "token"), "rare-shingles")
+    out = stored(rows.join(several, "token"), "rare-shingles")
+    discard(rows)
+    return out
 
 
 def apart_shingles(rare: DataFrame, roots: DataFrame) -> DataFrame:
@@ -355,7 +357,8 @@ def components(pairs: DataFrame) -> DataFrame:
         # small star: a node and its lower neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), "m").where("u != m").select("u", F.col("m").alias("v"))
-        edges = stored(small.distinct(), "links")
+        before, edges = edges, stored(small.distinct(), "links")
+        discard(before)
         ends = edges.select(F.col("u").alias("key"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("key"), F.lit(0).alias("below"), F.lit(1).alias("above")))
         open_ = ends.groupBy("key").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below = 1 and above = 1")
         if not open_.limit(1).count():
@@ -372,6 +375,7 @@ def linked_texts(documents: DataFrame, texts: DataFrame) -> DataFrame:
     keys = values.select("key")
     whole = stored(_sequences_of(documents, keys), "sequences")
     tested = stored(hub_pairs(members), "pairs")
+    done = [tested]
     roots = components(verified_pairs(likely_pairs(tested, values), whole))
     roots = stored(keys.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root")), "roots")
     rare, texts_apart = rare_shingles(whole), keys.count()
@@ -389,8 +393,11 @@ def linked_texts(documents: DataFrame, texts: DataFrame) -> DataFrame:
         if found.limit(1).count():
             moved = components(found).toDF("root", "moved")
             roots = stored(roots.join(moved, "root", "left").select("key", F.coalesce("moved", "root").alias("root")), "roots")
+        discard(apart)
         if last:
+            discard(members, values, whole, rare, *done, fresh)
             return roots
+        done.append(fresh)
         number, before = number + 1, left
 
 
