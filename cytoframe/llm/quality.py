@@ -32,7 +32,6 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Most labelled rows that the learner sees; taken by a hash of the id.
 MAX_LABELLED = 20_000
 WINDOW = 5
-_STRUCT = "__quality_stats"
 
 
 def _repeated(ids: np.ndarray, doc: np.ndarray, n_docs: int, vocab: int) -> np.ndarray:
@@ -73,17 +72,18 @@ def text_stats(texts: list[str]) -> dict[str, np.ndarray]:
 
 
 def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """df and one struct column of the statistics of each row's whole text."""
-    fields = ", ".join(f"{k} bigint" for k in STATS)
-    schema = T.StructType([*df.schema.fields, T.StructField(_STRUCT, T._parse_datatype_string(f"struct<{fields}>"))])
+    """The columns of df as c0, c1 and so on, and those of STATS for each row's whole text; so no name of df can clash."""
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    schema = T.StructType([*plain.schema.fields, *[T.StructField(k, T.LongType()) for k in STATS]])
+    at = f"c{names.index(text)}"
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, text):
+        for batch, texts in parts(batches, at):
             found = text_stats(texts)
-            column = pa.StructArray.from_arrays([pa.array(found[k]) for k in STATS], names=list(STATS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, _STRUCT])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(found[k]) for k in STATS]], names=[*batch.schema.names, *STATS])
 
-    return df.mapInArrow(stats, schema)
+    return plain.mapInArrow(stats, schema)
 
 
 def features() -> dict[str, Column]:
@@ -209,9 +209,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LAB
         .orderBy(F.xxhash64("__id"), "__id", "__quality")
         .limit(most)
     )
-    docs = documents.select(F.col("doc_id").alias("__id"), F.col("text"))
-    rows = with_stats(docs.join(F.broadcast(chosen), "__id"))  # at most `most` rows of two numbers
-    return rows.select("__quality", f"{_STRUCT}.*").select(*(c.alias(k) for k, c in features().items()), "__quality")
+    docs = documents.select(F.col("doc_id").alias("__id"), F.col("text").alias("text"))
+    rows = with_stats(docs.join(F.broadcast(chosen), "__id").select("text", "__quality"))  # at most `most` rows of two numbers
+    return rows.select(*(c.alias(k) for k, c in features().items()), F.col("c1").alias("__quality"))
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[Rule]:
@@ -222,14 +222,12 @@ def fit_quality(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLE
 
 def quality_stats(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, the statistics, base_failed and kept, a row for each row of documents."""
-    rows = with_stats(documents.select("doc_id", "text")).select("doc_id", f"{_STRUCT}.*")
+    rows = with_stats(documents.select("doc_id", "text")).select(F.col("c0").alias("doc_id"), *STATS)
     rows = rows.withColumn("base_failed", base_failed())
     return rows.withColumn("kept", ~F.col("base_failed") & ~reject_column(rules))
 
 
 def filter_quality(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of documents that pass, with all their columns."""
-    rows = with_stats(documents)
-    renamed = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(documents.columns)]
-    flat = rows.select(*renamed, f"{_STRUCT}.*").where(~base_failed() & ~reject_column(rules))
-    return flat.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(documents.columns)))
+    kept = with_stats(documents).where(~base_failed() & ~reject_column(rules))
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)))
