@@ -19,6 +19,7 @@ from __future__ import annotations
 import gc
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
@@ -57,6 +58,8 @@ OLD_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_RANGES}]]+|[\
 
 #: Words whose encodings a task keeps between slices; beyond it starts again.
 MAX_WORDS = 250_000
+#: Bytes from which on a word is encoded on its own, outside of the trie.
+LONG_WORD = 2_000
 #: Token lengths to try where no longer token has a prefix's end.
 SHORT = (2, 1)
 
@@ -92,6 +95,7 @@ class Vocabulary:
             if len(t) > 2:
                 by_end.setdefault(t[-3:], set()).add(len(t))
         self.lengths = {end: (*sorted(found, reverse=True), *SHORT) for end, found in by_end.items()}
+        self.longest = max(map(len, self.tokens))
         self.sizes = {i: len(s) for i, s in self.symbols.items()}
         ids = model["vocab"]
         self.merges = {(ids[a], ids[b]): (rank, ids[a.removesuffix(suffix) + b]) for rank, (a, b) in enumerate(model["merges"])}
@@ -155,10 +159,14 @@ class Vocabulary:
                 continue
             node = root
             data = word.encode().decode("latin-1")
+            if len(data) > LONG_WORD:
+                out[word] = self.learn_alone(data[:-1] + chr(ord(data[-1]) + 256))
+                continue
             for b in data[:-1]:
                 node = node.setdefault(b, {})
             node.setdefault(chr(ord(data[-1]) + 256), {})[""] = word
-        prefixes = [""]
+        ends = [""]  # the last self.longest symbols of the prefix of each length: no token is longer
+        longest = self.longest
         last: list[int] = []  # of the prefix of each length, the last token
         stack = [iter(root.items())]
         tokens, lengths, sizes, follows = self.tokens, self.lengths, self.sizes, self.pairs
@@ -167,7 +175,7 @@ class Vocabulary:
             if step is None:
                 stack.pop()
                 if last:
-                    prefixes.pop()
+                    ends.pop()
                     last.pop()
                 continue
             symbol, below = step
@@ -180,13 +188,13 @@ class Vocabulary:
                     depth -= sizes[token]
                 out[below] = pack(f"<{len(found)}I", *reversed(found))
                 continue
-            depth = len(prefixes)
-            prefix = prefixes[-1] + symbol
-            prefixes.append(prefix)
-            for length in lengths.get(prefix[-3:], SHORT):
+            depth = len(ends)
+            end = (ends[-1] + symbol)[-longest:]
+            ends.append(end)
+            for length in lengths.get(end[-3:], SHORT):
                 if length > depth:
                     continue
-                token = tokens.get(prefix[depth - length :])
+                token = tokens.get(end[-length:])
                 if token is None:
                     continue
                 if length == depth:
@@ -201,6 +209,23 @@ class Vocabulary:
             stack.append(iter(below.items()))
         return out
 
+    def learn_alone(self, symbols: str) -> bytes:
+        """Packed ids of a very long word, which shares nothing: the same states along its one path, in numbers instead of a trie."""
+        last = array("i")
+        for depth in range(1, len(symbols) + 1):
+            for length in self.lengths.get(symbols[max(0, depth - 3) : depth], SHORT):
+                if length > depth or (token := self.tokens.get(symbols[depth - length : depth])) is None or not self.stands(token):
+                    continue
+                if length == depth or self.follows(last[depth - length - 1], token):
+                    break
+            last.append(token)
+        found = array("I")
+        depth = len(last)
+        while depth:
+            found.append(last[depth - 1])
+            depth -= self.sizes[last[depth - 1]]
+        return np.array(found[::-1], "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) for t in texts]
