@@ -12,7 +12,8 @@ The benchmark goes to the tasks in blocks of BLOCK_CHARS characters at most, eac
 documents are never shuffled.
 
 Defined results: null and empty texts match nothing; benchmark items without a letter or digit match nothing;
-items shorter than a q-gram match only as whole words; equal items each give their row; repeated rows give
+items shorter than a q-gram match only as whole words; an item without an id gives rows with a null item_id and drops documents like
+any other; equal items each give their row (those without an id one row together); repeated rows give
 repeated rows; an empty table gives an empty table; other columns are ignored (``drop_contaminated`` keeps them).
 """
 
@@ -251,8 +252,8 @@ def find_matches(index: Index, texts: list[str]) -> dict[int, dict[int, list[tup
         got = band_search(piece.text, plain[t], first, 2 * index.band, piece.errors)
         if got:
             hits.setdefault(t, {}).setdefault(piece.item, []).append((got[1], got[2], got[0]))
-    for piece in index.short:
-        for t, text in enumerate(map(normal, texts)):
+    for t, text in enumerate(map(normal, texts)) if index.short else ():
+        for piece in index.short:
             for m in re.finditer(rf"(?<!\S){re.escape(piece.text)}(?!\S)", text):
                 hits.setdefault(t, {}).setdefault(piece.item, []).append((m.start(), m.end(), 0))
     out = {}
@@ -270,7 +271,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in order of id, in blocks of BLOCK_CHARS characters at most (one item at least)."""
     block: list[tuple[int, str]] = []
     size = 0
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("i"), F.col("text").alias("t")).where("i is not null").orderBy("i", "t")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("i"), F.col("text").alias("t")).orderBy("i", "t")
     for r in items.toLocalIterator():
         n = len(r.t or "")
         if block and size + n > BLOCK_CHARS:
