@@ -248,8 +248,10 @@ def sanitise(documents: DataFrame, size: str | None = "n_chars") -> DataFrame:
     for kind in KINDS:
         rows = rows.withColumn("t", _replaced(F.col("t"), kind))
     if "removed" in rows.columns:
+        # a term that is called like a kind doesn't touch the names put in for entities
+        named = F.lit(rf"(?!(?<=\[)(?:{'|'.join(k.upper() for k in (*KINDS, 'term'))})\])")
         for column, shown in (("removed", ""), ("generalised", "[TERM]")):
-            rows = rows.withColumn("t", F.when(F.col(column).isNull(), F.col("t")).otherwise(F.regexp_replace("t", F.col(column), F.lit(shown))))
+            rows = rows.withColumn("t", F.when(F.col(column).isNull(), F.col("t")).otherwise(F.regexp_replace("t", F.concat(named, F.col(column)), F.lit(shown))))
     out = {c: F.col(f"c{i}") for i, c in enumerate(names)} | {"text": F.col("t")}
     if size in out:
         out[size] = F.length("t").cast(documents.schema[size].dataType)
