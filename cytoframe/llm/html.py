@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
-A page becomes a flat list of text blocks, each with its word count and link density, those of its neighbours,
-and marks of where it stands (inside an article, inside a navigation-like or named boilerplate container, in a
-heading, in a list). A decision tree trained on a small labelled table of blocks keeps or drops each block. Blocks kept are
+A page becomes a flat list of text blocks, each with its word count and link density, those of its neighbours before
+and after, and marks of where it stands (inside an article, inside a navigation-like or named boilerplate container, in a
+heading, in a list). A decision tree trained on a small labelled table of blocks keeps or drops each block. Most pages of that table
+name nothing: their menus, adverts, notices, comments and footers stand in the same containers as their articles, so the tree goes
+by words and links first; a name, where a page has one, is one more feature. Blocks kept are
 joined in page order by one space; character references are decoded and white space inside a block is one space.
 
 Pages are independent: each task works through its own rows in bounded slices and nothing is shuffled.
@@ -46,6 +48,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(["article", "main"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+LISTED = frozenset("li td th dt dd option".split())
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boilerplate", "article", "heading", "list", "sentence")
 
 
@@ -73,10 +76,48 @@ def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     return False, tag in ARTICLE
 
 
+class Open:
+    """The open elements: each knows how many boilerplate, article and list elements it stands in, itself included."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int, int]] = []
+        self.count: dict[str, int] = {}
+
+    def marks(self) -> tuple[bool, bool, bool]:
+        return tuple(n > 0 for n in self.stack[-1][1:]) if self.stack else (False, False, False)
+
+    def push(self, tag: str, boilerplate: bool, article: bool) -> None:
+        _, b, a, n = self.stack[-1] if self.stack else ("", 0, 0, 0)
+        self.stack.append((tag, b + boilerplate, a + article, n + (tag in LISTED)))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def close(self, tag: str) -> bool:
+        """Whether such an element was open; with it closes what it holds."""
+        if not self.count.get(tag):
+            return False
+        while True:
+            gone = self.stack.pop()[0]
+            self.count[gone] -= 1
+            if gone == tag:
+                return True
+
+    def close_like(self, tag: str) -> None:
+        """An element that ends the one of its kind before it, if only paragraphs stand between."""
+        k = len(self.stack) - 1
+        while k >= 0 and self.stack[k][0] == "p" != tag:
+            k -= 1
+        if k >= 0 and self.stack[k][0] == tag:
+            self.close(tag)
+
+    def clear(self) -> None:
+        self.stack.clear()
+        self.count.clear()
+
+
 def page_blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order."""
+    """The text blocks of a page in order; linear in the page, however deep its elements stand."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack = Open()
     text: list[str] = []
     linked: list[str] = []
     state = {"link": False, "heading": False, "label": None}
@@ -86,9 +127,8 @@ def page_blocks(page: str) -> list[Block]:
         if shown:
             words = shown.count(" ") + 1
             in_links = len(html.unescape(" ".join(linked)).split())
-            out.append(
-                Block(shown, words, min(1.0, in_links / words), any(s[1] for s in stack), any(s[2] for s in stack), state["heading"], any(s[0] in ("li", "td", "th", "dt", "dd", "option") for s in stack), state["label"])
-            )
+            boilerplate, article, listed = stack.marks()
+            out.append(Block(shown, words, min(1.0, in_links / words), boilerplate, article, state["heading"], listed, state["label"]))
         text.clear()
         linked.clear()
 
@@ -120,11 +160,8 @@ def page_blocks(page: str) -> list[Block]:
             continue
         if m["end"]:
             state["heading"] = state["heading"] and tag not in HEADINGS
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    state["link"] = False
-                    break
+            if stack.close(tag):
+                state["link"] = False
             continue
         if tag in HEADINGS:
             state["heading"] = True
@@ -134,16 +171,10 @@ def page_blocks(page: str) -> list[Block]:
         if tag == "p" and not attrs:
             continue
         if tag in ("p", "li"):  # opens by closing its like
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] != "p":
-                    break
+            stack.close_like(tag)
         if "data-main" in attrs:
             state["label"] = 'data-main="1"' in attrs
-        boilerplate, article = _marks(tag, attrs, any(s[2] for s in stack))
-        stack.append((tag, boilerplate, article))
+        stack.push(tag, *_marks(tag, attrs, stack.marks()[1]))
     take(page[at:])
     flush()
     return out
@@ -169,7 +200,7 @@ class Node:
     right: Node | None = None
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2) -> Node:
     """CART with Gini impurity; ties go to the first feature."""
     share = float(y.mean()) if len(y) else 0.0
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
