@@ -1,13 +1,17 @@
 """Toxicity: a linear-chain conditional random field over tokens.
 
-Tokens of labelled documents get labels of their own: within a document marked toxic, a token is toxic if its
-word, or its beginning of four or five letters, is seen nearly only in toxic documents. Segments around such tokens and
-segments of clean documents train a two-state chain. Over a whole text, forward and backward messages give every
-token the probability of being toxic; the largest is the document's score, and runs of tokens at 0.5 or more are
-the offending spans (code points).
+Labels are given for documents, the chain works on tokens. In a clean document every token is clean; in a toxic one at
+least one token is toxic, which one isn't known. So the labels of tokens are expected ones: in each round forward and backward messages
+give every token the probability of being toxic, first by the chain alone, then given the document's label, and the weights move by
+the difference of the expected counts (the gradient of the labels' likelihood). No word list is mined or given. A document is a
+row of segments of SEGMENT tokens in training; words, their beginnings and ends count as features if enough documents have them.
+
+Over a whole text, the messages give every token the probability of being toxic; runs of tokens at 0.5 or more are the
+offending spans (code points). A document's score is the largest probability that a stretch of SEGMENT tokens holds a toxic one,
+so that it doesn't grow with the length of a text.
 
 Labels are read only from the rows given as training rows; the score of a document depends on its text alone.
-Training uses a bounded sample (MAX_DOCUMENTS rows, MAX_SEGMENTS segments, taken by hashes); scoring is one pass
+Training uses a bounded sample (MAX_DOCUMENTS rows, chosen by hashes, of at most MAX_TOKENS tokens each); scoring is one pass
 over each task's own rows, without a shuffle, linear in the text.
 
 Defined results: a null or empty text has the score 0 and no spans; with no toxic label in the sample every
@@ -32,14 +36,13 @@ from pyspark.sql import types as T
 from cytoframe.llm.common import parts
 
 TOKEN = re.compile(r"\w+")
-#: Labelled rows, and segments of them, that the model is trained on at most.
-MAX_DOCUMENTS = 6_000
-MAX_SEGMENTS = 16_000
+#: Labelled rows that the model is trained on at most, and tokens that each of them may have.
+MAX_DOCUMENTS = 4_000
+MAX_TOKENS = 2_000
 SEGMENT = 48
-#: A word or beginning is toxic from so many toxic documents (or such a fraction of them) on, and such a share of toxic ones among those with it.
-LEAST_DOCUMENTS = 5
-LEAST_FRACTION = 0.03
-LEAST_SHARE = 0.9
+#: A feature counts if so many documents of the sample (or such a fraction of them) have it.
+LEAST_DOCUMENTS = 4
+LEAST_FRACTION = 0.002
 FOLDS = 5
 MAX_WORDS = 400_000
 
@@ -49,8 +52,8 @@ def tokens_of(text: str) -> list[str]:
 
 
 def token_features(word: str) -> tuple[str, ...]:
-    """The word, its beginnings and its end."""
-    return ("w" + word, "4" + word[:4], "5" + word[:5], "e" + word[-3:])
+    """The word and its beginnings."""
+    return ("w" + word, "4" + word[:4], "5" + word[:5])
 
 
 @dataclass
@@ -106,43 +109,73 @@ def marginals(odds: np.ndarray, lengths: np.ndarray, moves: tuple[float, ...]) -
     return both / (1 + both)
 
 
-def fit_chain(segments: list[list[str]], labels: list[list[int]], *, rounds: int = 80, rate: float = 0.5, penalty: float = 2e-4) -> Chain:
-    """Maximum likelihood by adaptive gradient steps; the gradient is observed less expected counts."""
-    flat = [w for s in segments for w in s]
-    if not flat or not any(map(any, labels)):
+def clean_logs(odds: np.ndarray, lengths: np.ndarray, moves: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logarithm of the probability that all tokens of each sequence are clean, and the forward and backward messages.
+
+    It is that of the first token being clean, and of each next one being clean after a clean one.
+    """
+    forward, backward = messages(odds, lengths, moves)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    step = np.log1p(np.exp(moves[1] - moves[0]) * odds * backward)
+    step[starts] = np.log1p(forward[starts] * backward[starts])
+    return -np.add.reduceat(step, starts) if len(starts) else np.zeros(0), forward, backward
+
+
+def cut_segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the segments of documents laid end to end, and the document of each."""
+    n = -(-lengths // SEGMENT)
+    owner = np.repeat(np.arange(len(lengths)), n)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    return np.minimum(SEGMENT, lengths[owner] - number * SEGMENT), owner
+
+
+def fit_chain(documents: list[list[str]], toxic: list[int], *, rounds: int = 80, rate: float = 0.5, penalty: float = 5e-3, start: float = -7.0) -> Chain:
+    """Maximum likelihood of the documents' labels by adaptive gradient steps; documents without a token are left out."""
+    full = [(d, y) for d, y in zip(documents, toxic) if d]
+    if not any(y for _, y in full):
         return Chain()
-    y = np.array([v for s in labels for v in s], float)
-    ids, words = pd.factorize(np.array(flat, object))
-    names: dict[str, int] = {}
-    table = np.array([[names.setdefault(f, len(names)) for f in token_features(w)] for w in words])
-    lengths = np.array([len(s) for s in segments if s])
-    inner = np.ones(len(flat), bool)
-    inner[np.cumsum(lengths) - 1] = False  # tokens with a next one
+    y = np.array([v for _, v in full], float)
+    ids, words = pd.factorize(np.array([w for d, _ in full for w in d], object))
+    sizes = np.array([len(d) for d, _ in full])
+    lengths, owner = cut_segments(sizes)
+    of_token = np.repeat(np.arange(len(full)), sizes)
+    # features that enough documents have; 0 stands for the others
+    features: dict[str, int] = {}
+    table = np.array([[features.setdefault(f, len(features)) for f in token_features(w)] for w in words])
+    pairs = np.unique(np.stack([np.repeat(of_token, table.shape[1]), table[ids].ravel()]), axis=1)
+    often = np.bincount(pairs[1], minlength=len(features)) >= max(LEAST_DOCUMENTS, math.ceil(LEAST_FRACTION * len(full)))
+    slot = np.where(often, np.cumsum(often), 0)
+    table, names = slot[table], [f for f, i in features.items() if often[i]]
+    inner = np.ones(len(ids), bool)
+    inner[np.cumsum(lengths) - 1] = False  # tokens with a next one in their segment
     at = np.flatnonzero(inner)
-    seen = np.bincount((2 * y[at] + y[at + 1]).astype(int), minlength=4).astype(float)
-    weights, bias, moves = np.zeros(len(names)), -3.0, np.zeros(4)
-    gw, gb, gm = np.full(len(names), 1e-8), 1e-8, np.full(4, 1e-8)
-    n = len(flat)
+    weights, bias, moves = np.zeros(len(names) + 1), start, np.zeros(4)
+    gw, gb, gm = np.full(len(weights), 1e-8), 1e-8, np.full(4, 1e-8)
     for _ in range(rounds):
-        emit = np.exp(np.clip(bias + weights[table].sum(1), -40, 40))
-        odds = emit[ids]
-        forward, backward = messages(odds, lengths, tuple(moves))
+        odds = np.exp(np.clip(bias + weights[table].sum(1), -40, 40))[ids]
+        logs, forward, backward = clean_logs(odds, lengths, tuple(moves))
+        clean = np.exp(np.minimum(np.bincount(owner, weights=logs, minlength=len(full)), -1e-9))
         p = forward * backward / (1 + forward * backward)
-        residual = np.bincount(ids, weights=y - p, minlength=len(words))
-        grad = np.bincount(table.ravel(), weights=np.repeat(residual, table.shape[1]), minlength=len(names)) / n - penalty * weights / 100
+        # expected counts given the label, less those without it, are the latter times this
+        pull = np.where(y == 1, clean / (1 - clean), -1.0)[of_token]
+        g = np.bincount(ids, weights=p * pull, minlength=len(words))
+        grad = np.bincount(table.ravel(), weights=np.repeat(g, table.shape[1]), minlength=len(weights)) / len(full) - penalty * weights / 100
+        grad[0] = 0
         gw += grad**2
         weights += rate * grad / np.sqrt(gw)
-        g = (y - p).mean()
-        gb += g**2
-        bias += rate * g / np.sqrt(gb)
+        total = g.sum() / len(full)
+        gb += total**2
+        bias += 0.3 * rate * total / np.sqrt(gb)
         stay, go, leave, keep = np.exp(moves)
         ahead = odds[at + 1] * backward[at + 1]
         pair = np.stack([np.full(len(at), stay), go * ahead, leave * forward[at], keep * forward[at] * ahead])
         pair /= pair.sum(0)
-        g4 = (seen - pair.sum(1)) / n - penalty * moves
+        pair[0] -= 1  # the way of clean tokens has nothing but this move
+        g4 = (pair * pull[at]).sum(1) / len(full) - 1e-3 * moves
         gm += g4**2
         moves += 0.1 * rate * g4 / np.sqrt(gm)
-    kept = {k: round(float(weights[i]), 6) for k, i in names.items() if abs(weights[i]) > 1e-4}
+    kept = {f: round(float(w), 6) for f, w in zip(names, weights[1:]) if abs(w) > 1e-4}
     return Chain(round(float(bias), 6), kept, tuple(round(float(m), 6) for m in moves))
 
 
@@ -150,75 +183,38 @@ def _by_hash(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns), *map(F.col, columns)]
 
 
-def with_origin(rows: DataFrame) -> DataFrame:
-    """rows (text, toxic) and a number that near copies mostly share: the least hash of a text's five-word windows."""
+def training_documents(documents: DataFrame, labels: DataFrame, most: int = MAX_DOCUMENTS) -> tuple[list[list[str]], list[int]]:
+    """Tokens and label of at most ``most`` rows of labels (doc_id, toxic), those with the smallest hashes of the id.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, "text"):
-            origins = []
-            for text in texts:
-                ws = tokens_of(text)
-                origins.append(min(crc32(" ".join(ws[k : k + 5]).encode()) for k in range(max(1, len(ws) - 4))))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("toxic"), pa.array(origins, pa.int64())], names=["text", "toxic", "origin"])
-
-    return rows.mapInArrow(run, "text string, toxic int, origin bigint")
-
-
-def toxic_markers(rows: DataFrame) -> set[str]:
-    """Words (w…) and beginnings (4…, 5…) that rows (text, toxic) show nearly only in toxic documents.
-
-    Near copies count once, so that the rare words of a document with many copies don't look like markers.
+    Rows of over MAX_TOKENS tokens are no training rows, and near copies with one label, which mostly share the least hash of their
+    five-word windows, are one.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
-    each = with_origin(rows).select("toxic", "origin", F.explode(words).alias("w"))
-    kinds = F.array(F.concat(F.lit("w"), "w"), F.concat(F.lit("4"), F.substring("w", 1, 4)), F.concat(F.lit("5"), F.substring("w", 1, 5)))
-    marks = each.select("toxic", "origin", F.explode(kinds).alias("mark")).where("length(mark) >= 5 or mark like 'w%'")
-    once = marks.groupBy("mark", "origin").agg(F.max("toxic").alias("toxic"))
-    counts = once.groupBy("mark").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    n_toxic = rows.where("toxic = 1").count()
-    least = max(LEAST_DOCUMENTS, math.ceil(LEAST_FRACTION * n_toxic))
-    # words of MAX_DOCUMENTS rows at most, and few of them pass
-    return {r.mark for r in counts.where((F.col("bad") >= least) & (F.col("bad") >= LEAST_SHARE * F.col("n"))).collect()}
-
-
-def label_tokens(words: list[str], marks: set[str]) -> list[int]:
-    return [int("w" + w in marks or (len(w) >= 4 and "4" + w[:4] in marks) or (len(w) >= 5 and "5" + w[:5] in marks)) for w in words]
-
-
-def training_segments(rows: DataFrame, marks: set[str], most: int = MAX_SEGMENTS) -> tuple[list[list[str]], list[list[int]]]:
-    """Segments of SEGMENT tokens: those with toxic tokens of toxic documents, and those of clean ones."""
+    chosen = (
+        labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+        .where("id is not null and toxic is not null")
+        .orderBy(*_by_hash("id"), "toxic")
+        .limit(most)
+    )
+    rows = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).join(F.broadcast(chosen), "id").select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in parts(batches, "text"):
             out = []
             for text, toxic in zip(texts, batch.column("toxic").to_pylist()):
                 words = tokens_of(text)
-                for k in range(0, len(words), SEGMENT):
-                    some = words[k : k + SEGMENT]
-                    labels = label_tokens(some, marks) if toxic else [0] * len(some)
-                    if any(labels) or not toxic:
-                        out.append((" ".join(some), "".join(map(str, labels)), int(any(labels))))
-            columns = [pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["words", "labels", "bad"])
+                if 0 < len(words) <= MAX_TOKENS:
+                    origin = min(crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4)))
+                    out.append((" ".join(words), toxic, origin))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["words", "toxic", "origin"])
 
-    segments = rows.mapInArrow(run, "words string, labels string, bad int")
-    got = []
-    for bad in (1, 0):
-        got += segments.where(F.col("bad") == bad).orderBy(*_by_hash("words", "labels")).limit(most // 2).collect()
-    return [r.words.split(" ") for r in got], [list(map(int, r.labels)) for r in got]
+    once = rows.mapInArrow(run, "words string, toxic int, origin bigint").groupBy("origin", "toxic").agg(F.min("words").alias("words"))
+    got = once.toPandas().sort_values(["toxic", "origin", "words"])  # `most` rows at most
+    return [w.split(" ") for w in got.words], got.toxic.tolist()
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, most: int = MAX_DOCUMENTS) -> Chain:
-    """A chain from at most ``most`` rows of labels (doc_id, toxic), those with the smallest hashes of the id."""
-    chosen = (
-        labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-        .where("id is not null and toxic is not null")
-        .orderBy(*_by_hash("id"), "toxic")
-        .limit(most)
-    )
-    rows = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).join(F.broadcast(chosen), "id").select("text", "toxic")
-    marks = toxic_markers(rows)
-    return fit_chain(*training_segments(rows, marks)) if marks else Chain()
+    """A chain from at most ``most`` rows of labels (doc_id, toxic)."""
+    return fit_chain(*training_documents(documents, labels, most))
 
 
 def fold(doc_id: Column) -> Column:
@@ -251,11 +247,14 @@ def score_texts(df: DataFrame, chain: Chain, *, key: str = "doc_id", text: str =
                 at += len(ws)
             p = marginals(odds, lengths, model.moves)
             ends = np.cumsum(lengths)
+            pieces, owner = cut_segments(lengths)
+            stretch = np.zeros(len(texts))
+            np.maximum.at(stretch, owner, -np.expm1(clean_logs(odds, pieces, model.moves)[0]))
             scores, spans = [], []
-            for text_, begin, end in zip(texts, ends - lengths, ends):
+            for text_, begin, end, most in zip(texts, ends - lengths, ends, stretch):
                 own = p[begin:end]
-                scores.append(float(own.max()) if len(own) else 0.0)
-                spans.append(_runs(text_, own) if scores[-1] >= 0.5 else [])
+                scores.append(float(max(most, own.max())) if len(own) else 0.0)
+                spans.append(_runs(text_, own) if len(own) and own.max() >= 0.5 else [])
             columns = [batch.column("key"), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])))]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "score", "spans"])
 

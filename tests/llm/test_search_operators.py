@@ -191,6 +191,27 @@ def test_lemma_keeps_every_match_within_the_edits():
         assert decontam.find_matches(index, [hidden]), errors
 
 
+def test_items_without_an_id(spark, items):
+    rng = np.random.default_rng(12)
+    text = prose(rng, 60)
+    bench = spark.createDataFrame([*items, (None, text), (None, prose(rng, 50))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"{prose(rng, 20)} {text} {prose(rng, 9)}"), (2, prose(rng, 40)), (3, f"x {items[0][1]}"), (4, "say tiny thing")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(1, None), (3, 0), (4, 50)}
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [2]
+
+
+def test_short_items_do_not_loosen_long_ones():
+    rng = np.random.default_rng(13)
+    index = decontam.Index([(1, "abcdefghijkl"), (2, prose(rng, 60)), (3, prose(rng, 200))])
+    assert len(index.groups) > 1 and max(g.least for g in index.groups) > 10
+    # a quote of 172 characters is found wherever it begins
+    long = decontam.normal(prose(rng, 200))
+    index = decontam.Index([(7, long)])
+    for at in range(0, len(long) - 172, 13):
+        assert 0 in decontam.find_matches(index, [f"before it all {long[at : at + 172]} and after it"]), at
+
+
 # --- toxicity ---
 
 
@@ -233,14 +254,50 @@ def test_marginals_match_enumeration():
     assert toxicity.marginals(odds, np.array([4]), moves) == pytest.approx(want)
 
 
+def area(score, toxic):
+    """Area under the curve of hits by false alarms."""
+    rank = score.rank()
+    n1 = (toxic == 1).sum()
+    return (rank[toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(toxic) - n1))
+
+
 def test_held_out_accuracy(spark):
-    rows = queries.op6_toxicity(spark, "/root/testdata/sf0.1").where("held_out").select("doc_id", "score")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
-    both = rows.join(labels, "doc_id").toPandas()
-    rank = both.score.rank()
-    n1 = (both.toxic == 1).sum()
-    auc = (rank[both.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(both) - n1))
-    assert auc > 0.9, auc
+    """The chain does better on held-out rows than a list of words seen nearly only in toxic training rows."""
+    base = "/root/testdata/sf0.1"
+    rows = queries.op6_toxicity(spark, base).where("held_out").select("doc_id", "score")
+    labels = spark.read.parquet(f"{base}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    both = rows.join(labels, "doc_id").join(spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text"), "doc_id").toPandas()
+    words, toxic = toxicity.training_documents(spark.read.parquet(f"{base}/documents.parquet"), labels.where(toxicity.fold(F.col("doc_id")) != 0))
+    seen = Counter(w for d in words for w in set(d))
+    bad = Counter(w for d, y in zip(words, toxic) if y for w in set(d))
+    listed = {w for w, n in bad.items() if n >= 5 and n >= 0.9 * seen[w]}
+    by_list = both.text.map(lambda t: float(any(w in listed for w in toxicity.tokens_of(t or ""))))
+    chain, plain = area(both.score, both.toxic), area(by_list, both.toxic)
+    assert chain > 0.95 and chain > plain, (chain, plain)
+
+
+def test_labels_of_documents_are_enough():
+    """Without a label of any token, the chain finds which tokens make documents toxic, and how they follow each other."""
+    rng = np.random.default_rng(2)
+    docs, toxic = [], []
+    for i in range(400):
+        words = list(rng.choice(WORDS, 60))
+        if i % 3 == 0:
+            words[20:24] = rng.permutation(["gnarl", "vex", "snide", "crude"])
+        docs.append(words)
+        toxic.append(int(i % 3 == 0))
+    chain = toxicity.fit_chain(docs, toxic)
+    odds = {w: chain.emission(w) for w in (*WORDS, "gnarl", "vex", "snide", "crude")}
+    assert max(odds[w] for w in WORDS) < 0.2 and min(odds[w] for w in ("gnarl", "vex", "snide", "crude")) > max(odds[w] for w in WORDS)
+    held = list(rng.choice(WORDS, 40))
+    held[5:7] = ["vex", "gnarl"]
+    p = toxicity.marginals(np.array([odds[w] for w in held]), np.array([40]), chain.moves)
+    assert set(np.flatnonzero(p >= 0.5)) <= {5, 6} and p.max() >= 0.5
+    logs, _, _ = toxicity.clean_logs(np.array([0.3, 2.0, 0.7]), np.array([3]), (0.1, -1.0, -0.5, 0.9))
+    from itertools import product
+
+    every = {s: np.prod([o**x for o, x in zip([0.3, 2.0, 0.7], s)]) * np.exp(sum((0.1, -1.0, -0.5, 0.9)[2 * a + b] for a, b in zip(s, s[1:]))) for s in product((0, 1), repeat=3)}
+    assert logs[0] == pytest.approx(np.log(every[0, 0, 0] / sum(every.values())))
 
 
 # --- pipeline ---
