@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import bpe, chat, decontam, html, neardup, pii, quality, sharding, toxicity, urls
+from cytoframe.llm import bpe, chat, decontam, html, neardup, pii, quality, sharding, toxicity, url_rules, urls
 
 SHARDS = 40
 #: Turns that look like the template's own marks.
@@ -18,9 +18,7 @@ URL_RULES = [
     urls.host_path_rule("block", "example.org/en/1"),
     urls.host_path_rule("allow", "com/fr/"),
     urls.host_path_rule("block", "com/de/"),
-    # hosts that say what they are, where no rule above fits
-    urls.UrlRule("~spam-farm", r"^(?:[^/]*\.)?spam-farm\.", ("spam", "farm"), "block", 0),
-    urls.UrlRule("~adserver", r"^(?:[^/]*\.)?adserver\.", ("adserver",), "block", 0),
+    *url_rules.blocked(),
 ]
 
 
@@ -117,10 +115,10 @@ with u as (
 select page_id, host, path, rule, case
   when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block'
   when rule is not null then 'allow'
-  when regexp_matches(host, '(^|\\.)(spam-farm|adserver)\\.') then 'block' else 'allow' end as verdict
+  when regexp_matches(host, '(^|\\.)(LABELS)(-[0-9]+)?\\.') or regexp_matches(path, '^/(.*/)?(SEGMENTS)(/|$)') then 'block' else 'allow' end as verdict
 from r
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_urls": OP7_SQL.replace("\\\\", "\\")}
+    return {"op7_urls": OP7_SQL.replace("\\\\", "\\").replace("LABELS", url_rules.labels_pattern()).replace("SEGMENTS", "|".join(url_rules.segments()))}

@@ -81,18 +81,27 @@ def index_rules(rules: DataFrame, url_tokens_: DataFrame, few: bool) -> DataFram
     return rules.join(rarest, "rule", "left").withColumn("token", F.coalesce("token", F.lit("")))
 
 
+def with_tokens(urls: DataFrame) -> DataFrame:
+    """host, path, token: each URL's tokens, and the empty one, which rules without a literal are filed under."""
+    every = F.array_union(url_tokens(F.col("host"), F.col("path")), F.array(F.lit("")))
+    return urls.select("host", "path", F.explode(every).alias("token"))
+
+
+def candidates(tokens: DataFrame, index: DataFrame, few: bool) -> DataFrame:
+    """host, path and every rule that a URL's tokens fetch; a rule has one token in the index, so no pair comes twice."""
+    return tokens.join(F.broadcast(index) if few else index, "token")
+
+
 def judge_urls(df: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """key, host, path, rule, its rank (both null where none fits) and verdict, a row for each row of df."""
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     pages = df.select(F.col(key).alias(key), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     urls = pages.select("host", "path").distinct()
-    tokens = urls.select("host", "path", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
-    index = index_rules(rules, tokens, few)
-    everywhere = urls.select("host", "path", F.lit("").alias("token"))
+    tokens = with_tokens(urls)
+    index = index_rules(rules, tokens.where("token <> ''"), few)
     order = F.struct("rank", "size", (F.col("rule_verdict") == "block").alias("block"), F.expr("-crc32(pattern)").alias("tie"), "rule", "rule_verdict")
     fits = (
-        tokens.unionByName(everywhere)
-        .join(F.broadcast(index) if few else index, "token")
+        candidates(tokens, index, few)
         .where(F.expr("concat(host, path) rlike pattern"))
         .groupBy("host", "path")
         .agg(F.max(order).alias("best"))

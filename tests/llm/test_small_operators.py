@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -182,6 +183,44 @@ def test_main_text(page, want):
     assert html.main_text(page or "", html.default_tree()) == want
 
 
+def _unnamed(rng, i):
+    """A page whose parts stand in like containers; which of its blocks are main text."""
+    words = lambda n: " ".join(rng.choice(["river", "stone", "lamp", "harbour", "winter", "bread", "letter", "garden"], n)).capitalize() + "."
+    link = lambda n: f'<a href="/{rng.integers(99)}">{words(n)}</a>'
+    menu = [(f"<div>{link(2)}</div>", 0) for _ in range(4)]
+    article = [(f"<div>{words(int(rng.integers(14, 60)))}</div>", 1) for _ in range(int(rng.integers(2, 6)))]
+    tail = [(f"<div>{link(6)}</div>", 0) for _ in range(3)] + [(f"<div>{link(1)} {link(1)}</div>", 0)]
+    parts = menu * (i % 4 > 0) + article + tail * (i % 3 > 0)
+    return "<body>" + "".join(p for p, _ in parts) + "</body>", [k for _, k in parts]
+
+
+def test_words_and_links_decide():
+    rng = np.random.default_rng(3)
+    tree = html.default_tree()
+    assert html.FEATURES[tree.feature] in ("links", "words")
+    xs, ys = [], []
+    for i in range(60):
+        page, keep = _unnamed(rng, i)
+        blocks = html.page_blocks(page)
+        assert len(blocks) == len(keep) and not any(b.boilerplate or b.article for b in blocks)
+        xs.append(html.block_features(blocks))
+        ys += keep
+    x, y = np.vstack(xs), np.array(ys, bool)
+    right = lambda x: ((html.predict(tree, x) >= 0.5) == y).mean()
+    mixed = x.copy()
+    mixed[:, :6] = rng.permutation(x[:, :6])
+    assert right(x) > 0.97 and right(mixed) < 0.75
+
+
+def test_deep_pages_are_quick():
+    import time
+
+    began = time.process_time()
+    page = "<div>" * 20_000 + "<p>A text that stands very deep in its page and has enough words.</p>" + "</section>" * 20_000 + "<div class='ad'>Buy</div>"
+    assert html.main_text(page, html.default_tree()) == "A text that stands very deep in its page and has enough words."
+    assert time.process_time() - began < 5
+
+
 def test_pages_with_odd_rows(spark):
     rows = [(1, "u", None, 1), (None, None, "<p>Some words that make a sentence.</p>", 2), (3, "u", "<p>" + "long words here. " * 20_000 + "</p>", 3), (3, "u", "", 4), (3, "u", "", 4)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
@@ -220,6 +259,22 @@ def test_url_rules_on_odd_rows(spark):
     assert urls.judge_urls(df.limit(0), urls.rule_table(spark, queries.URL_RULES)).count() == 0
 
 
+def test_only_candidate_rules_run(spark):
+    rules = queries.URL_RULES
+    assert len(rules) > 4_000
+    addresses = [f"http://w{i}.example{i % 7}.net/en/{i}" for i in range(200)] + ["http://x.best-casino-online-3.com/", "http://spam-farm.io/a", "http://a.net/b/phishing-login-go/c", "http://notcasino.net/casinos", "http://online.site/best"]
+    df = spark.createDataFrame(list(enumerate(addresses)), "page_id int, url string")
+    hosts = df.select(urls.url_host(df.url).alias("host"), urls.url_path(df.url).alias("path")).distinct()
+    tokens = urls.with_tokens(hosts)
+    pairs = urls.candidates(tokens, urls.index_rules(urls.rule_table(spark, rules), tokens.where("token <> ''"), True), True)
+    fetched = {(r.host, r.path): r.n for r in pairs.groupBy("host", "path").agg(F.count("*").alias("n")).collect()}
+    assert len([k for k in fetched if k[0].startswith("w")]) == 0 and sum(fetched.values()) < len(rules) // 4
+    want = {i: [r for r in rules if re.search(r.pattern, re.sub(r"^[a-z]+://", "", a))] for i, a in enumerate(addresses)}  # every rule on every URL
+    got = {r.page_id: r.rule for r in urls.judge_urls(df, urls.rule_table(spark, rules)).collect()}
+    assert {k: v is not None for k, v in got.items()} == {k: bool(v) for k, v in want.items()}
+    assert all(v is None or v in {r.name for r in want[k]} for k, v in got.items()) and sum(v is not None for v in got.values()) == 3
+
+
 # --- tokens ---
 
 
@@ -233,6 +288,16 @@ def tokenizer():
     return t
 
 
+def test_very_long_words(tokenizer):
+    import json
+
+    vocabulary = bpe.Vocabulary(json.load(open(queries.tokenizer_path(), encoding="utf-8")))
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefghié"), n)) for n in (1_999, 2_001, 30_000)] + ["=" * 7_000, "a" * 200_000, "lorem" * 900]
+    got = [np.frombuffer(x, "<u4").tolist() for x in vocabulary.encode(texts)]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def same_tokens(rows, texts, tokenizer):
     for r in rows:
         ids = tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
