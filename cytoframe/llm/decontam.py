@@ -7,6 +7,9 @@ document, piece and overlapping diagonal band, keeps the bands that reach the bo
 by an alignment that is restricted to the band. Before diagonals are looked at, a document must have that many
 q-grams of any piece within one window of a piece's length, which follows from the same bound.
 
+A quote of a part of an item is surely found from 172 characters on (without edits, signs and white space as one); shorter parts are found where they
+nearly cover a piece; items of under PIECE characters are found whole.
+
 Texts are compared lower-cased, with runs of signs and white space as one space; offsets refer to the text as it is.
 The benchmark goes to the tasks in blocks of BLOCK_CHARS characters at most, each one pass over the documents; the
 documents are never shuffled.
@@ -37,7 +40,8 @@ PIECE = 120
 ERRORS = 0.06
 #: Characters of benchmark text that one pass takes.
 BLOCK_CHARS = 4_000_000
-BITS = 22
+#: Bits of a group's table at most, which has four for each q-gram.
+BITS = 25
 SIGNS = re.compile(r"[\W_]+")
 _B = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(3)]
 
@@ -131,30 +135,40 @@ def cut_pieces(items: list[tuple[int, str]]) -> list[Piece]:
     return out
 
 
+class Group:
+    """Q-grams of pieces of about one length: sorted hashes, their places, and a table of bits, sized by them, to pass over most others."""
+
+    def __init__(self, pieces: list[Piece], numbers: list[int]):
+        grams = [qgrams(codes(p.text)) for p in pieces]
+        self.hashes = np.concatenate(grams)
+        self.piece = np.repeat(np.array(numbers), [len(g) for g in grams])
+        self.place = np.concatenate([np.arange(len(g)) for g in grams])
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.piece, self.place = self.hashes[order], self.piece[order], self.place[order]
+        self.shift = np.uint64(64 - min(max(int(np.ceil(np.log2(4 * len(self.hashes)))), 16), BITS))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[self.hashes >> self.shift] = True
+        self.least = min(p.least for p in pieces)
+        self.window = max(len(p.text) + p.errors for p in pieces)
+
+
 class Index:
-    """Q-grams of the pieces: sorted hashes, their places, and a table of bits to pass over most others."""
+    """The pieces, grouped by the number of q-grams they ask for, so that one short item doesn't loosen the search for long ones."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.pieces = cut_pieces(items)
         self.short = [p for p in self.pieces if len(p.text) < Q]
-        grams = [qgrams(codes(p.text)) for p in self.pieces]
-        self.hashes = np.concatenate([np.zeros(0, np.uint64), *grams])
-        self.piece = np.repeat(np.arange(len(self.pieces)), [len(g) for g in grams])
-        self.place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.piece, self.place = self.hashes[order], self.piece[order], self.place[order]
-        self.bits = np.zeros(1 << BITS, bool)
-        self.bits[self.hashes >> np.uint64(64 - BITS)] = True
-        long = [p for p in self.pieces if len(p.text) >= Q]
-        self.least = min((p.least for p in long), default=0)
-        self.window = max((len(p.text) + p.errors for p in long), default=0)
-        self.band = max((p.errors for p in long), default=0) + 1
-        self.errors = np.array([p.errors for p in self.pieces], np.int64)
+        long = [(p, i) for i, p in enumerate(self.pieces) if len(p.text) >= Q]
+        split: dict[int, list[tuple[Piece, int]]] = {}
+        for p, i in long:
+            split.setdefault(p.least.bit_length(), []).append((p, i))
+        self.groups = [Group([p for p, _ in x], [i for _, i in x]) for _, x in sorted(split.items())]
+        self.band = max((p.errors for p, _ in long), default=0) + 1
         self.leasts = np.array([p.least for p in self.pieces], np.int64)
 
     def candidates(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(text, piece, first diagonal of the band) that reach the lemma's bound; bands are two widths wide and overlap."""
-        if not len(self.hashes):
+        if not self.groups:
             return []
         c, starts = packed(texts)
         h = qgrams(c)
@@ -162,24 +176,28 @@ class Index:
             return []
         # no q-gram goes over a text's end
         over = (starts[1:-1, None] - np.arange(1, Q)).ravel()
-        maybe = self.bits[h >> np.uint64(64 - BITS)]
-        maybe[over[(over >= 0) & (over < len(h))]] = False
+        over = over[(over >= 0) & (over < len(h))]
+        return [found for group in self.groups for found in self._of_group(group, h, starts, over)]
+
+    def _of_group(self, group: Group, h: np.ndarray, starts: np.ndarray, over: np.ndarray) -> list[tuple[int, int, int]]:
+        maybe = group.bits[h >> group.shift]
+        maybe[over] = False
         hit = np.flatnonzero(maybe)
-        hit = hit[self._dense(hit)]
-        low = np.searchsorted(self.hashes, h[hit])
-        real = low < len(self.hashes)
-        real[real] = self.hashes[low[real]] == h[hit[real]]
+        hit = hit[_dense(hit, group)]
+        low = np.searchsorted(group.hashes, h[hit])
+        real = low < len(group.hashes)
+        real[real] = group.hashes[low[real]] == h[hit[real]]
         hit, low = hit[real], low[real]
-        dense = self._dense(hit)
+        dense = _dense(hit, group)
         hit, low = hit[dense], low[dense]
         if not len(hit):
             return []
-        size = np.searchsorted(self.hashes, h[hit], side="right") - low
+        size = np.searchsorted(group.hashes, h[hit], side="right") - low
         total = int(size.sum())
         at = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-        where, piece = np.repeat(hit, size), self.piece[at]
+        where, piece = np.repeat(hit, size), group.piece[at]
         owner_of = np.searchsorted(starts[1:], where, side="right")
-        diagonal = where - starts[owner_of] - self.place[at]
+        diagonal = where - starts[owner_of] - group.place[at]
         width = self.band
         n, span = len(self.pieces), int(np.diff(starts).max()) // width + PIECE // width + 4
         bins = diagonal // width + PIECE // width + 2
@@ -193,12 +211,13 @@ class Index:
         first = (bands[good] % span - PIECE // width - 2) * width
         return [(int(t), int(p), int(d)) for t, p, d in zip(bands[good] // (span * n), pieces[good], first)]
 
-    def _dense(self, hit: np.ndarray) -> np.ndarray:
-        """Whether each place lies in some window of a piece's length with as many of the places as any piece asks for."""
-        ends = np.searchsorted(hit, hit + self.window)
-        begin = np.flatnonzero(ends - np.arange(len(hit)) >= self.least)
-        edge = np.bincount(begin, minlength=len(hit) + 1) - np.bincount(ends[begin], minlength=len(hit) + 1)
-        return np.cumsum(edge)[: len(hit)] > 0
+
+def _dense(hit: np.ndarray, group: Group) -> np.ndarray:
+    """Whether each place lies in some window of a piece's length with as many of the places as any piece of the group asks for."""
+    ends = np.searchsorted(hit, hit + group.window)
+    begin = np.flatnonzero(ends - np.arange(len(hit)) >= group.least)
+    edge = np.bincount(begin, minlength=len(hit) + 1) - np.bincount(ends[begin], minlength=len(hit) + 1)
+    return np.cumsum(edge)[: len(hit)] > 0
 
 
 def band_search(piece: str, text: str, first: int, width: int, errors: int) -> tuple[int, int, int] | None:
