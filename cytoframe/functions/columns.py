@@ -280,5 +280,5 @@ def sex_factor(chromosome: Column, sex: Column) -> Column:
 
 
 def solexa_to_phred(quality: Column) -> Column:
-    """Array of old qualities to phred-scaled ones."""
-    return F.transform(quality, lambda q: F.floor(10 * F.log10(1 + F.pow(F.lit(10.0), (q - 64) / 10.0)) + 0.499).cast("int"))
+    """Array of qualities of an old scale, as files store them (letters less 33), to phred-scaled ones, at most 93."""
+    return F.transform(quality, lambda q: F.least(F.floor(10 * F.log10(1 + F.pow(F.lit(10.0), (F.least(q, F.lit(127)) - 31) / 10.0)) + 0.499), F.lit(93)).cast("int"))

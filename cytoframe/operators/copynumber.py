@@ -354,34 +354,3 @@ def ploidy_summary(segments: DataFrame, *, mode: str = "optimum", sample: str =
 def eligible_segments(segments: DataFrame, *, least_snps: int = 100, most_copies: float = 5.0) -> DataFrame:
     """Segments that the fit may use: autosomes with enough sites and not too many copies. segments: tid, cn, n_snps."""
     return segments.where((F.col("n_snps") >= least_snps) & (F.col("tid") < 22) & (F.col("cn") <= most_copies))
-
-
-def fold_windows(rows: np.ndarray, least_length: float, least_reads: int) -> np.ndarray:
-    """Number of the greedy window of each partition: a window closes at enough length and normal reads, or with its chromosome.
-
-    rows: chromosome, length, normal reads; in order.
-    """
-    out = np.zeros(len(rows), np.int64)
-    window, length, reads = 0, 0.0, 0
-    for i, (chromosome, size, n) in enumerate(rows):
-        if i and chromosome != rows[i - 1][0]:
-            window, length, reads = window + (length > 0), 0.0, 0
-        out[i] = window
-        length, reads = length + size, reads + n
-        if length >= least_length and reads >= least_reads:
-            window, length, reads = window + 1, 0.0, 0
-    return out
-
-
-def greedy_windows(parts: DataFrame, *, least_length: int, least_reads: int) -> DataFrame:
-    """parts (tid, part_no, p_start, p_end, n_n) with window, numbered from 0 within each chromosome.
-
-    A chromosome's partitions are folded in order as they stream by; a window needs no more memory than its sums.
-    """
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["p_start", "part_no"], ignore_index=True)
-        size = (frame.p_end - frame.p_start + 1).to_numpy(float)
-        rows = np.column_stack([np.zeros(len(frame)), size, frame.n_n.to_numpy(float)])
-        return pd.DataFrame({"tid": frame.tid, "part_no": frame.part_no, "window": fold_windows(rows, least_length, least_reads)})
-
-    return parts.select("tid", "part_no", "p_start", "p_end", "n_n").groupBy("tid").applyInPandas(run, "tid int, part_no bigint, window bigint")

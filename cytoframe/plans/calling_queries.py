@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cytoframe.functions import columns as C
 from cytoframe.operators import calling as V
 from cytoframe.operators import intervals, pileup
-from cytoframe.plans.adapters import TIES, bases, mutations, partitions, reads, snps, with_views
+from cytoframe.plans.adapters import TIES, bases, letter, mutations, partitions, reads, snps, with_views
 
 
 def ranked_alleles(spark: SparkSession, d: str) -> DataFrame:
@@ -127,11 +127,90 @@ THETA_INVERSE = (
  select tid, pos, round(bare, 6) as bare from x join out using (y, s)"""
 )
 
+#: Places that sites are folded to, so that they are deep enough.
+FOLDED = 5_000
+
+
+def _sites(spark: SparkSession, d: str) -> DataFrame:
+    rows = bases(spark, d, source=reads(spark, d).where("(flag & 1796) = 0"), ops="MS", keep=["tid", "pos", "flag", "l_partkey", "l_orderkey"])
+    return V.base_sums(rows.withColumn("place", F.col("ref_pos") % FOLDED), ["tid", "place"])
+
+
+def genotypes(spark: SparkSession, d: str) -> DataFrame:
+    rows = V.genotype_likelihoods(_sites(spark, d))
+    return rows.select("tid", "place", "n", *[F.round(F.get("likelihoods", F.lit(k)), 4).alias("p_" + "".join("acgt"[x] for x in g)) for k, g in enumerate(V.GENOTYPES)])
+
+
+def _genotypes_sql() -> str:
+    terms = "list_sum(list_transform(range({0}, n + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(e) + (n - x) * ln(1 - e))))"
+    number = lambda b: f"n_{b}"
+    parts = []
+    for i, j in V.GENOTYPES:
+        others = " + ".join(f"cost_{b}" for k, b in enumerate("acgt") if k not in (i, j)) or "0"
+        x, y = number("acgt"[i]), number("acgt"[j])
+        parts.append(others if i == j else f"greatest({others} - cast(4.343 as double) * (lgamma({x} + {y} + 1) - lgamma({x} + 1) - lgamma({y} + 1) - ({x} + {y}) * ln(cast(2 as double))), 0)")
+    return (
+        with_views("bases")
+        + f""", b0 as (select tid, ref_pos % {FOLDED} as place, base, reverse, least(greatest(quality, 4), 63) as q from bases where query_at is not null and (flag & 1796) = 0),
+ b1 as (select *, row_number() over (partition by tid, place order by q desc, reverse desc, base desc) as r from b0),
+ b2 as (select *, count(*) over (partition by tid, place) as n, row_number() over (partition by tid, place, base order by r) - 1 as k, row_number() over (partition by tid, place, base, reverse order by r) - 1 as w from b1 where r <= 255),
+ t as (select q, n, k, -10 * log10({terms.format("k + 1")} / {terms.format("k")}) as beta from (select distinct q, n, k, pow(cast(10 as double), -q / cast(10 as double)) as e from b2)),
+ s as (select tid, place, count(*) as n, """
+        + ", ".join(f"count(*) filter (base = '{b}') as n_{b.lower()}, sum(case when base = '{b}' then (pow(cast(0.83 as double), w) * cast(0.97 as double) + cast(0.03 as double)) * beta else 0 end) as cost_{b.lower()}" for b in "ACGT")
+        + " from b2 join t using (q, n, k) group by tid, place), g as (select tid, place, n, "
+        + ", ".join(f"{x} as p_{'acgt'[i]}{'acgt'[j]}" for x, (i, j) in zip(parts, V.GENOTYPES))
+        + " from s)"
+    )
+
+
+_PLS = [f"p_{'acgt'[i]}{'acgt'[j]}" for i, j in V.GENOTYPES]
+GENOTYPES = _genotypes_sql() + " select tid, place, n, " + ", ".join(f"round({p}, 4) as {p}" for p in _PLS) + " from g"
+
+
+def consensus(spark: SparkSession, d: str) -> DataFrame:
+    rows = V.genotype_likelihoods(_sites(spark, d)).withColumn("ref", letter(F.col("place") * 7 + F.col("tid")))
+    return V.consensus(rows).select("tid", "place", "consensus", "consensus_quality", "snp_quality")
+
+
+CONSENSUS = (
+    _genotypes_sql()
+    + f""", m as (select *, substr('ACGT', cast((place * 7 + tid) % 4 + 1 as int), 1) as ref, least({", ".join(_PLS)}) as low from g),
+ c as (select tid, place, ref, unnest([{", ".join(f"cast(least(floor(round({p} - low, 6) + cast(0.5 as double)), 255) as int)" for p in _PLS)}]) as lk, unnest([{", ".join(f"'{'ACGT'[i]}{'ACGT'[j]}'" for i, j in V.GENOTYPES)}]) as gt, unnest(range(10)) as o from m),
+ p as (select *, lk + case when gt = ref || ref then 0 when contains(gt, ref) then 30 else 33 end as p from c),
+ r as (select *, row_number() over (partition by tid, place order by p, o) as k from p)
+ select tid, place, max(case gt when 'AA' then 'A' when 'CC' then 'C' when 'GG' then 'G' when 'TT' then 'T' when 'AC' then 'M' when 'AG' then 'R' when 'AT' then 'W' when 'CG' then 'S' when 'CT' then 'Y' else 'K' end) filter (k = 1) as consensus,
+  cast(least(min(p) filter (k = 2) - min(p) filter (k = 1), 255) as int) as consensus_quality, cast(least(min(p) filter (gt = ref || ref) - min(p) filter (k = 1), 255) as int) as snp_quality from r group by tid, place"""
+)
+
+
+def mapping_caps(spark: SparkSession, d: str) -> DataFrame:
+    # a reference that most bases agree with
+    rows = bases(spark, d).withColumn("ref", F.when((F.col("l_partkey") + F.col("ref_pos")) % 23 == 0, F.col("ref")).otherwise(F.col("base")))
+    late = rows.where("op = 'S'").groupBy(*TIES).agg(F.sum("quality").alias("late"))
+    first = sum(((5 + (F.col("l_partkey") + k * 11) % 36) for k in range(1, 5)), 5 + F.col("l_partkey") % 36)
+    early = reads(spark, d).where("l_linenumber % 5 = 1").select(*TIES, first.alias("early")).distinct()
+    clips = late.join(early, TIES, "full").select(*TIES, (F.coalesce("late", F.lit(0)) + F.coalesce("early", F.lit(0))).alias("clip_quality"))
+    return V.mapping_caps(rows, TIES, clips)
+
+
+_EARLY = " + ".join(f"5 + (l_partkey + {k * 11}) % 36" for k in range(5))
+MAPPING_CAPS = (
+    with_views("bases")
+    + f""", r as (select *, case when (l_partkey + ref_pos) % 23 = 0 then ref else base end as near from bases),
+ s as (select {", ".join(TIES)}, count(*) filter (op = 'M' and quality >= 13) + count(*) filter (op = 'M') as len, count(*) filter (op = 'M' and quality >= 13 and base <> near) as mm,
+   coalesce(sum(least(quality, 33)) filter (op = 'M' and quality >= 13 and base <> near), 0) as q, coalesce(sum(quality) filter (op = 'S'), 0) + case when l_linenumber % 5 = 1 then {_EARLY} else 0 end as clip from r group by {", ".join(TIES)}),
+ t as (select *, q - cast(4.343 as double) * (mm * ln(len) - lgamma(mm + 1)) + clip / cast(5 as double) as t from s)
+ select {", ".join(TIES)}, case when t > 40 then -1 else cast(trunc(sqrt((40 - greatest(t, 0)) / 40) * 40 + cast(0.499 as double)) as int) end as cap from t"""
+)
+
 QUERIES = {
     "v13_edit_distances": (edit_distances, EDIT_DISTANCES),
     "x14_theta_inverse": (theta_inverse, THETA_INVERSE),
     "a30_ranked_alleles": (ranked_alleles, RANKED_ALLELES),
-    "v6_likelihoods": (likelihoods, LIKELIHOODS),
+    "v6_count_likelihoods": (likelihoods, LIKELIHOODS),
+    "v4_genotype_likelihoods": (genotypes, GENOTYPES),
+    "v6_consensus": (consensus, CONSENSUS),
+    "v12_mapping_caps": (mapping_caps, MAPPING_CAPS),
     "o5_best_candidates": (best_candidates, BEST_CANDIDATES),
     "a32_majority": (majority, MAJORITY),
     "j14_site_list": (site_list, SITE_LIST),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cytoframe.operators import copynumber as M
 from cytoframe.operators import intervals as I
+from cytoframe.operators import profile
 from cytoframe.plans.adapters import TIES, mutations, partitions, reads, segments, table, with_views
 
 
@@ -160,20 +161,24 @@ MERGED_CHUNKS = (
 
 
 def greedy_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = _counts(spark, d)
-    windows = M.greedy_windows(rows, least_length=5_000, least_reads=8)
-    return rows.join(windows.drop("tid"), "part_no").groupBy("tid", "window").agg(F.min("p_start").alias("w_start"), F.max("p_end").alias("w_end"), F.sum("n_t").alias("n_t"), F.sum("n_n").alias("n_n"))
+    return profile.genome_windows(_counts(spark, d), least_length=5_000, least_reads=8).select("part_no", "window", "counted", "with_gc", F.col("so_far").cast("bigint").alias("so_far"), "ends")
 
 
 GREEDY_WINDOWS = (
     "with recursive "
     + with_views("reads", "partitions").removeprefix("with ")
     + _COUNTS
-    + """, walk as (select tid, bin, part_no, n_n, 0 as win, 1000 as len, n_n as reads from counts where bin = 0
- union all select c.tid, c.bin, c.part_no, c.n_n, case when w.len >= 5000 and w.reads >= 8 then w.win + 1 else w.win end,
-  case when w.len >= 5000 and w.reads >= 8 then 1000 else w.len + 1000 end, case when w.len >= 5000 and w.reads >= 8 then c.n_n else w.reads + c.n_n end
-  from walk w join counts c on c.tid = w.tid and c.bin = w.bin + 1)
- select w.tid, cast(win as bigint) as "window", min(p_start) as w_start, max(p_end) as w_end, cast(sum(c.n_t) as bigint) as n_t, cast(sum(c.n_n) as bigint) as n_n from walk w join counts c on c.part_no = w.part_no group by w.tid, win"""
+    + """, walk as (select part_no, tid, 0 as w, 0 as c, true as g, cast(1000 as bigint) as len, n_n as seen, false as e, 1000 >= 5000 and n_n >= 8 as shut from counts where part_no = 0
+ union all select n.part_no, n.tid,
+  case when w.shut then case when n.tid = w.tid then w.c + 1 else w.c + 1 end else w.c end,
+  case when n.tid <> w.tid and not w.shut and w.seen > 0 then w.c + 1 when w.shut then w.c + 1 else w.c end,
+  not (n.tid <> w.tid and (w.shut or w.seen = 0)),
+  case when w.shut then 0 else w.len end + 1000,
+  case when w.shut or n.tid <> w.tid then 0 else w.seen end + n.n_n,
+  n.tid <> w.tid,
+  n.tid = w.tid and case when w.shut then 0 else w.len end + 1000 >= 5000 and case when w.shut then 0 else w.seen end + n.n_n >= 8
+  from walk w join counts n on n.part_no = w.part_no + 1)
+ select part_no, cast(w as bigint) as "window", cast(c as bigint) as counted, g as with_gc, len as so_far, e as ends from walk"""
 )
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from cytoframe.functions import columns as C
 from cytoframe.functions import kernels
 from cytoframe.operators import copynumber as M
+from cytoframe.operators import profile as profile_
 from cytoframe.operators.intervals import first_match, islands
 from cytoframe.plans.adapters import mutations, segments, snps, with_views
+from cytoframe.session import shared_path
 
 DIGITS = 6
 
@@ -245,6 +247,96 @@ def profile(spark: SparkSession, d: str) -> DataFrame:
 PROFILE = _grid_sql(PROFILE_PLOIDIES) + " select round(ploidy, 6) as ploidy_exp, round(purity, 6) as purity, round(autosome_copies, 6) as ploidy, round(scale, 6) as scale, round(l_bi, 2) as l_bi, round(l_cn, 2) as l_cn from per where k = 1"
 
 
+def allelic_states(spark: SparkSession, d: str) -> DataFrame:
+    rows = profile_.states_table(_clones(spark, d), "s1")
+    return _rounded(rows, "Copy_Nr_Raw", "Theta", "Theta_Exp", "Subclonal_P_value")
+
+
+_NAME = "case when tid < 22 then 'chr' || (tid + 1) when tid = 22 then 'chrX' else 'chrY' end"
+ALLELIC_STATES = (
+    _CASE_TESTED
+    + _MIXTURES
+    + f""" select 's1' as "Sample", {_NAME} as "Chromosome", s_start as "Start", s_end as "End", round({_RAW}, 6) as "Copy_Nr_Raw", a + b as "CopyNr", a as "A", b as "B", cast(b = 0 as int) as "LOH", round(theta, 6) as "Theta", round(theta_exp, 6) as "Theta_Exp",
+ n_snps as "n_SNPs", cast(is_subclonal as int) as "Is_Subclonal_CN", round(p_subclonal, 6) as "Subclonal_P_value", cast(is_inconsistent as int) as "Is_Inconsistent_State" from cl where n_snps >= 1 and theta_exp >= 0 and tid <> 22"""
+)
+
+
+def subclonal_cn(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(profile_.subclonal_table(_clones(spark, d), "s1"), "Subclonal_CN", "Clone1_Fraction", "Clone2_Fraction")
+
+
+SUBCLONAL_CN = (
+    _CASE_TESTED
+    + _MIXTURES
+    + f""" select 's1' as "Sample", {_NAME} as "Chromosome", s_start as "Start", s_end as "End", round((a1 + b1) * tau1 + (a2 + b2) * tau2, 6) as "Subclonal_CN", a1 as "Clone1_A", b1 as "Clone1_B", round(tau1, 6) as "Clone1_Fraction",
+ a2 as "Clone2_A", b2 as "Clone2_B", round(tau2, 6) as "Clone2_Fraction" from cl where is_subclonal and not is_inconsistent and tid < 22"""
+)
+
+
+def _seen(spark: SparkSession, d: str) -> DataFrame:
+    return _clones(spark, d).drop("icn").withColumns({"af_obs": F.col("af"), "coverage": F.col("dp"), "pos": F.col("s_start")})
+
+
+def expected_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(profile_.expected_table(_seen(spark, d), "s1", alleles=True), "AF_exp", "Mut_Copies", "Mut_Copies_Raw", "iCN", "P_Is_Clonal", "tau1", "tau2")
+
+
+_KIND = "case when length(ref) = 1 and length(alt) = 1 then '_SNM' when length(alt) = 1 then '_DEL' when length(ref) = 1 then '_INS' end"
+_OWN = lambda c: f"case when is_subclonal and not is_inconsistent then {c} else -1 end"
+EXPECTED_FREQUENCIES = (
+    _CASE_TESTED
+    + _MIXTURES
+    + _COPIES
+    + f""" select 's1_' || {_NAME} || ':' || s_start || {_KIND} as "Mut_ID", {_NAME} as "Chr", s_start as "Position", ref as "Wt", alt as "Mut", af as "AF_obs", dp as "Coverage", round(af_exp, 6) as "AF_exp", round(copies, 6) as "Mut_Copies", round(copies_raw, 6) as "Mut_Copies_Raw",
+ cast(is_subclonal as int) as "Is_Subclonal_CN", round(icn, 6) as "iCN", round(p_below, 6) as "P_Is_Clonal", case when is_subclonal and not is_inconsistent then -1 else a end as "CN_A", case when is_subclonal and not is_inconsistent then -1 else b end as "CN_B",
+ round({_OWN("tau1")}, 6) as tau1, {_OWN("a1")} as "CN_Clone1_A", {_OWN("b1")} as "CN_Clone1_B", round({_OWN("tau2")}, 6) as tau2, {_OWN("a2")} as "CN_Clone2_A", {_OWN("b2")} as "CN_Clone2_B" from ep where {_KIND} is not null"""
+)
+
+
+def phylogeny(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(profile_.phylogeny_table(_seen(spark, d), "s1"), "mu_v")
+
+
+PHYLOGENY = (
+    _CASE_TESTED
+    + _MIXTURES
+    + _COPIES
+    + f""" select 's' || (row_number() over (order by tid, s_start, ref, alt) - 1) as id, 's1_' || {_NAME} || ':' || s_start || '_SNM' as gene, cast(trunc(dp * (1 - af) + cast(0.1 as double)) as bigint) as a, dp as d, cast(0.999 as double) as mu_r, round(1 - af_exp, 6) as mu_v
+ from ep where length(ref) = 1 and length(alt) = 1"""
+)
+
+
+def _profile_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from cytoframe.plans.interval_queries import _counts
+
+    parts = _counts(spark, d).withColumn("gc", F.col("gc_permille") / 1000.0)
+    sites = snps(spark, d).withColumn("part_no", (F.col("tid") * 1000 + F.floor((F.col("pos") - 1) / 1000)).cast("bigint"))
+    return parts, sites
+
+
+def profile_of_parts(spark: SparkSession, d: str) -> DataFrame:
+    parts, _ = _profile_inputs(spark, d)
+    breaks = mutations(spark, d).where("alt = 'CG'").select("tid", "pos")
+    out = profile_.copy_number_profile(parts, least_length=5_000, least_reads=8, breaks=breaks)
+    return out.select("part_no", "window", "segment", "cn_coarse", "cn")
+
+
+def refined(spark: SparkSession, d: str) -> DataFrame:
+    """Summary of the fit refined in two rounds."""
+    parts, sites = _profile_inputs(spark, d)
+    cut = stored_copies(profile_.copy_number_profile(parts, least_length=5_000, least_reads=8))
+    muts = mutations(spark, d).select("mut_key", "tid", "pos", F.col("af").alias("af_obs"), F.col("dp").alias("coverage"))
+    fit, states, _ = profile_.refined_fit(cut, sites, SIGMA, purities=PURITIES, ploidies=PLOIDIES, least_snps=LEAST_SNPS, mutations=muts)
+    return M.ploidy_summary(states, mode=fit.mode, sample="s1")
+
+
+def stored_copies(parts: DataFrame) -> DataFrame:
+    """parts written to the shared folder and read again: the rounds of the fit read them several times."""
+    path = shared_path(parts.sparkSession, "profile")
+    parts.write.parquet(path)
+    return parts.sparkSession.read.schema(parts.schema).parquet(path)
+
+
 def copy_number_runs(spark: SparkSession, d: str) -> DataFrame:
     rows = segments(spark).where("tid < 22").withColumn("icn", F.floor(F.col("icn") / 2))
     runs = islands(rows, group=["tid"], order=["seg"], by=["icn"])
@@ -318,6 +410,12 @@ QUERIES = {
     "m11_two_clones": (two_clones, TWO_CLONES),
     "m13_expected_af": (expected_af, EXPECTED_AF),
     "m15_summary": (summary, SUMMARY),
+    "m1_profile": (profile_of_parts, None),
+    "m9_refined_fit": (refined, None),
+    "sk4_allelic_states": (allelic_states, ALLELIC_STATES),
+    "sk5_subclonal_cn": (subclonal_cn, SUBCLONAL_CN),
+    "sk7_expected_af": (expected_frequencies, EXPECTED_FREQUENCIES),
+    "sk8_phylogeny_input": (phylogeny, PHYLOGENY),
     "m12_copy_number_runs": (copy_number_runs, COPY_NUMBER_RUNS),
     "w2_binary_segments": (binary_segments, None),
     "w3_flank_segments": (flank_segments, None),

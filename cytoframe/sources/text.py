@@ -74,7 +74,12 @@ def sam_lines(reads: DataFrame, flags: str = "decimal") -> DataFrame:
 
 def read_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """line_no (order within the header), kind, tags (map) of header lines; comments have their text under ``text``."""
-    lines = _lines(spark, path).where(F.col("value").rlike("^@[A-Z]{2}(\t|$)")).withColumn("line_no", F.monotonically_increasing_id())
+    return header_rows(_lines(spark, path))
+
+
+def header_rows(lines: DataFrame) -> DataFrame:
+    """As ``read_header``, of lines (column value) in order."""
+    lines = lines.where(F.col("value").rlike("^@[A-Z]{2}(\t|$)")).withColumn("line_no", F.monotonically_increasing_id())
     kind = F.substring("value", 2, 2)
     parts = F.filter(F.slice(F.split("value", r"\t"), 2, 1_000), lambda t: F.rlike(t, F.lit("^[A-Za-z][A-Za-z0-9]:")))
     tags = F.map_from_entries(F.transform(parts, lambda t: F.struct(F.substring(t, F.lit(1), F.lit(2)), F.substring(t, F.lit(4), F.length(t)))))

@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cytoframe.functions import kernels as K
-from cytoframe.operators.copynumber import fold_windows, grid
+from cytoframe.operators.copynumber import grid
+from cytoframe.operators.profile import fold_genome
 
 
 def test_smoothing_spline_keeps_lines_and_smooths():
@@ -111,8 +112,13 @@ def test_glocal_posteriors_trust_exact_reads():
 
 
 def test_windows_close_by_length_and_reads():
-    rows = np.array([(0, 5, 1), (0, 5, 1), (0, 5, 3), (0, 5, 9), (1, 5, 9), (1, 5, 9)], float)
-    assert fold_windows(rows, 10, 2).tolist() == [0, 0, 1, 1, 2, 2]
+    tid, size, reads = np.array([0, 0, 0, 0, 0, 1, 1, 1, 1, 2]), np.full(10, 5.0), np.array([1.0, 1, 3, 9, 4, 7, 9, 0, 2, 6])
+    got = fold_genome(tid, size, reads, 10, 2)
+    # the open window 2 closes at chromosome 1, whose first partition stays in it while its reads count to window 3
+    assert got.window.tolist() == [0, 0, 1, 1, 2, 2, 3, 4, 4, 5] and got.counted.tolist() == [0, 0, 1, 1, 2, 3, 3, 4, 4, 5]
+    # its length runs on; no window is open at chromosome 2, so that partition's GC doesn't count
+    assert got.so_far.tolist() == [5, 10, 5, 10, 5, 10, 15, 5, 10, 5]
+    assert got.with_gc.tolist() == [True] * 9 + [False] and np.flatnonzero(got.ends).tolist() == [5, 9]
 
 
 def test_grid_ends_where_repeated_addition_ends():
