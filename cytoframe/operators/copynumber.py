@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cytoframe.functions.columns import erf, sex_factor, theta_corr, theta_inverse, truncate_half
 from cytoframe.operators.intervals import range_join
+from cytoframe.session import written
 
 #: Fixed values of the model.
 LEAST_THETA_SIGMA = 0.015
@@ -318,9 +319,9 @@ def refine_purity(segments: DataFrame, mutations: DataFrame, *, sigma: float, pu
         states = allele_states(segments.withColumns(at), ["seg_id"], sigma).where("a >= 0").select("seg_id", "a", "b")
         clonal = {"is_subclonal": F.lit(False), "is_inconsistent": F.lit(False)} | {c: F.lit(None).cast("double") for c in ("a1", "b1", "tau1", "a2", "b2", "tau2")}
         known = expected_af(mutations.join(states, "seg_id").withColumn("purity", F.lit(purity)).withColumns(clonal))
-        rows = K.with_fraction(known.where("af_exp is not null")).withColumn("sample_no", F.lit(0))
+        rows = written(K.with_fraction(known.where("af_exp is not null").select("mut_key", "af_obs", "af_exp", "coverage")).withColumn("sample_no", F.lit(0)), "fractions")
         quiet = K.quiet(rows, ["sample_no"])
-        clusters = K.find_clusters(K.fraction_histogram(quiet, ["sample_no"]), K.noise_level(rows, ["sample_no"]), "sample_no")
+        clusters = written(K.find_clusters(K.fraction_histogram(quiet, ["sample_no"]), K.noise_level(rows, ["sample_no"]), "sample_no"), "clusters")
         assigned = K.assign_clusters(rows, clusters, ["mut_key"], "sample_no").groupBy("cluster_id").agg(F.count("*").alias("n"))
         best = K.largest_clonal(assigned.join(clusters, "cluster_id"), "sample_no").first()
         if best is None:

@@ -1,6 +1,7 @@
 """A sample's copy-number profile: partitions to windows, ratios, segments, and the fit refined in two rounds.
 
-Partitions and sites stay DataFrames. What depends on order is folded over little: partitions of one sample's genome (their number is that
+Partitions and sites stay DataFrames; tables of windows and segments, which are small, are written to the shared folder between steps, as the next ones
+read them several times. What depends on order is folded over little: partitions of one sample's genome (their number is that
 of the assay, whatever the reads), windows of one chromosome, and runs of sites of one chromosome. Purity and ploidy, two numbers, go
 through the driver between rounds.
 """
@@ -19,6 +20,7 @@ from cytoframe.functions import kernels
 from cytoframe.functions.columns import sex_factor, truncate_half
 from cytoframe.operators import copynumber as M
 from cytoframe.operators.intervals import first_match, forward_fill, islands, running_median
+from cytoframe.session import written
 
 GC_BINS = 1_000
 #: Least informative sites of a segment.
@@ -110,11 +112,13 @@ def gc_curve(windows: DataFrame, value: str, name: str) -> DataFrame:
 def window_ratios(windows: DataFrame, totals: dict, *, smooth: int = 2) -> DataFrame:
     """windows with ratio (tumour over normal reads, corrected for GC and sequencing depth) and noise, its variance."""
     rows = gc_curve(gc_curve(windows, "n_n", "gc_n"), "n_t", "gc_t")
+    step = lambda df: written(df, "windows")
     rows = rows.withColumn("density", F.col("n_n") / F.col("length")).withColumn("n_t", F.col("n_t") * totals["ratio_n_t"] * F.col("gc_n") / F.col("gc_t"))
+    rows = step(rows)
     at = windows.agg(F.count("*").alias("n"), F.avg(F.col("n_n") / F.col("length")).alias("density")).first()
     if smooth:
         for column in ("n_t", "n_n"):
-            rows = running_median(rows, column, ordinal="window", half=smooth, n=at.n).drop(column).withColumnRenamed(f"{column}_median", column)
+            rows = step(running_median(rows, column, ordinal="window", half=smooth, n=at.n).drop(column).withColumnRenamed(f"{column}_median", column))
     rows = rows.withColumn("ratio", F.try_divide(F.col("n_t"), F.col("n_n")))
     if smooth:
         rows = running_median(rows, "ratio", ordinal="window", half=1, n=at.n).drop("ratio").withColumnRenamed("ratio_median", "ratio")
@@ -148,8 +152,8 @@ def copy_number_profile(parts: DataFrame, *, least_length: int = 1_000, least_re
     within these, of the logarithms of ratios with a noise that depends on GC content.
     """
     totals = M.genome_totals(parts).first().asDict()
-    assigned = genome_windows(parts, least_length=least_length, least_reads=least_reads)
-    rows = window_ratios(window_table(parts, assigned), totals, smooth=smooth)
+    assigned = written(genome_windows(parts, least_length=least_length, least_reads=least_reads), "assigned")
+    rows = written(window_ratios(written(window_table(parts, assigned), "windows"), totals, smooth=smooth), "ratios")
     if breaks is None:
         rows = rows.withColumn("forced", F.lit(False))
     else:
@@ -157,11 +161,11 @@ def copy_number_profile(parts: DataFrame, *, least_length: int = 1_000, least_re
         hit = first_match(points, parts, key=["k"], group="tid", at="pos", begin="p_start", end="p_end", ordinal="part_no", width=1 << 20)
         forced = hit.join(assigned, "part_no").select("window", F.lit(True).alias("forced")).distinct()
         rows = rows.join(forced, "window", "left").withColumn("forced", F.coalesce("forced", F.lit(False)))
-    first = rows.join(_segmented(rows, kernels.binary_segments, "ratio", "noise", "arm", alpha, least), "window")
+    first = written(rows.join(_segmented(rows, kernels.binary_segments, "ratio", "noise", "arm", alpha, least), "window"), "segments")
     mean = F.avg("ratio").over(W.partitionBy("segment"))
     first = first.withColumn("mean_coarse", mean).withColumn("residual", F.when((F.col("ratio") > 0) & (F.col("mean_coarse") > 0), F.ln(F.col("ratio") / F.col("mean_coarse"))))
     varied = M.gc_variance(first.where("residual is not null"), "residual").select("gc_bin", "variance")
-    first = first.withColumn("gc_bin", F.floor(F.col("gc") * 100).cast("int")).join(F.broadcast(varied), "gc_bin", "left").withColumn("log_ratio", F.when(F.col("ratio") > 0, F.ln("ratio")))
+    first = written(first.withColumn("gc_bin", F.floor(F.col("gc") * 100).cast("int")).join(F.broadcast(varied), "gc_bin", "left").withColumn("log_ratio", F.when(F.col("ratio") > 0, F.ln("ratio"))), "segments")
     second = _segmented(first, kernels.flank_segments, "log_ratio", "variance", "segment", alpha, least).withColumnRenamed("segment", "fine")
     both = first.join(second, "window").withColumn("mean_fine", F.avg("ratio").over(W.partitionBy("fine")))
     sex = sex_factor(F.col("tid"), F.lit(totals["sex"]))
@@ -223,7 +227,7 @@ def states_of(segments: DataFrame, fit: Fit, sigma: float) -> DataFrame:
     return M.two_clones(M.subclonal_test(rows.join(states, "seg_id")), sigma)
 
 
-def aggregated_copies(parts: DataFrame, sites: DataFrame, states: DataFrame, fit: Fit) -> DataFrame:
+def aggregated_copies(parts: DataFrame, states: DataFrame, fit: Fit) -> DataFrame:
     """parts with cn_aggregated: the mean copies over runs of partitions that have one state, expected imbalance and whole copies.
 
     A partition has the state of the segment it lies in; one in none has that of the partition before.
@@ -242,22 +246,22 @@ def refined_fit(parts: DataFrame, sites: DataFrame, sigma: float, *, purities: l
     Coarse copies give the first fit; where it ends at the least purity of all (or is forced) purity and ploidy come from mutations
     (mut_key, tid, pos, af_obs, coverage). Fine copies then give states, whose runs of partitions give the copies of the second fit.
     """
-    coarse = site_segments(sites, parts, "cn_coarse")
+    coarse = written(site_segments(sites, parts, "cn_coarse"), "site-segments")
     fit = fit_segments(coarse, sigma, purities=purities, ploidies=ploidies, least_snps=least_snps)
     if fit is None:
         raise ValueError("no segment has enough sites for a fit")
     if forced or fit.purity == purities[0]:
         if mutations is None:
             raise ValueError("copies don't tell purity, and there are no mutations to take it from")
-        placed = first_match(mutations, coarse, key=["mut_key", "af_obs", "coverage"], group="tid", at="pos", begin="s_start", end="s_end", ordinal="seg_id", width=1 << 20)
+        placed = written(first_match(mutations, coarse, key=["mut_key", "af_obs", "coverage"], group="tid", at="pos", begin="s_start", end="s_end", ordinal="seg_id", width=1 << 20), "placed")
         purity, ploidy = M.refine_purity(coarse, placed, sigma=sigma, ploidy=ploidies[0])
         fit = Fit(purity, ploidy, "forced" if forced else "invariant")
-    fine = states_of(site_segments(sites, parts, "cn"), fit, sigma)
-    joined = aggregated_copies(parts, sites, fine, fit)
-    segments = site_segments(sites, joined, "cn_aggregated")
+    fine = written(states_of(site_segments(sites, parts, "cn"), fit, sigma), "states")
+    joined = written(aggregated_copies(parts, fine, fit), "copies")
+    segments = written(site_segments(sites, joined, "cn_aggregated"), "site-segments")
     again = fit_segments(segments, sigma, purities=purities, ploidies=ploidies, least_snps=least_snps) or fit
     fit = Fit(again.purity, again.ploidy, fit.mode)
-    return fit, states_of(segments, fit, sigma), joined
+    return fit, written(states_of(segments, fit, sigma), "states"), joined
 
 
 # --- the tables that a run leaves ---

@@ -13,7 +13,7 @@ from cytoframe.operators import copynumber as M
 from cytoframe.operators import profile as profile_
 from cytoframe.operators.intervals import first_match, islands
 from cytoframe.plans.adapters import mutations, segments, snps, with_views
-from cytoframe.session import shared_path
+from cytoframe.session import written
 
 DIGITS = 6
 
@@ -324,19 +324,12 @@ def profile_of_parts(spark: SparkSession, d: str) -> DataFrame:
 def refined(spark: SparkSession, d: str) -> DataFrame:
     """Summary of the fit refined in two rounds."""
     parts, sites = _profile_inputs(spark, d)
-    cut = stored_copies(profile_.copy_number_profile(parts, least_length=5_000, least_reads=8))
+    cut = written(profile_.copy_number_profile(parts, least_length=5_000, least_reads=8), "profile")
     muts = mutations(spark, d).select("mut_key", "tid", "pos", F.col("af").alias("af_obs"), F.col("dp").alias("coverage"))
     fit, states, _ = profile_.refined_fit(cut, sites, SIGMA, purities=PURITIES, ploidies=PLOIDIES, least_snps=LEAST_SNPS, mutations=muts)
     return M.ploidy_summary(states, mode=fit.mode, sample="s1")
 
 
-def stored_copies(parts: DataFrame) -> DataFrame:
-    """parts written to the shared folder and read again: the rounds of the fit read them several times."""
-    path = shared_path(parts.sparkSession, "profile")
-    parts.write.parquet(path)
-    return parts.sparkSession.read.schema(parts.schema).parquet(path)
-
-
 def copy_number_runs(spark: SparkSession, d: str) -> DataFrame:
     rows = segments(spark).where("tid < 22").withColumn("icn", F.floor(F.col("icn") / 2))
     runs = islands(rows, group=["tid"], order=["seg"], by=["icn"])

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, app: str = "cytoframe") -> SparkSession:
@@ -39,6 +39,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/cytoframe-{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what follows doesn't compute it anew, and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a path that ``shared_path`` gave, in whatever file system it lies."""
     if "/cytoframe-" not in path:
