@@ -115,3 +115,12 @@ def test_no_python_in_the_plan(spark, data):
     plan = pii.private_spans(spark.read.parquet(f"{data}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert F.count_if is not None
+
+
+def test_terms_named_like_kinds_leave_placeholders(spark):
+    from cytoframe.llm.pii import KINDS
+
+    named = rf"(?!(?<=\[)(?:{'|'.join(k.upper() for k in (*KINDS, 'term'))})\])"
+    pattern = named + r"(?iu)(?<![\p{L}\p{N}])(?:email|card)(?![\p{L}\p{N}])"
+    df = spark.createDataFrame([("[EMAIL] email, Card [CARD] [email]",)], "t string")
+    assert df.selectExpr("regexp_replace(t, '" + pattern.replace("\\", "\\\\") + "', '#') as t").first().t == "[EMAIL] #, # [CARD] [#]"

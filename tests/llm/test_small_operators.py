@@ -165,6 +165,14 @@ def test_decision_list_learns_and_filters(spark):
     assert quality.fit_quality(docs, labels.limit(0)) == [] and quality.quality_stats(no_documents(spark), rules).count() == 0
 
 
+def test_columns_of_any_name(spark):
+    rows = [(1, "word " * 3, "a", 1, 2, True), (2, " ".join(f"w{i}" for i in range(40)), "b", 3, 4, False)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `__quality_stats` string, c0 int, n_words int, kept boolean")
+    out = quality.filter_quality(docs, [])
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [rows[1]]
+    assert {r.doc_id: r.kept for r in quality.quality_stats(docs, []).collect()} == {1: False, 2: True}
+
+
 # --- pages ---
 
 
