@@ -13,7 +13,8 @@ still apart: in each bucket the texts outside its largest class are held against
 and, with the bucket ordered by further sketch values, against their neighbours; other choices in each round. Hubs and
 rounds only make classes few. Whatever is still apart is settled exactly: two texts at the threshold share one of the
 rarest fifth of their labelled shingles, so all pairs of different classes that do are verified, but for those
-that the places of that shingle rule out. Rounds go on while they lessen those pairs. Classes are connected components,
+that the places of that shingle, or bitmaps of their shingles, rule out. Pairs carry sequences of shingle hashes, made once a text.
+Stored tables are deleted when the classes are known. Rounds go on while they lessen those pairs. Classes are connected components,
 found by large-star and small-star steps over tables in the shared folder; after the first round over classes only.
 
 Defined results: null texts count as empty, and all empty texts are equal; a text of fewer than five words is one
