@@ -11,7 +11,7 @@ from cytoframe.functions import columns as C
 from cytoframe.functions import kernels
 from cytoframe.operators import copynumber as M
 from cytoframe.operators import profile as profile_
-from cytoframe.operators.intervals import first_match, islands
+from cytoframe.operators.intervals import islands
 from cytoframe.plans.adapters import mutations, segments, snps, with_views
 from cytoframe.session import written
 
