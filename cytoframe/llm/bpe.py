@@ -57,7 +57,7 @@ HAS_NEWER = regex.compile(f"[{_RANGES}{''.join(map(chr, LOWER))}]")
 OLD_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_RANGES}]]+|[\p{{N}}--[{_RANGES}]]|(?:[^{SPACE}\p{{L}}\p{{N}}]|[{_RANGES}])+", regex.V1)
 
 #: Words whose encodings a task keeps between slices; beyond it starts again.
-MAX_WORDS = 60_000
+MAX_WORDS = 250_000
 #: Bytes from which on a word is encoded on its own, outside of the trie.
 LONG_WORD = 2_000
 #: Token lengths to try where no longer token has a prefix's end.
@@ -126,7 +126,7 @@ class Vocabulary:
     def follows(self, left: int, right: int) -> bool:
         """Whether right may stand after left."""
         if (yes := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > 100_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             yes = self.pairs[left, right] = self.merged(self.symbols[left] + self.symbols[right]) == [left, right]
         return yes
