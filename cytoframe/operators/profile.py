@@ -72,7 +72,7 @@ def window_table(parts: DataFrame, windows: DataFrame) -> DataFrame:
     rows = parts.join(windows, "part_no")
     gc = F.avg(F.when(F.col("with_gc") & (F.col("gc") >= 0), F.col("gc")))
     table = rows.groupBy(F.col("counted").alias("window")).agg(F.min("tid").alias("tid"), F.max("so_far").alias("length"), F.sum("n_n").cast("double").alias("n_n"), F.sum("n_t").cast("double").alias("n_t"), gc.alias("gc"))
-    last = windows.where("ends").select("window", F.lit(1).alias("_end"))
+    last = windows.where("ends").select("window").distinct().withColumn("_end", F.lit(1))  # an open window ends at every empty chromosome
     ended = F.sum(F.coalesce(F.col("_end"), F.lit(0))).over(W.orderBy("window").rowsBetween(W.unboundedPreceding, -1))
     # one sample's windows, two numbers each
     arms = table.select("window").join(last, "window", "left").select("window", F.coalesce(ended, F.lit(0)).cast("int").alias("arm"))
