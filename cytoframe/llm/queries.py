@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import bpe, chat, decontam, html, neardup, pii, quality, sharding, toxicity, url_rules, urls
+from cytoframe.llm import bpe, chat, decontam, html, neardup, pieces, pii, quality, sharding, toxicity, url_rules, urls
 
 SHARDS = 40
 #: Turns that look like the template's own marks.
@@ -83,6 +83,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(pieces.encode_pieces(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontam": op8_decontam,
         "op9_neardup": op9_neardup,
         "op10_bpe": op10_bpe,
+        "op11_pieces": op11_pieces,
     }
 
 
