@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import bpe, chat, decontam, html, neardup, pieces, pii, quality, sharding, toxicity, url_rules, urls
+from cytoframe.llm import bpe, chat, decontam, html, neardup, pieces, pii, quality, repair, resampling, sharding, toxicity, url_rules, urls
 
 SHARDS = 40
 #: Turns that look like the template's own marks.
@@ -87,6 +87,15 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(pieces.encode_pieces(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair.repair_report(conversations, repair.damage(conversations))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -100,6 +109,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_neardup": op9_neardup,
         "op10_bpe": op10_bpe,
         "op11_pieces": op11_pieces,
+        "op12_repair": op12_repair,
+        "op13_resampling": op13_resampling,
     }
 
 
