@@ -99,12 +99,16 @@ class Vocabulary:
         self.sizes = {i: len(s) for i, s in self.symbols.items()}
         ids = model["vocab"]
         self.merges = {(ids[a], ids[b]): (rank, ids[a.removesuffix(suffix) + b]) for rank, (a, b) in enumerate(model["merges"])}
-        self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
+        self.forget()
+        self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def forget(self) -> None:
+        """Lets go what was remembered of words and pairs of tokens."""
+        self.pairs: dict[tuple[int, int], bool] = {}
         #: Packed ids of words met lately, in two generations of MAX_WORDS at most.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merged(self, symbols: str) -> list[int]:
         """Plain merging by rank: the definition, used for single tokens and pairs of tokens only."""
@@ -268,10 +272,13 @@ def encode_texts(df: DataFrame, vocabulary: str, *, text: str = "text", keys: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = load_vocabulary(spec.value)
-        for batch, texts in parts(batches, "__text"):
-            ids = vocab.encode(texts)
-            columns = [*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(map(vocab.decode, ids), pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "token_ids", "decoded"])
+        try:
+            for batch, texts in parts(batches, "__text"):
+                ids = vocab.encode(texts)
+                columns = [*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(map(vocab.decode, ids), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "token_ids", "decoded"])
+        finally:
+            vocab.forget()  # workers outlive their tasks
 
     return source.mapInArrow(run, schema)
 

@@ -3,22 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoframe.session import remove_path, shared_path
 
 #: Code points of text that a Python worker turns into objects at once.
 SLICE_CHARS = 1_000_000
+#: Bytes of an Arrow batch that goes to a Python worker while a table is stored; a single row may be larger.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What Spark runs inside sends at most so many bytes to a worker at once, or as many as the session says if those are fewer."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    most = int(before[:-1] if before.endswith("b") else before) if before.rstrip("b").lstrip("-").isdigit() else -1
+    spark.conf.set(name, str(min(size, most) if most > 0 else size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out

@@ -30,10 +30,11 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from cytoframe.llm.common import discard, mix, parts, stored, text_key
 
@@ -55,6 +56,8 @@ SALTED = 500
 SIGNATURE = 8
 #: Slots that shingles are counted in, to order them by rarity.
 SLOTS = 1 << 22
+#: Bytes of sequences that a Python worker works on at once.
+SLICE_BYTES = 4 << 20
 #: Nodes of candidate pairs that are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 
@@ -66,8 +69,9 @@ def _shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     flat = list(chain.from_iterable(words))
     if not flat:
         return np.zeros(0, np.uint64), n
-    ids, names = pd.factorize(np.array(flat, object))
-    w = pd.util.hash_array(np.asarray(names, object), categorize=False)[ids]
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(x, len(number)) for x in flat), np.int64, len(flat))
+    w = np.fromiter(map(xxh3_64_intdigest, number), np.uint64, len(number))[ids]
     # a short text is filled up with zeros to one shingle
     fill = np.where((n > 0) & (n < SHINGLE), SHINGLE - n, 0)
     if fill.any():
@@ -258,11 +262,14 @@ def _sequences_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _sequences(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.RecordBatch, list[list[np.ndarray]]]]:
-    """Slices of the batches with the sequences in the named columns, without a copy of them."""
+    """Slices of the batches with the sequences in the named columns, without a copy of them: of SLICE_BYTES at most, one row at least."""
     for batch in batches:
-        step = max(1, min(batch.num_rows, 2_000))
-        for at in range(0, batch.num_rows, step):
-            some = batch.slice(at, step)
+        ends = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            some = batch.slice(at, end - at)
+            at = end
             yield some, [[np.frombuffer(x.as_buffer(), np.uint64) for x in some.column(c)] for c in names]
 
 
@@ -300,9 +307,10 @@ def rare_shingles(sequences: DataFrame) -> DataFrame:
     All texts order shingles alike, by rarity and hash. Of size shingles a partner has THRESHOLD of them at least, so the first
     that both have is among as many as may be missing and one more.
     """
-    ranks = shingle_ranks(sequences)
+    shared = sequences.sparkSession.sparkContext.broadcast(shingle_ranks(sequences))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value
         for batch, (some,) in _sequences(batches, ["seq"]):
             h, counts = np.concatenate(some), np.fromiter(map(len, some), np.int64, len(some))
             doc = np.repeat(np.arange(len(some)), counts)
