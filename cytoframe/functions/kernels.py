@@ -140,64 +140,105 @@ def density_peaks(x: np.ndarray, g: np.ndarray, gamma: np.ndarray, samples: int
     return sorted(out, reverse=True)
 
 
-def binary_segments(x: np.ndarray, variance: np.ndarray, alpha: float, least: int, forced: tuple[int, ...] = ()) -> list[tuple[int, int]]:
-    """Segments (first, last) by recursive splitting where the means on both sides differ most.
+#: Scores that differ by less than this share are equal; of equal ones the first counts.
+SAME_SCORE = 1e-9
 
-    The score of a split is |mean - mean| over the root of the sides' mean variances; it is taken if its two-sided
-    normal probability is alpha or less and both sides have ``least`` points. forced: points that end a segment.
+
+def _broken(x: np.ndarray, variance: np.ndarray, alpha: float, forced: tuple[int, ...], opens: bool, from_start: bool, scores) -> list[tuple[int, int]]:
+    """Segments (first, last) by recursive splitting after the point of the best score.
+
+    Parts wait in a queue; a part is split if its best score's two-sided normal probability is alpha or less. opens: each part that was there before (ended by
+    forced points) begins with a segment of one point, but for the one at the start of all; so it comes out where begins and ends of parts go into one list of marks.
     """
     total, spread = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(variance)])
     edges = sorted({-1, len(x) - 1, *(p for p in forced if 0 <= p < len(x))})
-    todo = deque((a + 1, b + 1) for a, b in zip(edges, edges[1:]))
     out = []
-    while todo:
-        a, b = todo.popleft()
-        at = np.arange(a + least, b - least + 1)
-        if len(at):
-            n, m = at - a, b - at
-            score = np.abs((total[at] - total[a]) / n - (total[b] - total[at]) / m) / np.sqrt(np.maximum((spread[at] - spread[a]) / n + (spread[b] - spread[at]) / m, 1e-300))
-            k = int(np.argmax(score))
-            if erfc(score[k] / sqrt(2)) <= alpha:
-                todo += [(a, int(at[k])), (int(at[k]), b)]
+    for first, last in zip(edges, edges[1:]):
+        first += 1
+        marks, todo = {last}, deque([(first, last)])
+        while todo:
+            a, b = todo.popleft()
+            at, score = scores(total, spread, x, variance, a, b)
+            if not len(at) or np.isnan(score).all():
                 continue
-        out.append((a, b - 1))
-    return sorted(out)
+            best = np.nanmax(score)
+            if erfc(best / sqrt(2)) <= alpha:
+                split = int(at[int(np.argmax(score >= best * (1 - SAME_SCORE)))])
+                marks.add(split)
+                todo += [(a, split), (split + 1, b)]
+        if opens and (first or not from_start):
+            out.append((first, first))
+            first += 1
+        for mark in sorted(marks):
+            if first <= mark:
+                out.append((first, mark))
+            first = mark + 1
+    return out
+
+
+def binary_segments(x: np.ndarray, variance: np.ndarray, alpha: float, least: int, forced: tuple[int, ...] = (), *, opens: bool = True, from_start: bool = True) -> list[tuple[int, int]]:
+    """Segments by splitting where the means on both sides differ most over the root of the sides' mean variances.
+
+    A part's left side begins with least - 1 points and grows from the point after the next: that one, the last of the first ``least``, stays on the right side throughout.
+    """
 
+    def scores(total, spread, x, variance, a, b):
+        c = np.arange(a + least, min(b - least + 2, b))  # last points of left sides; something must be left on the right
+        held = a + least - 1
+        n, m = (c - a).astype(float), (b - c + 1).astype(float)
+        side = lambda t, own: (t[held] - t[a] + t[c + 1] - t[held + 1], own[held] + t[b + 1] - t[c + 1])
+        if not len(c):
+            return c, n
+        (left, right), (v, w) = side(total, x), side(spread, variance)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return c, np.abs(left / n - right / m) / np.sqrt(np.maximum(v, 0) / n + np.maximum(w, 0) / m)
 
-def flank_segments(x: np.ndarray, variance: np.ndarray, alpha: float, least: int, forced: tuple[int, ...] = ()) -> list[tuple[int, int]]:
-    """As ``binary_segments``, with two windows of ``least`` points beside each centre, which is in neither, and variances of means."""
-    total, spread = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(variance)])
-    edges = sorted({-1, len(x) - 1, *(p for p in forced if 0 <= p < len(x))})
-    todo = deque((a + 1, b + 1) for a, b in zip(edges, edges[1:]))
-    out = []
-    while todo:
-        a, b = todo.popleft()
-        at = np.arange(a + least, b - least)
-        if len(at):
-            left, right = total[at] - total[at - least], total[at + 1 + least] - total[at + 1]
-            noise = (spread[at] - spread[at - least] + spread[at + 1 + least] - spread[at + 1]) / least**2
-            score = np.abs(left - right) / least / np.sqrt(np.maximum(noise, 1e-300))
-            k = int(np.argmax(score))
-            if erfc(score[k] / sqrt(2)) <= alpha:
-                todo += [(a, int(at[k]) + 1), (int(at[k]) + 1, b)]
-                continue
-        out.append((a, b - 1))
-    return sorted(out)
-
-
-def site_runs(value: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int = 20) -> list[tuple[int, int, int, int]]:
-    """(first row, last row, begin, end) of runs of sites with equal value; runs under ``least`` sites go into the next one, the last into the one before."""
-    out: list[list[int]] = []
-    first = 0
-    for i in range(1, len(value) + 1):
-        if i == len(value) or value[i] != value[i - 1]:
-            if i - first >= least or i == len(value):
-                if i - first < least and out:
-                    out[-1][1], out[-1][3] = i - 1, max(out[-1][3], int(end[first:i].max()))
-                else:
-                    out.append([first, i - 1, int(begin[first]), int(end[first:i].max())])
-                first = i
-    return [tuple(x) for x in out]
+    return _broken(x, variance, alpha, forced, opens, from_start, scores)
+
+
+def flank_segments(x: np.ndarray, variance: np.ndarray, alpha: float, least: int, forced: tuple[int, ...] = (), *, opens: bool = True, from_start: bool = True) -> list[tuple[int, int]]:
+    """Segments by splitting after a centre whose two flanks of ``least`` points (it is in neither) differ most, by variances of their means.
+
+    The first centre is one further than the left flank needs.
+    """
+
+    def scores(total, spread, x, variance, a, b):
+        c = np.arange(a + least + 1, b - least + 1)
+        if not len(c):
+            return c, c.astype(float)
+        left, right = total[c] - total[c - least], total[c + 1 + least] - total[c + 1]
+        noise = (spread[c] - spread[c - least] + spread[c + 1 + least] - spread[c + 1]) / least**2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return c, np.abs(left / least - right / least) / np.sqrt(np.maximum(noise, 0))
+
+    return _broken(x, variance, alpha, forced, opens, from_start, scores)
+
+
+def fold_runs(tid: np.ndarray, value: np.ndarray, n: np.ndarray, sites: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int = 20) -> tuple[list[tuple], np.ndarray]:
+    """Segments (chromosome, begin, end, value, sites) of runs of sites in genome order, and for each run the number of its segment (-1: none).
+
+    n: informative sites of a run; sites: all of them; begin: of its first site, end: of its last one; the last run is the genome's last site. A change of value or chromosome
+    ends a segment once it has ``least`` informative sites; until then runs go on into the next one, whose value counts, under the first one's chromosome and begin. An end
+    moves on with every site but the one that ends a segment, unless it would lie before the begin. What follows the last ended segment, and the last site, belong to none.
+    """
+    out: list[tuple] = []
+    number = np.full(len(tid), -1, np.int64)
+    if not len(tid):
+        return out, number
+    last, first, seen, since = len(tid) - 1, begin[0], 0, 0
+    name, level, reach = tid[0], value[0], begin[0]
+    for i in range(len(tid)):
+        if (value[i] != level or tid[i] != name or i == last) and seen >= least:
+            out.append((name, first, reach, level, seen))
+            number[since:i] = len(out) - 1
+            name, level, first, seen, since = tid[i], value[i], begin[i], 0, i
+            moves = sites[i] > 1
+        else:
+            level, moves = value[i], True
+        seen += n[i]
+        if moves and end[i] >= first:
+            reach = end[i]
+    return out, number
 
 
 def global_alignment(a: str, b: str, *, match: int = 5, mismatch: int = -4, opening: int = 5, extension: int = 2, band: int | None = None) -> tuple[int, str]:

@@ -47,7 +47,7 @@ def fraction_histogram(mutations: DataFrame, by: list[str], bins: int = 100) ->
     return full.withColumn("density", F.col("n") / (total * (TOP / bins)))
 
 
-def find_clusters(histogram: DataFrame, noise: DataFrame, by: str, *, bins: int = 100, penalty: float = 1e-5) -> DataFrame:
+def find_clusters(histogram: DataFrame, noise: DataFrame, by: str, *, bins: int = 100, penalty: float = 1e-7) -> DataFrame:
     """by, cluster_id (0: the largest fraction), ccf of the peaks below 1 and the noise deviation."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:

@@ -26,12 +26,14 @@ SUBCLONAL_P = 0.001
 FOLD_PI = 3.141593
 
 
-def partition_counts(reads: DataFrame, partitions: DataFrame, *, width: int = 10_000) -> DataFrame:
+def partition_counts(reads: DataFrame, partitions: DataFrame, *, width: int = 10_000, ref: str | None = None) -> DataFrame:
     """tid, part_no, n_t, n_n: placed reads (mapq > 0) that begin in each partition, 0 where there are none.
 
+    ref: column of the reference's base where a read begins; reads that begin at an unknown base (N) don't count.
     Reads are counted by (tid, bin of positions, sample) first where a partition is narrower, a join by bins follows.
     """
-    placed = reads.where("mapq > 0").groupBy("tid", "pos").agg(F.count_if(F.col("sample") == "T").alias("t"), F.count_if(F.col("sample") == "N").alias("n"))
+    known = F.lit(True) if ref is None else F.upper(ref) != "N"
+    placed = reads.where((F.col("mapq") > 0) & known).groupBy("tid", "pos").agg(F.count_if(F.col("sample") == "T").alias("t"), F.count_if(F.col("sample") == "N").alias("n"))
     hit = range_join(placed, partitions.select("tid", "part_no", "p_start", "p_end"), group="tid", at="pos", begin="p_start", end="p_end", width=width)
     counts = hit.groupBy("part_no").agg(F.sum("t").alias("n_t"), F.sum("n").alias("n_n"))
     return partitions.select("tid", "part_no").join(counts, "part_no", "left").select("tid", "part_no", F.coalesce("n_t", F.lit(0)).alias("n_t"), F.coalesce("n_n", F.lit(0)).alias("n_n"))
@@ -81,10 +83,15 @@ def segment_ratios(parts: DataFrame, *, segment: str, ratio: str, chromosome: st
 
 def heterozygous_sites(sites: DataFrame, *, least_depth: int = 15) -> DataFrame:
     """Sites deep enough in both samples and far enough from being homozygous. sites: t_a, t_b, n_a, n_b."""
+    return sites.where(is_heterozygous(least_depth))
+
+
+def is_heterozygous(least_depth: int = 15) -> Column:
+    """Whether a site (t_a, t_b, n_a, n_b) is one of ``heterozygous_sites``."""
     t, n = F.col("t_a") + F.col("t_b"), F.col("n_a") + F.col("n_b")
     inner = lambda a, d: 0.5 - F.abs(F.try_divide(a.cast("double"), d.cast("double")) - 0.5)
     x, y = inner(F.col("t_a"), t), inner(F.col("n_a"), n)
-    return sites.where((t >= least_depth) & (n >= least_depth) & (x * x + y * y >= 0.15 * 0.15))
+    return (t >= least_depth) & (n >= least_depth) & F.coalesce(x * x + y * y >= 0.15 * 0.15, F.lit(False))
 
 
 def imbalance(a: Column, b: Column) -> Column:

@@ -126,8 +126,8 @@ def window_ratios(windows: DataFrame, totals: dict, *, smooth: int = 2) -> DataF
     return rows.withColumn("noise", F.try_divide(1 + F.col("ratio"), share))
 
 
-def _segmented(rows: DataFrame, kernel, value: str, noise: str, group: str, alpha: float, least: int) -> DataFrame:
-    """window, segment (its first window) by a kernel over the windows of each group; forced windows end a segment."""
+def _segmented(rows: DataFrame, kernel, value: str, noise: str, group: str, alpha: float, least: int, opens: bool) -> DataFrame:
+    """window, segment (its first window) by a kernel over the windows of each group; forced windows end a segment, opens as the kernel takes it."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("window", ignore_index=True)
@@ -137,7 +137,7 @@ def _segmented(rows: DataFrame, kernel, value: str, noise: str, group: str, alph
         if len(at):
             place = {w: i for i, w in enumerate(frame.window[at])}
             forced = tuple(place[w] for w in frame.window[frame.forced] if w in place)
-            for a, b in kernel(frame.x.to_numpy(float)[at], frame.noise.to_numpy(float)[at], alpha, least, forced):
+            for a, b in kernel(frame.x.to_numpy(float)[at], frame.noise.to_numpy(float)[at], alpha, least, forced, opens=opens, from_start=frame.window[0] == 0):
                 out[at[a] : at[b] + 1] = out[at[a]]
         return pd.DataFrame({"window": frame.window, "segment": out})
 
@@ -145,11 +145,12 @@ def _segmented(rows: DataFrame, kernel, value: str, noise: str, group: str, alph
     return part.groupBy("_group").applyInPandas(run, "window bigint, segment bigint")
 
 
-def copy_number_profile(parts: DataFrame, *, least_length: int = 1_000, least_reads: int = 1_000, smooth: int = 2, alpha: float = 0.001, least: int = 2, breaks: DataFrame | None = None) -> DataFrame:
+def copy_number_profile(parts: DataFrame, *, least_length: int = 1_000, least_reads: int = 1_000, smooth: int = 2, alpha: float = 0.001, least: int = 2, breaks: DataFrame | None = None, opens: bool = True) -> DataFrame:
     """parts (tid, part_no, p_start, p_end, gc, n_t, n_n) of one sample with window, segment, cn_coarse and cn.
 
     breaks (tid, pos): places of structural variants, whose windows end a segment. Windows are cut into segments of their ratios, then,
-    within these, of the logarithms of ratios with a noise that depends on GC content.
+    within these, of the logarithms of ratios with a noise that depends on GC content. opens: each part that a pass of splitting begins with opens with a segment of
+    one window, but for the genome's first; False leaves that out.
     """
     totals = M.genome_totals(parts).first().asDict()
     assigned = written(genome_windows(parts, least_length=least_length, least_reads=least_reads), "assigned")
@@ -161,12 +162,12 @@ def copy_number_profile(parts: DataFrame, *, least_length: int = 1_000, least_re
         hit = first_match(points, parts, key=["k"], group="tid", at="pos", begin="p_start", end="p_end", ordinal="part_no", width=1 << 20)
         forced = hit.join(assigned, "part_no").select("window", F.lit(True).alias("forced")).distinct()
         rows = rows.join(forced, "window", "left").withColumn("forced", F.coalesce("forced", F.lit(False)))
-    first = written(rows.join(_segmented(rows, kernels.binary_segments, "ratio", "noise", "arm", alpha, least), "window"), "segments")
+    first = written(rows.join(_segmented(rows, kernels.binary_segments, "ratio", "noise", "arm", alpha, least, opens), "window"), "segments")
     mean = F.avg("ratio").over(W.partitionBy("segment"))
     first = first.withColumn("mean_coarse", mean).withColumn("residual", F.when((F.col("ratio") > 0) & (F.col("mean_coarse") > 0), F.ln(F.col("ratio") / F.col("mean_coarse"))))
     varied = M.gc_variance(first.where("residual is not null"), "residual").select("gc_bin", "variance")
     first = written(first.withColumn("gc_bin", F.floor(F.col("gc") * 100).cast("int")).join(F.broadcast(varied), "gc_bin", "left").withColumn("log_ratio", F.when(F.col("ratio") > 0, F.ln("ratio"))), "segments")
-    second = _segmented(first, kernels.flank_segments, "log_ratio", "variance", "segment", alpha, least).withColumnRenamed("segment", "fine")
+    second = _segmented(first, kernels.flank_segments, "log_ratio", "variance", "segment", alpha, least, opens).withColumnRenamed("segment", "fine")
     both = first.join(second, "window").withColumn("mean_fine", F.avg("ratio").over(W.partitionBy("fine")))
     sex = sex_factor(F.col("tid"), F.lit(totals["sex"]))
     out = parts.join(assigned.select("part_no", "window"), "part_no").join(both.select("window", "mean_coarse", F.col("fine").alias("segment"), "mean_fine"), "window", "left")
@@ -174,32 +175,35 @@ def copy_number_profile(parts: DataFrame, *, least_length: int = 1_000, least_re
 
 
 def site_segments(sites: DataFrame, parts: DataFrame, value: str, *, least: int = LEAST_SITES) -> DataFrame:
-    """seg_id, tid, s_start, s_end, length, cn, n_snps, theta, theta_sigma: runs of informative sites over partitions of equal value.
+    """seg_id, tid, s_start, s_end, length, cn, n_snps, theta, theta_sigma: runs of sites over partitions of equal value, as ``fold_runs`` joins them.
 
-    sites: tid, pos, part_no, t_a, t_b, n_a, n_b; parts: part_no, p_start, p_end and value. Runs of under ``least`` sites go into the next run of
-    their chromosome, the last into the one before. Sites are counted to runs before they are folded.
+    sites: tid, pos, part_no, t_a, t_b, n_a, n_b; parts: part_no, p_start, p_end and value. Sites are counted to runs before these are folded in genome order (their
+    number is at most that of partitions, and ``least`` more a chromosome, whose first informative sites are told apart as a segment of the one before may end there).
     """
-    informative = M.heterozygous_sites(sites).join(parts.where(F.col(value).isNotNull()).select("part_no", "p_start", "p_end", F.col(value).alias("cn")), "part_no")
-    runs = islands(informative, group=["tid"], order=["pos", "part_no", "t_a"], by=["cn"])
-    short = runs.groupBy("tid", "run", "cn").agg(F.count("*").alias("n"), F.min("p_start").alias("s_start"), F.max("p_end").alias("s_end"))
+    order = ["pos", "part_no", "t_a", "t_b", "n_a", "n_b"]
+    placed = sites.join(parts.where(F.col(value).isNotNull()).select("part_no", "p_start", "p_end", F.col(value).alias("cn")), "part_no").withColumn("informative", M.is_heterozygous().cast("int"))
+    final = placed.agg(F.max(F.struct("tid", *order)).alias("x")).select("x.*").first()
+    ahead = W.partitionBy("tid").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    first = F.least(F.coalesce(F.sum("informative").over(ahead), F.lit(0)), F.lit(least))
+    is_last = F.lit(True)
+    for c in ("tid", *order):
+        is_last = is_last & F.col(c).eqNullSafe(F.lit(final[c]))
+    runs = islands(placed.withColumn("first", first).withColumn("final", is_last), group=["tid"], order=order, by=["cn", "first", "final"])
+    short = runs.groupBy("tid", "run", "cn").agg(F.sum("informative").alias("n"), F.count("*").alias("sites"), F.min_by("p_start", F.struct(*order)).alias("begin"), F.max_by("p_end", F.struct(*order)).alias("end"))
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("run", ignore_index=True)
-        number, seen, out, last = 0, 0, [], 0
-        for n in frame.n:
-            out.append(number)
-            seen += n
-            if seen >= least:
-                last, number, seen = number, number + 1, 0
-        out = [min(x, last) for x in out]
-        return pd.DataFrame({"tid": frame.tid, "run": frame.run, "merged": out})
-
-    merged = short.groupBy("tid").applyInPandas(fold, "tid int, run bigint, merged bigint")
-    joined = short.join(merged, ["tid", "run"])
-    spans = joined.groupBy("tid", "merged").agg(F.min("s_start").alias("s_start"), F.max("s_end").alias("s_end"), F.max_by("cn", "run").alias("cn"))
-    theta = M.imbalance_by(runs.select("tid", "run", "t_a", "t_b").join(merged, ["tid", "run"]), ["tid", "merged"])
-    rows = spans.join(theta, ["tid", "merged"]).withColumn("length", (F.col("s_end") - F.col("s_start")).cast("double"))
-    return rows.select((F.col("tid").cast("bigint") * 1_000_000 + F.col("merged")).alias("seg_id"), "tid", "s_start", "s_end", "length", "cn", "n_snps", "theta", "theta_sigma")
+        frame = frame.sort_values(["tid", "run"], ignore_index=True)
+        found, number = kernels.fold_runs(*(frame[c].to_numpy() for c in ("tid", "cn", "n", "sites", "begin", "end")), least)
+        rows = frame[["tid", "run"]].assign(seg=number)[number >= 0]
+        facts = pd.DataFrame(found, columns=["seg_tid", "s_start", "s_end", "seg_cn", "n_seg"]).astype({"seg_tid": int, "s_start": int, "s_end": int, "seg_cn": float, "n_seg": int})
+        return rows.merge(facts, left_on="seg", right_index=True)
+
+    one = short.withColumn("genome", F.lit(0)).groupBy("genome")
+    merged = one.applyInPandas(fold, "tid int, run bigint, seg bigint, seg_tid int, s_start bigint, s_end bigint, seg_cn double, n_seg bigint")
+    facts = merged.select("seg", F.col("seg_tid").alias("tid"), "s_start", "s_end", F.col("seg_cn").alias("cn")).distinct()
+    theta = M.imbalance_by(runs.where("informative = 1").select("tid", "run", "t_a", "t_b").join(merged.select("tid", "run", "seg"), ["tid", "run"]), ["seg"])
+    rows = facts.join(theta, "seg").withColumn("length", (F.col("s_end") - F.col("s_start")).cast("double"))
+    return rows.select(F.col("seg").alias("seg_id"), "tid", "s_start", "s_end", "length", "cn", "n_snps", "theta", "theta_sigma")
 
 
 @dataclass(frozen=True)

@@ -11,16 +11,21 @@ from cytoframe.operators import profile
 from cytoframe.plans.adapters import TIES, mutations, partitions, reads, segments, table, with_views
 
 
+def _begun(spark: SparkSession, d: str) -> DataFrame:
+    """Reads with the reference's base where they begin, unknown at some places."""
+    return reads(spark, d).withColumn("ref", F.when(F.col("pos") % 53 == 0, "N").otherwise("A"))
+
+
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return M.partition_counts(reads(spark, d), partitions(spark)).join(partitions(spark).drop("tid"), "part_no")
+    return M.partition_counts(_begun(spark, d), partitions(spark), ref="ref").join(partitions(spark).drop("tid"), "part_no")
 
 
 _COUNTS = """, counts as (select p.*, count(r.pos) filter (sample = 'T') as n_t, count(r.pos) filter (sample = 'N') as n_n
- from partitions p left join (select tid, (pos - 1) // 1000 as bin, pos, sample from reads where mapq > 0) r on p.tid = r.tid and p.bin = r.bin group by all)"""
+ from partitions p left join (select tid, (pos - 1) // 1000 as bin, pos, sample from reads where mapq > 0 and pos % 53 <> 0) r on p.tid = r.tid and p.bin = r.bin group by all)"""
 
 
 def partition_counts(spark: SparkSession, d: str) -> DataFrame:
-    return M.partition_counts(reads(spark, d), partitions(spark)).select("part_no", "n_t", "n_n")
+    return M.partition_counts(_begun(spark, d), partitions(spark), ref="ref").select("part_no", "n_t", "n_n")
 
 
 PARTITION_COUNTS = with_views("reads", "partitions") + _COUNTS + " select part_no, n_t, n_n from counts"

@@ -12,7 +12,7 @@ from cytoframe.functions import kernels
 from cytoframe.operators import copynumber as M
 from cytoframe.operators import profile as profile_
 from cytoframe.operators.intervals import islands
-from cytoframe.plans.adapters import mutations, segments, snps, with_views
+from cytoframe.plans.adapters import mutations, partitions, segments, snps, with_views
 from cytoframe.session import written
 
 DIGITS = 6
@@ -342,6 +342,10 @@ COPY_NUMBER_RUNS = (
 )
 
 
+#: Least points of a side, significance, and a point that ends a part, in the segments below.
+SIDE, ALPHA, FORCED = 20, 1e-3, 499
+
+
 def _grouped_segments(spark: SparkSession, d: str, kernel) -> DataFrame:
     from cytoframe.plans.interval_queries import _counts
 
@@ -350,20 +354,61 @@ def _grouped_segments(spark: SparkSession, d: str, kernel) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("part_no", ignore_index=True)
         x = frame.x.to_numpy()
-        found = kernel(x, np.full(len(x), max(float(np.var(x)), 1e-9) / len(x)), 1e-3, 20)
-        return pd.DataFrame([(frame.tid[0], int(frame.p_start[a]), int(frame.p_end[b]), b - a + 1, float(x[a : b + 1].mean())) for a, b in found], columns=["tid", "s_start", "s_end", "n", "mean_x"])
+        variance = max(float(np.var(x)), 1e-9) / len(x) * (1 + np.arange(len(x)) % 5)
+        found = kernel(x, variance, ALPHA, SIDE, (FORCED,))
+        return pd.DataFrame([(frame.tid[0], int(frame.p_start[a]), int(frame.p_end[b]), b - a + 1, round(float(x[a : b + 1].mean()), 9)) for a, b in found], columns=["tid", "s_start", "s_end", "n", "mean_x"])
 
     return rows.groupBy("tid").applyInPandas(run, "tid int, s_start bigint, s_end bigint, n bigint, mean_x double")
 
 
+def _segments_sql(scores: str) -> str:
+    """Parts as rows of a recursion; scores: select list of c (last point of a left part) and score over a part's prefix sums ts (values) and vs (variances)."""
+    from math import erfc, sqrt
+
+    from cytoframe.plans.interval_queries import _COUNTS
+
+    low, high = 0.0, 40.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (low, middle) if erfc(middle / sqrt(2)) <= ALPHA else (middle, high)
+    return (
+        with_views("reads", "partitions").replace("with ", "with recursive ", 1)
+        + _COUNTS
+        + f""", pts as (select tid, bin as i, ln(cast(1 + n_t as double)) as x from counts), var as (select tid, greatest(var_pop(x), 1e-9) / 1000 as s2 from pts group by tid),
+ pre as (select tid, i, sum(x) over w as t, sum(s2 * (1 + i % 5)) over w as v from pts join var using (tid) window w as (partition by tid order by i)),
+ sums as (select tid, [cast(0 as double)] || list(t order by i) as ts, [cast(0 as double)] || list(v order by i) as vs from pre group by tid),
+ parts as (select tid, unnest([0, {FORCED + 1}]) as a, unnest([{FORCED}, 999]) as b from sums
+  union all select tid, unnest([a, s + 1]), unnest([s, b]) from (
+   select tid, a, b, max(best) as best, min(c) filter (score >= best * (1 - 1e-9)) as s from (
+    select *, max(score) over (partition by tid, a, b) as best from (select tid, a, b, {scores})) group by tid, a, b) where best >= {low!r}),
+ leaf as (select tid, a, min(b) as b from parts group by tid, a),
+ opened as (select tid, a, b from leaf where a <> {FORCED + 1} union all select tid, a, a from leaf where a = {FORCED + 1} union all select tid, a + 1, b from leaf where a = {FORCED + 1} and b > a)
+ select tid, cast(a * 1000 + 1 as bigint) as s_start, cast(b * 1000 + 1000 as bigint) as s_end, cast(b - a + 1 as bigint) as n, round((ts[b + 2] - ts[a + 1]) / (b - a + 1), 9) as mean_x from opened join sums using (tid)"""
+    )
+
+
 def binary_segments(spark: SparkSession, d: str) -> DataFrame:
     return _grouped_segments(spark, d, kernels.binary_segments)
 
 
+_SIDES = lambda t: (f"({t}[a + {SIDE}] - {t}[a + 1] + {t}[c + 2] - {t}[a + {SIDE + 1}])", f"({t}[a + {SIDE + 1}] - {t}[a + {SIDE}] + {t}[b + 2] - {t}[c + 2])")
+BINARY_SEGMENTS = _segments_sql(
+    f"c, abs({_SIDES('ts')[0]} / (c - a) - {_SIDES('ts')[1]} / (b - c + 1)) / sqrt({_SIDES('vs')[0]} / (c - a) + {_SIDES('vs')[1]} / (b - c + 1)) as score"
+    f" from (select tid, a, b, ts, vs, unnest(range(a + {SIDE}, b - {SIDE} + 2)) as c from parts join sums using (tid))"
+)
+
+
 def flank_segments(spark: SparkSession, d: str) -> DataFrame:
     return _grouped_segments(spark, d, kernels.flank_segments)
 
 
+_FLANKS = lambda t: (f"({t}[c + 1] - {t}[c - {SIDE - 1}])", f"({t}[c + {SIDE + 2}] - {t}[c + 2])")
+FLANK_SEGMENTS = _segments_sql(
+    f"c, abs({_FLANKS('ts')[0]} - {_FLANKS('ts')[1]}) / {SIDE} / sqrt(({_FLANKS('vs')[0]} + {_FLANKS('vs')[1]}) / {SIDE**2}) as score"
+    f" from (select tid, a, b, ts, vs, unnest(range(a + {SIDE + 1}, b - {SIDE} + 1)) as c from parts join sums using (tid))"
+)
+
+
 def gc_curve(spark: SparkSession, d: str) -> DataFrame:
     """Median depth by GC content and its smooth curve, relative to the overall median."""
     from cytoframe.plans.interval_queries import _counts
@@ -380,15 +425,24 @@ def gc_curve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def site_runs(spark: SparkSession, d: str) -> DataFrame:
-    rows = snps(spark, d).withColumn("cn", F.floor((F.col("pos") - 1) / 50_000) % 4)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["pos", "t_a"], ignore_index=True)
-        found = kernels.site_runs(frame.cn.to_numpy(), frame.pos.to_numpy(), frame.pos.to_numpy())
-        return pd.DataFrame([(frame.tid[0], b, e, j - i + 1) for i, j, b, e in found], columns=["tid", "s_start", "s_end", "n_snps"])
-
-    return rows.groupBy("tid").applyInPandas(run, "tid int, s_start bigint, s_end bigint, n_snps bigint")
-
+    """Segments of sites over partitions whose copies change every 50,000 positions, and within some chromosomes every 10,000."""
+    sites = snps(spark, d).withColumn("part_no", (F.col("tid") * 1000 + F.floor((F.col("pos") - 1) / 1000)).cast("bigint"))
+    parts = partitions(spark).withColumn("cn", F.expr(_COPIES_OF_PARTS))
+    return profile_.site_segments(sites, parts, "cn").select("seg_id", "tid", "s_start", "s_end", "cn", "n_snps")
+
+
+_COPIES_OF_PARTS = "cast(case when tid % 3 = 0 then bin div 10 else bin div 50 end % 4 as double)"
+SITE_RUNS = (
+    with_views("snps", "partitions").replace("with ", "with recursive ", 1)
+    + f""", s0 as (select s.*, p_start, p_end, {_COPIES_OF_PARTS.replace(" div ", " // ").replace("tid", "p.tid")} as cn, t_a + t_b >= 15 and n_a + n_b >= 15 and pow(0.5 - abs(t_a / cast(t_a + t_b as double) - 0.5), 2) + pow(0.5 - abs(n_a / cast(n_a + n_b as double) - 0.5), 2) >= 0.15 * 0.15 as ok
+  from snps s join partitions p on s.tid = p.tid and p.bin = (s.pos - 1) // 1000),
+ s1 as (select *, row_number() over (order by tid, pos, t_a, t_b, n_a, n_b) as k from s0), n as (select max(k) as n from s1),
+ fold as (select 1 as k, 0 as seg, 0 as seen, tid as name, p_start as first, p_end as reach, cn as level, false as out, 0 as o_tid, cast(0 as bigint) as o_first, cast(0 as bigint) as o_reach, cast(0 as double) as o_cn, 0 as o_n, case when ok then 1 else 0 end as seen_now from s1 where k = 1
+  union all select s.k, seg + case when hit then 1 else 0 end, 0, case when hit then s.tid else name end, case when hit then s.p_start else first end,
+    case when not hit and s.p_end >= first then s.p_end else reach end, s.cn, hit, name, first, reach, level, seen_now, case when hit then 0 else seen_now end + case when s.ok then 1 else 0 end
+   from (select f.*, (s.cn <> f.level or s.tid <> f.name or s.k = n) and f.seen_now >= 20 as hit, s as s from fold f join s1 s on s.k = f.k + 1 cross join n))
+ select cast(seg - 1 as bigint) as seg_id, o_tid as tid, o_first as s_start, o_reach as s_end, o_cn as cn, cast(o_n as bigint) as n_snps from fold where out"""
+)
 
 QUERIES = {
     "x3_special_functions": (special_functions, SPECIAL_FUNCTIONS),
@@ -410,8 +464,8 @@ QUERIES = {
     "sk7_expected_af": (expected_frequencies, EXPECTED_FREQUENCIES),
     "sk8_phylogeny_input": (phylogeny, PHYLOGENY),
     "m12_copy_number_runs": (copy_number_runs, COPY_NUMBER_RUNS),
-    "w2_binary_segments": (binary_segments, None),
-    "w3_flank_segments": (flank_segments, None),
-    "w6_site_runs": (site_runs, None),
+    "w2_binary_segments": (binary_segments, BINARY_SEGMENTS),
+    "w3_flank_segments": (flank_segments, FLANK_SEGMENTS),
+    "w6_site_runs": (site_runs, SITE_RUNS),
     "n1_gc_curve": (gc_curve, None),
 }

@@ -273,7 +273,8 @@ ALLELE_COUNTS = with_views("bases") + " select tid, ref_pos, " + ", ".join(f"cou
 def snp_counts(spark: SparkSession, d: str) -> DataFrame:
     from cytoframe.plans.adapters import snps
 
-    near = bases(spark, d, ops="MS").withColumn("ref_pos", F.col("ref_pos") % 5_000)
+    good = reads(spark, d).where("mapq > 0 and (flag & 1024) = 0").withColumn("least", pileup.least_quality(F.col("mapq"))).where("least is not null")
+    near = bases(spark, d, source=good, ops="MS", keep=["tid", "pos", "flag", "sample", "least", "l_partkey", "l_orderkey"]).where("quality >= least").withColumn("ref_pos", F.col("ref_pos") % 5_000)
     per = {s: pileup.allele_counts(near.where(F.col("sample") == s), ["tid", "ref_pos"]).withColumnRenamed("ref_pos", "pos") for s in "TN"}
     sites = snps(spark, d).select("tid", (F.col("pos") % 5_000).alias("pos")).distinct()
     return pileup.snp_rows(per["T"], per["N"], sites)
@@ -283,7 +284,7 @@ SNP_COUNTS = (
     with_views("bases", "snps")
     + ", c as (select tid, ref_pos % 5000 as pos, "
     + ", ".join(f"count(*) filter (base = '{b}' and sample = '{s}') as {s.lower()}_{b.lower()}" for s in "TN" for b in "ACGT")
-    + " from bases where query_at is not null group by all), s as (select distinct tid, pos % 5000 as pos from snps) select c.* from c join s using (tid, pos) where t_a + t_c + t_g + t_t >= 5 and n_a + n_c + n_g + n_t >= 5"
+    + f" from bases where query_at is not null and {_SURE} group by all), s as (select distinct tid, pos % 5000 as pos from snps) select c.* from c join s using (tid, pos) where t_a + t_c + t_g + t_t >= 5 and n_a + n_c + n_g + n_t >= 5"
 )
 
 

@@ -65,15 +65,91 @@ def test_segments_find_a_step(split):
     assert any(abs(a - 60) <= 10 for a, _ in out[1:])
     assert split(np.ones(30), np.full(30, 0.01), 1e-3, 10) == [(0, 29)]
     assert split(np.ones(3), np.ones(3), 1e-3, 10) == [(0, 2)]
-    assert split(np.ones(30), np.full(30, 0.01), 1e-3, 10, (9,)) == [(0, 9), (10, 29)]
-
-
-def test_site_runs_absorb_short_ones():
-    value = np.array([1] * 25 + [2] * 3 + [3] * 25 + [4] * 2)
-    at = np.arange(len(value))
-    assert K.site_runs(value, at, at) == [(0, 24, 0, 24), (25, 54, 25, 54)]
-    assert K.site_runs(np.array([5, 5]), np.array([1, 2]), np.array([1, 2])) == [(0, 1, 1, 2)]
-    assert K.site_runs(np.zeros(0), np.zeros(0), np.zeros(0)) == []
+    assert split(np.ones(30), np.full(30, 0.01), 1e-3, 10, (9,)) == [(0, 9), (10, 10), (11, 29)]
+    assert split(np.ones(30), np.full(30, 0.01), 1e-3, 10, (9,), opens=False) == [(0, 9), (10, 29)]
+    assert split(np.ones(30), np.full(30, 0.01), 1e-3, 10, from_start=False) == [(0, 0), (1, 29)]
+
+
+def stepwise(dat, sig, parts, alpha, least, flanks):
+    """Segmentation point by point: sums that gain and lose one point a step, one list of marks at the end."""
+    marks = [m for p in parts for m in p]
+    queue = list(parts)
+    while queue:
+        a, b = queue.pop(0)
+        best, split = -1.0, None
+        if flanks:
+            for i in range(1, (b - a) - 2 * least + 1):
+                left, right = range(a + i, a + least + i), range(a + least + i + 1, a + 2 * least + i + 1)
+                noise = sum(sig[k] for k in left) / least**2 + sum(sig[k] for k in right) / least**2
+                score = abs(sum(dat[k] for k in left) / least - sum(dat[k] for k in right) / least) / math.sqrt(noise)
+                if score > best * (1 + 1e-9):
+                    best, split = score, a + least + i
+        else:
+            left, right = list(range(a, min(a + least - 1, b + 1))), list(range(a + least - 1, b + 1))
+            for i in range((b - a + 1) - 2 * least + 1):
+                left.append(a + least + i)
+                right.remove(a + least + i)
+                score = abs(sum(dat[k] for k in left) / len(left) - sum(dat[k] for k in right) / len(right)) / math.sqrt(sum(sig[k] for k in left) / len(left) + sum(sig[k] for k in right) / len(right))
+                if score > best * (1 + 1e-9):
+                    best, split = score, a + least + i
+        if split is not None and math.erfc(best / math.sqrt(2)) <= alpha:
+            marks.append(split)
+            queue += [(a, split), (split + 1, b)]
+    marks.sort()
+    out = []
+    for v, after in zip(marks, [*marks[1:], None]):
+        if v != len(dat) - 1:
+            out.append((0 if v == 0 else v + 1, after))
+    return [x for x in out if x[0] <= x[1]]
+
+
+@pytest.mark.parametrize("flanks", [False, True])
+def test_segments_equal_the_stepwise_loop(flanks):
+    rng = np.random.default_rng(8)
+    for k in range(60):
+        n, least = int(rng.integers(1, 70)), int(rng.integers(2, 7))
+        x = np.repeat(rng.normal(0, 1, 8), 9)[:n] + rng.normal(0, 0.2, n)
+        sig = rng.uniform(0.01, 0.2, n)
+        cut = tuple(sorted({int(c) for c in rng.integers(1, n + 1, int(rng.integers(0, 3))) if c < n}))  # a part of the first point alone has no mark of its own
+        edges = sorted({-1, n - 1, *cut})
+        parts = [(a + 1, b) for a, b in zip(edges, edges[1:])]
+        kernel = K.flank_segments if flanks else K.binary_segments
+        assert kernel(x, sig, 0.05, least, cut) == stepwise(x, sig, parts, 0.05, least, flanks), k
+
+
+def site_by_site(tid, value, ok, begin, end, least):
+    """Segments of sites in order, and the segment of each site."""
+    out, number = [], [-1] * len(tid)
+    seen, first, level, name, reach, since = 0, begin[0], value[0], tid[0], begin[0], 0
+    for k in range(len(tid)):
+        if (level != value[k] or k == len(tid) - 1 or name != tid[k]) and seen >= least:
+            out.append((name, first, reach, level, seen))
+            number[since:k] = [len(out) - 1] * (k - since)
+            seen, level, name, first, since = 0, value[k], tid[k], begin[k], k
+        else:
+            if end[k] - first >= 0:
+                reach = end[k]
+            level = value[k]
+        seen += ok[k]
+    return out, number
+
+
+def test_folded_runs_equal_sites_one_by_one():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n, least = int(rng.integers(1, 120)), 5
+        tid = np.sort(rng.integers(0, 4, n))
+        begin = np.concatenate([np.sort(rng.integers(0, 50, (tid == t).sum())) * 10 for t in range(4)])
+        value, ok = (begin // 70 % 3).astype(float), rng.integers(0, 2, n)
+        want, sites = site_by_site(tid, value, ok, begin, begin + 9, least)
+        before = np.array([min(ok[:k][tid[:k] == tid[k]].sum(), least) for k in range(n)])
+        final = np.arange(n) == n - 1
+        new = np.concatenate([[True], (tid[1:] != tid[:-1]) | (value[1:] != value[:-1]) | (before[1:] != before[:-1]) | (final[1:] != final[:-1])])
+        run = np.cumsum(new) - 1
+        at, ends = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], n) - 1
+        got, number = K.fold_runs(tid[at], value[at], np.bincount(run, ok).astype(int), np.bincount(run), begin[at], begin[ends] + 9, least)
+        assert got == want and number[run].tolist() == sites
+    assert K.fold_runs(*[np.zeros(0)] * 6)[0] == []
 
 
 def affine(a, b, match=5, mismatch=-4, opening=5, extension=2):

@@ -74,3 +74,14 @@ def test_forced_windows_end_segments(spark, sample):
     rows = {r.part_no: r for r in found.where("tid = 0").collect()}
     assert rows[30].segment != rows[50].segment
     assert profile.copy_number_profile(parts.limit(0), least_length=2_000, least_reads=5_000).count() == 0
+
+
+def test_empty_chromosomes_make_no_further_windows(spark):
+    empty = {0, 1, 4, 5, 6, 9}
+    rows = [(t, t * 20 + i, i * 1000 + 1, i * 1000 + 1000, 0.4, 0 if t in empty else 50 + i, 0 if t in empty else 40 + t) for t in range(10) for i in range(20)]
+    parts = spark.createDataFrame(rows, "tid int, part_no bigint, p_start bigint, p_end bigint, gc double, n_t bigint, n_n bigint")
+    windows = profile.genome_windows(parts, least_length=3_000, least_reads=100)
+    table = profile.window_table(parts, windows)
+    assert table.count() == table.select("window").distinct().count() == windows.select("counted").distinct().count()
+    cut = profile.copy_number_profile(parts, least_length=3_000, least_reads=100, least=2)
+    assert cut.count() == len(rows) and cut.select("part_no").distinct().count() == len(rows)
