@@ -25,29 +25,28 @@ MIN_COVERAGE = 5
 MAX_DEPTH = 8_000
 
 
-def expand_reads(reads: DataFrame, keep: list[str], *, cigar: str = "cigar", start: str = "pos", ops: str = "MDNS") -> DataFrame:
-    """keep, ref_pos, query_at (from 0; null in a gap), op, indel, is_head, is_tail: a row for each place an alignment takes on the reference.
+def expand_reads(reads: DataFrame, keep: list[str], *, cigar: str = "cigar", start: str = "pos", ops: str = "MDNS", ends: bool = True) -> DataFrame:
+    """keep, ref_pos, query_at (from 0; null in a gap), op, and with ends indel, is_head, is_tail: a row for each place an alignment takes on the reference.
 
     Insertions and a leading soft clip take no place; later soft clips do. indel, on the last place before it, is the length of an
-    insertion or minus that of a deletion, else 0. ops: the operations whose places are wanted.
+    insertion or minus that of a deletion, else 0. ops: the operations whose places are wanted; others are left out before anything is exploded.
     """
     placed = reads.select(*keep, F.col(start).alias("_start"), place_cigar(F.col(cigar)).alias("_all"))
-    each_op = placed.select(*keep, "_start", "_all", F.posexplode("_all").alias("_i", "o"))
-    after = F.get(F.col("_all"), F.col("_i") + 1)
-    ahead = F.when(after["op"] == "I", after["len"]).when((after["op"] == "D") & (F.col("o.op") != "D"), -after["len"]).otherwise(0)
-    rows = each_op.select(*keep, "_start", F.size("_all").alias("_n"), "o", ahead.cast("int").alias("_ahead"))
-    taking = rows.where(F.col("o.op").isin(*set(ops) - {"S"}) | (F.lit("S" in ops) & (F.col("o.op") == "S") & (F.col("o.number") > 0))).where("o.len > 0")
-    each = taking.select(*keep, "_start", "o", "_n", "_ahead", F.explode(F.sequence(F.lit(0), F.col("o.len") - 1)).alias("k"))
+    wanted = lambda o: (o["len"] > 0) & (o["op"].isin(*set(ops) - {"S"}) | (F.lit("S" in ops) & (o["op"] == "S") & (o["number"] > 0)))
+    some = F.filter("_all", wanted)
+    if ends:
+        after = lambda o: F.get(F.col("_all"), o["number"] + 1)
+        ahead = lambda o: F.when(after(o)["op"] == "I", after(o)["len"]).when((after(o)["op"] == "D") & (o["op"] != "D"), -after(o)["len"]).otherwise(0)
+        some = F.transform(some, lambda o: F.struct(o["op"].alias("op"), o["len"].alias("len"), o["q0"].alias("q0"), o["r0"].alias("r0"), ahead(o).cast("int").alias("ahead"), (o["number"] == F.size("_all") - 1).alias("last")))
+    taking = placed.select(*keep, "_start", F.explode(some).alias("o"))
+    each = taking.select(*keep, "_start", "o", F.explode(F.sequence(F.lit(0), F.col("o.len") - 1)).alias("k"))
+    at = F.col("o.r0") + F.col("k")
     query = F.when(F.col("o.op").isin("M", "S"), F.col("o.q0") + F.col("k"))
-    return each.select(
-        *keep,
-        (F.col("_start") + F.col("o.r0") + F.col("k")).cast("bigint").alias("ref_pos"),
-        query.cast("int").alias("query_at"),
-        F.col("o.op").alias("op"),
-        F.when(F.col("k") == F.col("o.len") - 1, F.col("_ahead")).otherwise(0).alias("indel"),
-        ((F.col("o.r0") + F.col("k")) == 0).alias("is_head"),
-        ((F.col("o.number") == F.col("_n") - 1) & (F.col("k") == F.col("o.len") - 1)).alias("is_tail"),
-    )
+    out = [(F.col("_start") + at).cast("bigint").alias("ref_pos"), query.cast("int").alias("query_at"), F.col("o.op").alias("op")]
+    if ends:
+        final = F.col("k") == F.col("o.len") - 1
+        out += [F.when(final, F.col("o.ahead")).otherwise(0).alias("indel"), (at == 0).alias("is_head"), (F.col("o.last") & final).alias("is_tail")]
+    return each.select(*keep, *out)
 
 
 def indel_ahead(reads: DataFrame, keep: list[str], *, cigar: str = "cigar", start: str = "pos") -> DataFrame:

@@ -116,14 +116,14 @@ def segments(spark: SparkSession) -> DataFrame:
     return spark.range(240).selectExpr("cast(id div 10 as int) as tid", "cast(id % 10 as int) as seg").selectExpr(*_exprs(SEGMENT))
 
 
-def bases(spark: SparkSession, sf_dir: str, *, source: DataFrame | None = None, ops: str = "MDNS", keep: list[str] | None = None) -> DataFrame:
+def bases(spark: SparkSession, sf_dir: str, *, source: DataFrame | None = None, ops: str = "MDNS", keep: list[str] | None = None, ends: bool = True) -> DataFrame:
     """A row for each place that a read takes, with base, reference base and quality."""
     from cytoframe.functions.columns import parse_cigar
     from cytoframe.operators.pileup import expand_reads
 
     keep = keep or ["tid", "pos", "mapq", "flag", "qlen", "sample", *TIES]
     rows = source if source is not None else reads(spark, sf_dir)
-    rows = expand_reads(rows.withColumn("cigar", parse_cigar(F.col("cigar"))), keep, ops=ops)
+    rows = expand_reads(rows.withColumn("cigar", parse_cigar(F.col("cigar"))), keep, ops=ops, ends=ends)
     return rows.withColumns(
         {
             "base": letter(F.col("l_partkey") + F.col("query_at") * 7 + F.col("l_orderkey")),

@@ -132,8 +132,8 @@ FOLDED = 5_000
 
 
 def _sites(spark: SparkSession, d: str) -> DataFrame:
-    rows = bases(spark, d, source=reads(spark, d).where("(flag & 1796) = 0"), ops="MS", keep=["tid", "pos", "flag", "l_partkey", "l_orderkey"])
-    return V.base_sums(rows.withColumn("place", F.col("ref_pos") % FOLDED), ["tid", "place"])
+    rows = bases(spark, d, source=reads(spark, d).where("(flag & 1796) = 0"), ops="MS", keep=["tid", "pos", "flag", *TIES], ends=False)
+    return V.base_sums(rows.withColumn("place", F.col("ref_pos") % FOLDED), ["tid", "place"], keys=[*TIES, "query_at"])
 
 
 def genotypes(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +151,9 @@ def _genotypes_sql() -> str:
         parts.append(others if i == j else f"greatest({others} - cast(4.343 as double) * (lgamma({x} + {y} + 1) - lgamma({x} + 1) - lgamma({y} + 1) - ({x} + {y}) * ln(cast(2 as double))), 0)")
     return (
         with_views("bases")
-        + f""", b0 as (select tid, ref_pos % {FOLDED} as place, base, reverse, least(greatest(quality, 4), 63) as q from bases where query_at is not null and (flag & 1796) = 0),
+        + f""", b as (select tid, ref_pos % {FOLDED} as place, base, reverse, least(greatest(quality, 4), 63) as q, count(*) over (partition by tid, ref_pos % {FOLDED}) as depth, {", ".join(TIES)}, query_at
+   from bases where query_at is not null and (flag & 1796) = 0),
+ b0 as (select * from b where depth <= 255 union all select * exclude (d) from (select *, row_number() over (partition by tid, place order by md5('0:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || l_extendedprice || ':' || query_at), {", ".join(TIES)}, query_at) as d from b where depth > 255) where d <= 255),
  b1 as (select *, row_number() over (partition by tid, place order by q desc, reverse desc, base desc) as r from b0),
  b2 as (select *, count(*) over (partition by tid, place) as n, row_number() over (partition by tid, place, base order by r) - 1 as k, row_number() over (partition by tid, place, base, reverse order by r) - 1 as w from b1 where r <= 255),
  t as (select q, n, k, -10 * log10({terms.format("k + 1")} / {terms.format("k")}) as beta from (select distinct q, n, k, pow(cast(10 as double), -q / cast(10 as double)) as e from b2)),

@@ -81,7 +81,7 @@ CLIPPED_MAPQ = with_views("reads") + f" select {ID}, case when l_orderkey % 9 =
 
 
 def cigar_expand(spark: SparkSession, d: str) -> DataFrame:
-    rows = bases(spark, d).withColumn("block", F.floor(F.col("ref_pos") / 10_000).cast("bigint"))
+    rows = bases(spark, d, keep=["tid", "pos", "flag", "l_partkey", "l_orderkey"]).withColumn("block", F.floor(F.col("ref_pos") / 10_000).cast("bigint"))
     return rows.groupBy("tid", "block").agg(
         F.count("*").alias("n"), F.count("query_at").alias("n_bases"), F.sum("ref_pos").alias("pos_sum"), F.sum(F.col("query_at").cast("bigint") * (F.col("ref_pos") % 97)).alias("mixed"), F.count_if("is_head").alias("heads"), F.count_if("is_tail").alias("tails")
     )
@@ -262,7 +262,7 @@ FIXED_MATES = (
 def allele_counts(spark: SparkSession, d: str) -> DataFrame:
     # what a read decides is decided before it is taken apart
     good = reads(spark, d).where("mapq > 0 and (flag & 1024) = 0").withColumn("least", pileup.least_quality(F.col("mapq"))).where("least is not null")
-    sure = bases(spark, d, source=good, ops="MS", keep=["tid", "pos", "flag", "least", "l_partkey", "l_orderkey"]).where("quality >= least")
+    sure = bases(spark, d, source=good, ops="MS", keep=["tid", "pos", "flag", "least", "l_partkey", "l_orderkey"], ends=False).where("quality >= least")
     return pileup.allele_counts(sure, ["tid", "ref_pos"], strand="reverse")
 
 
@@ -274,7 +274,7 @@ def snp_counts(spark: SparkSession, d: str) -> DataFrame:
     from cytoframe.plans.adapters import snps
 
     good = reads(spark, d).where("mapq > 0 and (flag & 1024) = 0").withColumn("least", pileup.least_quality(F.col("mapq"))).where("least is not null")
-    near = bases(spark, d, source=good, ops="MS", keep=["tid", "pos", "flag", "sample", "least", "l_partkey", "l_orderkey"]).where("quality >= least").withColumn("ref_pos", F.col("ref_pos") % 5_000)
+    near = bases(spark, d, source=good, ops="MS", keep=["tid", "pos", "flag", "sample", "least", "l_partkey", "l_orderkey"], ends=False).where("quality >= least").withColumn("ref_pos", F.col("ref_pos") % 5_000)
     per = {s: pileup.allele_counts(near.where(F.col("sample") == s), ["tid", "ref_pos"]).withColumnRenamed("ref_pos", "pos") for s in "TN"}
     sites = snps(spark, d).select("tid", (F.col("pos") % 5_000).alias("pos")).distinct()
     return pileup.snp_rows(per["T"], per["N"], sites)
