@@ -365,7 +365,15 @@ def capped_depth(spark: SparkSession, d: str) -> DataFrame:
 
 CAPPED_DEPTH = with_views("reads") + f" select tid, pos, count(*) as n, cast(sum(l_partkey) as bigint) as part_sum from (select *, row_number() over (partition by tid, pos order by {ID}) as k from (select * replace (pos % 200 as pos) from reads)) where k <= 5 group by all"
 
+def layers(spark: SparkSession, d: str) -> DataFrame:
+    from cytoframe.operators.layers import read_layers
+
+    rows = reads(spark, d).where("(flag & 1796) = 0").withColumn("ref_end", F.col("pos") + C.reference_length(C.parse_cigar(F.col("cigar"))) - 1)
+    return read_layers(rows, order=TIES).select("tid", "pos", "ref_end", "layer", *TIES)
+
+
 QUERIES = {
+    "w10_layers": (layers, None),
     "f1_view_filter": (view_filter, VIEW_FILTER),
     "f2_read_group_filter": (read_group_filter, None),
     "f3_library_filter": (library_filter, LIBRARY_FILTER),

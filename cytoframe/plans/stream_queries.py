@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.plans.adapters import table
-from cytoframe.streaming import windows
+from cytoframe.operators import pileup as U
+from cytoframe.plans.adapters import bases, reads, table
+from cytoframe.plans.read_queries import ALLELE_COUNTS
+from cytoframe.session import shared_path
+from cytoframe.streaming import pileup, windows
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -39,4 +42,32 @@ SESSIONS = """with x as (select user_id, ts, case when ts - lag(ts) over w < int
  y as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) as s from x), z as (select user_id, s, count(*) as n from y group by all)
  select user_id, count(*) as n_sessions, cast(sum(n) as bigint) as n, max(n) as longest from z group by user_id"""
 
-QUERIES = {"s1_tumbling": (tumbling, TUMBLING), "s2_sliding": (sliding, SLIDING), "s3_sessions": (sessions, SESSIONS)}
+#: Files that reads are dealt to by position, and files that a batch of the stream takes.
+PIECES, A_BATCH = 6, 2
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Allele counts of reads that come in order of position, a few files a batch; each place once, but for what comes late."""
+    good = reads(spark, d).where("mapq > 0 and (flag & 1024) = 0").withColumn("least", U.least_quality(F.col("mapq"))).where("least is not null")
+    path = shared_path(spark, "ordered-reads")
+    columns = ["tid", "pos", "flag", "least", "l_partkey", "l_orderkey", "cigar", "final"]
+    good.withColumn("final", F.lit(False)).repartitionByRange(PIECES, "pos").sortWithinPartitions("pos").select(*columns).write.parquet(path)
+    ends = [F.lit(None).cast(good.schema[c].dataType).alias(c) for c in columns[1:-1]]
+    schema = spark.read.parquet(path).schema
+    good.select("tid").distinct().select("tid", *ends, F.lit(True).alias("final")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", A_BATCH).parquet(path)
+    each = bases(spark, d, source=stream.where("not final"), ops="MS", keep=["tid", "pos", "flag", "least", "l_partkey", "l_orderkey"], ends=False).where("quality >= least")
+    rows = each.select("tid", F.col("pos").alias("start"), "ref_pos", "base", "reverse", F.lit(False).alias("final"))
+    none = F.lit(None)
+    last = stream.where("final").select("tid", none.cast("bigint").alias("start"), none.cast("bigint").alias("ref_pos"), none.cast("string").alias("base"), none.cast("boolean").alias("reverse"), "final")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        out = windows.run_available(pileup.streamed_counts(rows.unionByName(last)), "counts", mode="append")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return out.groupBy("tid", "ref_pos").agg(*[F.sum(n).alias(n) for n in pileup.NAMES])
+
+
+QUERIES = {"s4_streamed_counts": (streamed_counts, ALLELE_COUNTS), "s1_tumbling": (tumbling, TUMBLING), "s2_sliding": (sliding, SLIDING), "s3_sessions": (sessions, SESSIONS)}
