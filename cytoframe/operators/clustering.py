@@ -16,6 +16,8 @@ from cytoframe.functions.columns import normal_cdf
 from cytoframe.functions.kernels import deconvolve, density_peaks
 
 #: Fractions that the histogram covers.
+#: Clusters of all samples that are broadcast; more are joined by a shuffle.
+MOST_CLUSTERS = 100_000
 TOP = 1.5
 
 
@@ -70,7 +72,9 @@ def assign_clusters(mutations: DataFrame, clusters: DataFrame, keys: list[str],
     from cytoframe.functions.columns import erf
 
     n = F.count("*").over(W.partitionBy(by))
-    each = mutations.join(clusters.withColumn("n_clusters", n).withColumnRenamed("ccf", "peak"), by)  # few clusters a sample
+    found = clusters.withColumn("n_clusters", n).withColumnRenamed("ccf", "peak")
+    few = clusters.limit(MOST_CLUSTERS + 1).count() <= MOST_CLUSTERS
+    each = mutations.join(F.broadcast(found) if few else found, by)
     d = F.col("ccf") - F.col("peak")
     two = 1 - erf(F.abs(d) / (F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")) * 2**0.5))
     high, low = normal_cdf(d, F.col("sd")), normal_cdf(-d, F.col("sd"))

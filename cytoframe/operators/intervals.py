@@ -46,7 +46,8 @@ def first_match(points: DataFrame, intervals: DataFrame, *, key: list[str], grou
 def forward_fill(df: DataFrame, column: str, *, group: list[str], order: list[str]) -> DataFrame:
     """Nulls of column take the last value before them; those before the first value take that."""
     w = W.partitionBy(*group).orderBy(*order)
-    filled = F.coalesce(F.last(column, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(column, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    # before the first known value the first one of all comes next; over the whole frame it is worked out once
+    filled = F.coalesce(F.last(column, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(column, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     return df.withColumn(column, filled)
 
 

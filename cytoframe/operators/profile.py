@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cytoframe.functions import kernels
 from cytoframe.functions.columns import sex_factor, truncate_half
 from cytoframe.operators import copynumber as M
-from cytoframe.operators.intervals import first_match, forward_fill, islands, running_median
+from cytoframe.operators.intervals import first_match, forward_fill, islands, number_rows, running_median
 from cytoframe.session import written
 
 GC_BINS = 1_000
@@ -318,10 +318,10 @@ def expected_table(mutations: DataFrame, sample: str, *, alleles: bool = False)
 def phylogeny_table(mutations: DataFrame, sample: str) -> DataFrame:
     """id (s0, s1, ... by place), gene, a (reference reads), d, mu_r, mu_v of single-base mutations with an expected frequency."""
     rows = M.expected_af(mutations).where("af_exp is not null and length(ref) = 1 and length(alt) = 1")
-    number = F.row_number().over(W.orderBy("tid", "pos", "ref", "alt")) - 1  # mutations of one sample
+    rows = number_rows(rows, group="tid", at="pos", order=["ref", "alt"], width=1 << 20, name="_number")
     reference = (F.col("coverage") * (1 - F.col("af_obs")) + 0.1).cast("bigint")
     name = F.concat(F.lit(f"{sample}_"), chromosome_name(F.col("tid")), F.lit(":"), F.col("pos").cast("string"), F.lit("_SNM"))
-    return rows.select(F.concat(F.lit("s"), number.cast("string")).alias("id"), name.alias("gene"), reference.alias("a"), F.col("coverage").alias("d"), F.lit(0.999).alias("mu_r"), (1 - F.col("af_exp")).alias("mu_v"))
+    return rows.select(F.concat(F.lit("s"), F.col("_number").cast("string")).alias("id"), name.alias("gene"), reference.alias("a"), F.col("coverage").alias("d"), F.lit(0.999).alias("mu_r"), (1 - F.col("af_exp")).alias("mu_v"))
 
 
 def chromosome_name(tid):

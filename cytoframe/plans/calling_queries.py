@@ -169,6 +169,36 @@ _PLS = [f"p_{'acgt'[i]}{'acgt'[j]}" for i, j in V.GENOTYPES]
 GENOTYPES = _genotypes_sql() + " select tid, place, n, " + ", ".join(f"round({p}, 4) as {p}" for p in _PLS) + " from g"
 
 
+def _older(spark: SparkSession, d: str, dependent: bool) -> DataFrame:
+    rows = bases(spark, d, source=reads(spark, d).where("(flag & 1796) = 0 and mapq > 0"), ops="MS", keep=["tid", "pos", "flag", "mapq", "l_partkey", "l_orderkey"], ends=False).where("quality >= 13")
+    out = V.older_likelihoods(rows.withColumn("quality", F.least("quality", "mapq")).withColumn("place", F.col("ref_pos") % FOLDED), ["tid", "place"], dependent=dependent)
+    return out.select("tid", "place", "n", *[F.round(F.get("likelihoods", F.lit(k)) + 1e-7, 4).alias("p_" + "".join("acgt"[x] for x in g)) for k, g in enumerate(V.GENOTYPES)])
+
+
+def dependent_model(spark: SparkSession, d: str) -> DataFrame:
+    return _older(spark, d, True)
+
+
+def plain_model(spark: SparkSession, d: str) -> DataFrame:
+    return _older(spark, d, False)
+
+
+def _plain_model_sql() -> str:
+    cost = lambda i, j: " + ".join(f"e_{b}" for k, b in enumerate("acgt") if k not in (i, j)) + ("" if i == j else f" - cast(4.343 as double) * (n_{'acgt'[i]} + n_{'acgt'[j]}) * ln(cast(0.5 as double))")
+    return (
+        with_views("bases")
+        + f""", b0 as (select tid, ref_pos % {FOLDED} as place, base, reverse, greatest(least(quality, mapq), 4) as q from bases where query_at is not null and (flag & 1796) = 0 and mapq > 0 and quality >= 13),
+ b1 as (select *, row_number() over (partition by tid, place, base, reverse order by q desc) - 1 as w from b0),
+ s as (select tid, place, count(*) as n, """
+        + ", ".join(f"count(*) filter (base = '{b}') as c_{b.lower()}, coalesce(sum((pow(cast(0.83 as double), least(w, 255)) * cast(0.97 as double) + cast(0.03 as double)) * q) filter (base = '{b}'), 0) as e_{b.lower()}" for b in "ACGT")
+        + " from b1 group by tid, place), r as (select *, "
+        + ", ".join(f"case when n > 255 then cast(trunc(254.0 * c_{b} / n + 0.5) as bigint) else c_{b} end as n_{b}" for b in "acgt")
+        + " from s) select tid, place, n, "
+        + ", ".join(f"round({cost(i, j)} + 1e-7, 4) as p_{'acgt'[i]}{'acgt'[j]}" for i, j in V.GENOTYPES)
+        + " from r"
+    )
+
+
 def consensus(spark: SparkSession, d: str) -> DataFrame:
     rows = V.genotype_likelihoods(_sites(spark, d)).withColumn("ref", letter(F.col("place") * 7 + F.col("tid")))
     return V.consensus(rows).select("tid", "place", "consensus", "consensus_quality", "snp_quality")
@@ -211,6 +241,8 @@ QUERIES = {
     "a30_ranked_alleles": (ranked_alleles, RANKED_ALLELES),
     "v6_count_likelihoods": (likelihoods, LIKELIHOODS),
     "v4_genotype_likelihoods": (genotypes, GENOTYPES),
+    "v5_plain_model": (plain_model, _plain_model_sql()),
+    "v5_dependent_model": (dependent_model, None),
     "v6_consensus": (consensus, CONSENSUS),
     "v12_mapping_caps": (mapping_caps, MAPPING_CAPS),
     "o5_best_candidates": (best_candidates, BEST_CANDIDATES),
