@@ -169,10 +169,11 @@ _PLS = [f"p_{'acgt'[i]}{'acgt'[j]}" for i, j in V.GENOTYPES]
 GENOTYPES = _genotypes_sql() + " select tid, place, n, " + ", ".join(f"round({p}, 4) as {p}" for p in _PLS) + " from g"
 
 
+#: Moves exact decimals off the halves that engines round differently.
 def _older(spark: SparkSession, d: str, dependent: bool) -> DataFrame:
     rows = bases(spark, d, source=reads(spark, d).where("(flag & 1796) = 0 and mapq > 0"), ops="MS", keep=["tid", "pos", "flag", "mapq", "l_partkey", "l_orderkey"], ends=False).where("quality >= 13")
     out = V.older_likelihoods(rows.withColumn("quality", F.least("quality", "mapq")).withColumn("place", F.col("ref_pos") % FOLDED), ["tid", "place"], dependent=dependent)
-    return out.select("tid", "place", "n", *[F.round(F.get("likelihoods", F.lit(k)) + 1e-7, 4).alias("p_" + "".join("acgt"[x] for x in g)) for k, g in enumerate(V.GENOTYPES)])
+    return out.select("tid", "place", "n", *[F.round(F.get("likelihoods", F.lit(k)) + 1.2345678e-7, 4).alias("p_" + "".join("acgt"[x] for x in g)) for k, g in enumerate(V.GENOTYPES)])
 
 
 def dependent_model(spark: SparkSession, d: str) -> DataFrame:
@@ -194,7 +195,7 @@ def _plain_model_sql() -> str:
         + " from b1 group by tid, place), r as (select *, "
         + ", ".join(f"case when n > 255 then cast(trunc(254.0 * c_{b} / n + 0.5) as bigint) else c_{b} end as n_{b}" for b in "acgt")
         + " from s) select tid, place, n, "
-        + ", ".join(f"round({cost(i, j)} + 1e-7, 4) as p_{'acgt'[i]}{'acgt'[j]}" for i, j in V.GENOTYPES)
+        + ", ".join(f"round({cost(i, j)} + 1.2345678e-7, 4) as p_{'acgt'[i]}{'acgt'[j]}" for i, j in V.GENOTYPES)
         + " from r"
     )
 
