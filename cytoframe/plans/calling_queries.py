@@ -200,6 +200,48 @@ def _plain_model_sql() -> str:
     )
 
 
+def likelihood_records(spark: SparkSession, d: str) -> DataFrame:
+    """Likelihoods as records of files, and read again from these."""
+    from cytoframe.sources import likelihoods as G
+
+    rows = V.genotype_likelihoods(_sites(spark, d))
+    least, lk = G.whole_likelihoods(F.col("likelihoods"))
+    none = F.lit(None)
+    rows = rows.select(
+        F.col("tid").cast("string").alias("name"), F.lit(FOLDED).cast("bigint").alias("length"), (F.col("place") + 1).cast("bigint").alias("pos"), F.lit("site").alias("kind"), letter(F.col("place") * 7 + F.col("tid")).alias("ref"), F.col("n").alias("depth"), F.lit(60).alias("rms_mapq"),
+        least.alias("min_lk"), lk.alias("lk"), none.cast("int").alias("indel1"), none.cast("int").alias("indel2"), none.cast("string").alias("seq1"), none.cast("string").alias("seq2"),
+    )
+    read = G.unpacked_likelihoods(G.likelihood_contents(rows, parts=8))
+    return read.select("name", "pos", "ref", "depth", "min_lk", F.array_join(F.col("lk").cast("array<string>"), ",").alias("lk"))
+
+
+LIKELIHOOD_RECORDS = (
+    _genotypes_sql()
+    + f""", m as (select *, least({", ".join(_PLS)}) as low from g)
+ select cast(tid as varchar) as name, cast(place + 1 as bigint) as pos, substr('ACGT', cast((place * 7 + tid) % 4 + 1 as int), 1) as ref, n as depth, cast(least(floor(round(low, 6) + cast(0.5 as double)), 255) as int) as min_lk,
+  {" || ',' || ".join(f"cast(least(floor(round({p} - low, 6) + cast(0.5 as double)), 255) as int)" for p in _PLS)} as lk from m"""
+)
+
+
+def colour_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Each read's colours that its bases don't explain, as a string, with the last colour's quality."""
+    n = F.col("qlen").cast("int")
+    each = lambda f: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), f), "")
+    rows = reads(spark, d).withColumn("reverse", F.col("flag").bitwiseAND(16) != 0).withColumn("seq", each(lambda q: letter(F.col("l_partkey") + q * 7 + F.col("l_orderkey"))))
+    rows = rows.withColumn("cs", F.concat(F.lit("T"), each(lambda q: ((F.col("l_partkey") + q * 5) % 4).cast("string")))).withColumn("cq", each(lambda q: F.char(40 + (F.col("l_orderkey") + q) % 20)))
+    return rows.select(*TIES, each(lambda i: V.colour_error_at(F.col("cs"), F.col("seq"), F.col("reverse"), i)).alias("errors"), V.colour_quality_at(F.col("cq"), F.col("reverse"), n - 1).alias("last_quality"))
+
+
+_AT = lambda q: f"substr('ACGT', cast((l_partkey + ({q}) * 7 + l_orderkey) % 4 + 1 as int), 1)"
+COLOUR_ERRORS = (
+    with_views("reads")
+    + f""", b as (select {", ".join(TIES)}, qlen, (flag & 16) <> 0 as reverse, unnest(range(qlen)) as i from reads),
+ c as (select *, (l_partkey + (case when reverse then qlen - 1 - i else i end) * 5) % 4 as seen, {_AT("i")} as own, case when reverse and i = qlen - 1 then 'A' when reverse then {_AT("i + 1")} when i = 0 then 'T' else {_AT("greatest(i - 1, 0)")} end as before from b),
+ e as (select *, xor(strpos('ACGT', before) - 1, strpos('ACGT', own) - 1) as right_one from c)
+ select {", ".join(TIES)}, string_agg(case when seen = right_one then '-' else cast(seen as varchar) end, '' order by i) as errors, chr(cast(40 + (l_orderkey + case when max(reverse) then 0 else max(qlen) - 1 end) % 20 as int)) as last_quality from e group by {", ".join(TIES)}"""
+)
+
+
 def consensus(spark: SparkSession, d: str) -> DataFrame:
     rows = V.genotype_likelihoods(_sites(spark, d)).withColumn("ref", letter(F.col("place") * 7 + F.col("tid")))
     return V.consensus(rows).select("tid", "place", "consensus", "consensus_quality", "snp_quality")
@@ -244,6 +286,8 @@ QUERIES = {
     "v4_genotype_likelihoods": (genotypes, GENOTYPES),
     "v5_plain_model": (plain_model, _plain_model_sql()),
     "v5_dependent_model": (dependent_model, None),
+    "sk19_likelihood_records": (likelihood_records, LIKELIHOOD_RECORDS),
+    "x15_colour_errors": (colour_errors, COLOUR_ERRORS),
     "v6_consensus": (consensus, CONSENSUS),
     "v12_mapping_caps": (mapping_caps, MAPPING_CAPS),
     "o5_best_candidates": (best_candidates, BEST_CANDIDATES),
