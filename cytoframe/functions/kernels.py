@@ -1,7 +1,7 @@
-"""Small numeric kernels for grouped functions: smoothing splines, constrained deconvolution, segmentation, alignment.
+"""Small numeric kernels for grouped functions: smoothing splines, constrained deconvolution, segmentation.
 
 Each works on the arrays of one group, whose size the caller's grouping bounds (bins of a histogram, windows of one
-chromosome of one sample, one read).
+chromosome of one sample).
 """
 
 from __future__ import annotations
@@ -239,99 +239,3 @@ def fold_runs(tid: np.ndarray, value: np.ndarray, n: np.ndarray, sites: np.ndarr
         if moves and end[i] >= first:
             reach = end[i]
     return out, number
-
-
-def global_alignment(a: str, b: str, *, match: int = 5, mismatch: int = -4, opening: int = 5, extension: int = 2, band: int | None = None) -> tuple[int, str]:
-    """Score and CIGAR of the best global alignment with affine gaps within a band of diagonals.
-
-    A gap of k costs opening + k extension. Rows are computed as arrays; gaps along a row come from a running maximum.
-    """
-    n, m = len(a), len(b)
-    width = max(abs(n - m) + 1, band if band is not None else max(n, m, 1))
-    low = -10**9
-    bb = np.frombuffer(b.encode("utf-32-le"), "<u4") if m else np.zeros(0, np.uint32)
-    columns = np.arange(m + 1)
-    h = np.where(columns == 0, 0, -opening - extension * columns).astype(np.int64)
-    h[columns > width] = low
-    f = np.full(m + 1, low, np.int64)
-    back = np.zeros((n + 1, m + 1), np.int8)
-    back_f = np.zeros((n + 1, m + 1), bool)
-    back[0, 1:] = 1
-    for i in range(1, n + 1):
-        inside = np.abs(columns - i) <= width
-        opened, extended = h - opening - extension, f - extension
-        back_f[i] = extended > opened
-        f = np.maximum(opened, extended)
-        diagonal = np.full(m + 1, low, np.int64)
-        diagonal[1:] = h[:-1] + np.where(bb == ord(a[i - 1]), match, mismatch)
-        best = np.where(inside, np.maximum(diagonal, f), low)
-        reach = np.maximum.accumulate(best + extension * columns)
-        e = np.full(m + 1, low, np.int64)
-        e[1:] = reach[:-1] - extension * columns[1:] - opening
-        now = np.where(inside, np.maximum(best, e), low)
-        back[i] = np.where(now == diagonal, 0, np.where(now == f, 2, 1))
-        h = now
-    ops: list[str] = []
-    i, j = n, m
-    while i or j:
-        kind = 2 if j == 0 else 1 if i == 0 else int(back[i, j])
-        if kind == 0:
-            ops.append("M")
-            i, j = i - 1, j - 1
-        elif kind == 2:
-            while i and back_f[i, j] and j:
-                ops.append("I")
-                i -= 1
-            ops.append("I")
-            i -= 1
-        else:
-            ops.append("D")
-            j -= 1
-    out, k = [], len(ops)
-    while k:
-        c, run = ops[k - 1], 0
-        while k and ops[k - 1] == c:
-            run, k = run + 1, k - 1
-        out.append(f"{run}{c}")
-    return int(h[m]), "".join(out)
-
-
-def glocal_posteriors(reference: str, query: str, quality: np.ndarray, *, gap_open: float = 0.001, gap_extend: float = 0.1, band: int = 10) -> np.ndarray:
-    """For each read base the probability, phred-scaled up to 99, that it is aligned to another place than its best one.
-
-    A hidden Markov model with match, insertion and deletion states; the read is aligned whole to a free stretch of the
-    reference. Forward and backward sums over states give the posterior of every (read base, reference base).
-    """
-    n, m = len(query), len(reference)
-    if not n or not m:
-        return np.zeros(n, np.int64)
-    e = np.power(10.0, -np.asarray(quality, float) / 10)
-    same = np.array([[q == r and q in "ACGT" for r in reference] for q in query])
-    unknown = np.array([[q not in "ACGT" or r not in "ACGT" for r in reference] for q in query])
-    emit = np.where(unknown, 1.0, np.where(same, 1 - e[:, None], e[:, None] / 3))
-    stay, o, x = 1 - 2 * gap_open, gap_open, gap_extend
-    fm, fi, fd = np.zeros((n, m)), np.zeros((n, m)), np.zeros((n, m))
-    fm[0] = emit[0] / m
-    scale = np.ones(n)
-    for i in range(n):
-        if i:
-            fm[i, 1:] = emit[i, 1:] * (stay * fm[i - 1, :-1] + (1 - x) * (fi[i - 1, :-1] + fd[i - 1, :-1]))
-            fi[i] = 0.25 * (o * fm[i - 1] + x * fi[i - 1])
-        for k in range(1, m):
-            fd[i, k] = o * fm[i, k - 1] + x * fd[i, k - 1]
-        scale[i] = fm[i].sum() + fi[i].sum() + fd[i].sum() or 1.0
-        fm[i], fi[i], fd[i] = fm[i] / scale[i], fi[i] / scale[i], fd[i] / scale[i]
-    bm, bi, bd = np.ones((n, m)), np.ones((n, m)), np.zeros((n, m))
-    for i in range(n - 2, -1, -1):
-        ahead = np.zeros(m)
-        ahead[:-1] = emit[i + 1, 1:] * bm[i + 1, 1:]
-        for k in range(m - 1, -1, -1):
-            bd[i, k] = (1 - x) * ahead[k] + (x * bd[i, k + 1] if k + 1 < m else 0)
-        later = np.append(bd[i, 1:], 0.0)
-        bm[i] = (stay * ahead + o * 0.25 * bi[i + 1] + o * later) / scale[i + 1]
-        bi[i] = ((1 - x) * ahead + x * 0.25 * bi[i + 1]) / scale[i + 1]
-        bd[i] /= scale[i + 1]
-    post = fm * bm
-    total = post.sum(1) + (fi * bi).sum(1)
-    wrong = 1 - post.max(1) / np.where(total > 0, total, 1)
-    return np.minimum(99, np.floor(-10 * np.log10(np.maximum(wrong, 1e-10)) + 0.499)).astype(np.int64)

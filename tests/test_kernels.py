@@ -152,41 +152,6 @@ def test_folded_runs_equal_sites_one_by_one():
     assert K.fold_runs(*[np.zeros(0)] * 6)[0] == []
 
 
-def affine(a, b, match=5, mismatch=-4, opening=5, extension=2):
-    n, m = len(a), len(b)
-    low = -(10**9)
-    M = [[low] * (m + 1) for _ in range(n + 1)]
-    X = [[low] * (m + 1) for _ in range(n + 1)]
-    Y = [[low] * (m + 1) for _ in range(n + 1)]
-    M[0][0] = 0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i and j:
-                M[i][j] = max(M[i - 1][j - 1], X[i - 1][j - 1], Y[i - 1][j - 1]) + (match if a[i - 1] == b[j - 1] else mismatch)
-            if i:
-                X[i][j] = max(M[i - 1][j] - opening, X[i - 1][j], Y[i - 1][j] - opening) - extension
-            if j:
-                Y[i][j] = max(M[i][j - 1] - opening, Y[i][j - 1], X[i][j - 1] - opening) - extension
-    return max(M[n][m], X[n][m], Y[n][m])
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text("ACGT", min_size=1, max_size=12), st.text("ACGT", min_size=1, max_size=12))
-def test_global_alignment_scores_like_the_full_table(a, b):
-    score, cigar = K.global_alignment(a, b)
-    assert score == affine(a, b)
-    import re
-
-    runs = [(int(n), c) for n, c in re.findall(r"(\d+)([MID])", cigar)]
-    assert sum(n for n, c in runs if c in "MI") == len(a) and sum(n for n, c in runs if c in "MD") == len(b)
-
-
-def test_glocal_posteriors_trust_exact_reads():
-    q = K.glocal_posteriors("ACGTACGGTTACGATC", "CGGTTACG", np.full(8, 30))
-    assert len(q) == 8 and q[2:6].min() >= 10
-    assert len(K.glocal_posteriors("ACGT", "", np.zeros(0))) == 0
-
-
 def test_windows_close_by_length_and_reads():
     tid, size, reads = np.array([0, 0, 0, 0, 0, 1, 1, 1, 1, 2]), np.full(10, 5.0), np.array([1.0, 1, 3, 9, 4, 7, 9, 0, 2, 6])
     got = fold_genome(tid, size, reads, 10, 2)
