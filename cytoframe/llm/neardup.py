@@ -49,7 +49,7 @@ LARGEST, HUBS, OTHERS = 1, 1, 1
 #: Further sketch values that a bucket is ordered by.
 DEPTH = 4
 #: Rounds end where no more than so many pairs a text, counted once for each rare shingle they share, are left to settle.
-EASY = 20
+EASY = 300
 #: Texts of a rare shingle that meet in one task.
 SALTED = 500
 #: 64-bit words of the bitmap of a text's shingles.
