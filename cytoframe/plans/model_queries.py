@@ -67,7 +67,7 @@ def folded_sigma(spark: SparkSession, d: str) -> DataFrame:
 
 FOLDED_SIGMA = (
     with_views("snps", "reads")
-    + """, a as (select cast(count(*) filter (sample = 'N') as double) / count(*) filter (sample = 'T') as a from reads where mapq > 0)
+    + """, a as (select cast(count(*) filter (sample = 'N') as double) / count(*) filter (sample = 'T') as a from reads where mapq > 0 and pos % 53 <> 0)
  select tid, round(sqrt(median(4 * pow(n_a / cast(n_a + n_b as double) - cast(0.5 as double), 2)) * (select a from a) * cast(3.141593 as double) / 8), 6) as sigma from snps
  where t_a + t_b >= 15 and n_a + n_b >= 15 and pow(cast(0.5 as double) - abs(n_a / cast(n_a + n_b as double) - cast(0.5 as double)), 2) >= cast(0.0225 as double) group by tid"""
 )
