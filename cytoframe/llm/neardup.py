@@ -45,11 +45,11 @@ BANDS = 16
 #: Sketch values that a pair must share to be aligned; of 16 a pair at the threshold shares fewer once in 300,000 times.
 SHARED = 2
 #: In a round, texts of a bucket's largest class, other classes, and texts of each, that its other texts are held against.
-LARGEST, HUBS, OTHERS = 1, 1, 1
+LARGEST, HUBS, OTHERS = 4, 2, 1
 #: Further sketch values that a bucket is ordered by.
 DEPTH = 4
 #: Rounds end where no more than so many pairs a text, counted once for each rare shingle they share, are left to settle.
-EASY = 300
+EASY = 1_000
 #: Texts of a rare shingle that meet in one task.
 SALTED = 500
 #: 64-bit words of the bitmap of a text's shingles.
