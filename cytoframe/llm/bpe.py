@@ -1,10 +1,12 @@
 """Byte-pair encoding and decoding by traversal of a prefix-sharing trie.
 
-The distinct words of a slice of texts go into a trie of symbols. A depth-first walk gives each node the last
-token of the encoding of its prefix: the one vocabulary token that ends there and may follow the last token
-stated at the node where it begins (two tokens may stand together if encoding their joined symbols gives those
-two again). So a prefix that many words share is encoded once, and a word's tokens are read off by stepping back
-from its leaf. Each task works on its own slices; nothing is shuffled, and the words a task remembers are bounded.
+The distinct words of a slice of texts, sorted, are the leaves of a trie of symbols in depth-first order. A walk over
+them gives each node the last token of the encoding of its prefix: the one vocabulary token that ends there and may
+follow the last token stated at the node where it begins (two tokens may stand together if encoding their joined
+symbols gives those two again). Only the path to the word at hand is held. So a prefix that many words share is encoded
+once, and a word's tokens are read off by stepping back from its leaf. The tokens that can end at a node are known by the
+longest end of its prefix that begins a token. Each task works on its own slices; nothing is shuffled, and the words a
+task remembers are bounded.
 
 The vocabulary is a public JSON file whose place is a parameter: NFC, white space runs to one space, lower case,
 a split into contractions, letters, single digits and other signs, bytes as symbols, an end-of-word suffix.
@@ -19,7 +21,6 @@ from __future__ import annotations
 import gc
 import json
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
@@ -58,10 +59,8 @@ OLD_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_RANGES}]]+|[\
 
 #: Words whose encodings a task keeps between slices; beyond it starts again.
 MAX_WORDS = 250_000
-#: Bytes from which on a word is encoded on its own, outside of the trie.
-LONG_WORD = 2_000
-#: Token lengths to try where no longer token has a prefix's end.
-SHORT = (2, 1)
+#: Pairs of tokens, and ends of prefixes with a symbol more, that a task remembers; beyond it starts again.
+MAX_PAIRS, MAX_STEPS = 400_000, 100_000
 
 
 @lru_cache(1)
@@ -89,13 +88,8 @@ class Vocabulary:
 
         self.tokens = {symbols(t): i for t, i in model["vocab"].items()}
         self.symbols = {i: s for s, i in self.tokens.items()}
-        #: Token lengths, longest first, by a prefix's last three symbols.
-        by_end: dict[str, set[int]] = {}
-        for t in self.tokens:
-            if len(t) > 2:
-                by_end.setdefault(t[-3:], set()).add(len(t))
-        self.lengths = {end: (*sorted(found, reverse=True), *SHORT) for end, found in by_end.items()}
-        self.longest = max(map(len, self.tokens))
+        #: What tokens begin with.
+        self.begins = {t[:k] for t in self.tokens for k in range(len(t) + 1)}
         self.sizes = {i: len(s) for i, s in self.symbols.items()}
         ids = model["vocab"]
         self.merges = {(ids[a], ids[b]): (rank, ids[a.removesuffix(suffix) + b]) for rank, (a, b) in enumerate(model["merges"])}
@@ -105,7 +99,9 @@ class Vocabulary:
 
     def forget(self) -> None:
         """Lets go what was remembered of words and pairs of tokens."""
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: Whether the second token may follow the first, by both in one number.
+        self.pairs: dict[int, bool] = {}
+        self.steps: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
         #: Packed ids of words met lately, in two generations of MAX_WORDS at most.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -113,13 +109,21 @@ class Vocabulary:
     def merged(self, symbols: str) -> list[int]:
         """Plain merging by rank: the definition, used for single tokens and pairs of tokens only."""
         out = [self.tokens[s] for s in symbols]
-        while len(out) > 1:
-            best = min(((self.merges.get(p, (1 << 60, 0)), i) for i, p in enumerate(zip(out, out[1:]))), key=lambda x: (x[0][0], x[1]))
-            (rank, new), i = best
-            if rank == 1 << 60:
-                break
-            out[i : i + 2] = [new]
-        return out
+        get = self.merges.get
+        found = [get(p) for p in zip(out, out[1:])]
+        while True:
+            best = None
+            for i, merge in enumerate(found):
+                if merge is not None and (best is None or merge < best):
+                    best, at = merge, i
+            if best is None:
+                return out
+            out[at : at + 2] = [best[1]]
+            del found[at]
+            if at:
+                found[at - 1] = get((out[at - 1], out[at]))
+            if at < len(found):
+                found[at] = get((out[at], out[at + 1]))
 
     def stands(self, token: int) -> bool:
         """Whether the token's own symbols are encoded as this token."""
@@ -129,12 +133,20 @@ class Vocabulary:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether right may stand after left."""
-        if (yes := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > 400_000:
-                self.pairs.clear()
-            yes = self.pairs[left, right] = self.merged(self.symbols[left] + self.symbols[right]) == [left, right]
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        yes = self.pairs[left << 32 | right] = self.merged(self.symbols[left] + self.symbols[right]) == [left, right]
         return yes
 
+    def step(self, end: str) -> tuple[str, tuple[tuple[int, int], ...]]:
+        """The longest end of the symbols that begins a token, and the tokens that end there with their sizes, longest first."""
+        if len(self.steps) >= MAX_STEPS:
+            self.steps.clear()
+        at = next(i for i in range(len(end) + 1) if end[i:] in self.begins)
+        ending = [(self.tokens[end[i:]], len(end) - i) for i in range(at, len(end)) if end[i:] in self.tokens]
+        found = self.steps[end] = end[at:], tuple(x for x in ending if self.stands(x[0]))
+        return found
+
     def pieces(self, text: str, pattern: regex.Pattern = PIECES) -> list[str]:
         """The words of a text; special tokens come as they are, after a NUL and a mark."""
         if self.special_split and any(s in text for s in self.special):
@@ -154,82 +166,51 @@ class Vocabulary:
         return pattern.findall(text if pattern is PIECES else text.translate(LOWER))
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Packed ids of words: trie, depth-first last-token states, tokens read back from the leaves."""
+        """Packed ids of words: sorted, last-token states along the path to each, tokens read back from its leaf."""
         out: dict[str, bytes] = {}
-        root: dict = {}
+        rows = []
         for word in words:
             if word.startswith("\0special\0") and word[9:] in self.special:
                 out[word] = pack("<I", self.special[word[9:]])
                 continue
-            node = root
             data = word.encode().decode("latin-1")
-            if len(data) > LONG_WORD:
-                out[word] = self.learn_alone(data[:-1] + chr(ord(data[-1]) + 256))
-                continue
-            for b in data[:-1]:
-                node = node.setdefault(b, {})
-            node.setdefault(chr(ord(data[-1]) + 256), {})[""] = word
-        ends = [""]  # the last self.longest symbols of the prefix of each length: no token is longer
-        longest = self.longest
+            rows.append((data[:-1] + chr(ord(data[-1]) + 256), word))
+        rows.sort()
+        sizes, pairs, steps = self.sizes, self.pairs, self.steps
+        before = ""
+        ends = [""]  # of the prefix of each length of the word at hand, the longest end that begins a token
         last: list[int] = []  # of the prefix of each length, the last token
-        stack = [iter(root.items())]
-        tokens, lengths, sizes, follows = self.tokens, self.lengths, self.sizes, self.pairs
-        while stack:
-            step = next(stack[-1], None)
-            if step is None:
-                stack.pop()
-                if last:
-                    ends.pop()
-                    last.pop()
-                continue
-            symbol, below = step
-            if symbol == "":
-                found = []
-                depth = len(last)
-                while depth:
-                    token = last[depth - 1]
-                    found.append(token)
-                    depth -= sizes[token]
-                out[below] = pack(f"<{len(found)}I", *reversed(found))
-                continue
-            depth = len(ends)
-            end = (ends[-1] + symbol)[-longest:]
-            ends.append(end)
-            for length in lengths.get(end[-3:], SHORT):
-                if length > depth:
-                    continue
-                token = tokens.get(end[-length:])
-                if token is None:
-                    continue
-                if length == depth:
-                    if self.stands(token):
-                        break
-                else:
-                    left = last[depth - length - 1]
-                    yes = follows.get((left, token))
-                    if yes or yes is None and self.stands(token) and self.follows(left, token):
+        for symbols, word in rows:
+            shared = 0
+            for x, y in zip(symbols, before):
+                if x != y:
+                    break
+                shared += 1
+            before = symbols
+            del last[shared:], ends[shared + 1 :]
+            end = ends[-1]
+            for depth in range(shared, len(symbols)):
+                key = end + symbols[depth]
+                end, ending = steps.get(key) or self.step(key)
+                for token, size in ending:
+                    if size > depth:
+                        break  # the whole prefix
+                    left = last[depth - size]
+                    yes = pairs.get(left << 32 | token)
+                    if yes or yes is None and self.follows(left, token):
                         break
-            last.append(token)
-            stack.append(iter(below.items()))
+                ends.append(end)
+                last.append(token)
+            found = []
+            depth = len(symbols)
+            while depth:
+                token = last[depth - 1]
+                found.append(token)
+                depth -= sizes[token]
+            found.reverse()
+            out[word] = pack(f"<{len(found)}I", *found)
         return out
 
-    def learn_alone(self, symbols: str) -> bytes:
-        """Packed ids of a very long word, which shares nothing: the same states along its one path, in numbers instead of a trie."""
-        last = array("i")
-        for depth in range(1, len(symbols) + 1):
-            for length in self.lengths.get(symbols[max(0, depth - 3) : depth], SHORT):
-                if length > depth or (token := self.tokens.get(symbols[depth - length : depth])) is None or not self.stands(token):
-                    continue
-                if length == depth or self.follows(last[depth - length - 1], token):
-                    break
-            last.append(token)
-        found = array("I")
-        depth = len(last)
-        while depth:
-            found.append(last[depth - 1])
-            depth -= self.sizes[last[depth - 1]]
-        return np.array(found[::-1], "<u4").tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) for t in texts]
@@ -239,7 +220,7 @@ class Vocabulary:
             words = set().union(*split)
         new = {w for w in words if w not in self.known}
         back = {w: self.older[w] for w in new if w in self.older}
-        gc.disable()  # tries are many small dicts without cycles
+        gc.disable()  # many small tuples and numbers without cycles
         try:
             back |= self.learn(new - back.keys())
         finally:

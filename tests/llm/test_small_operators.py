@@ -306,6 +306,51 @@ def test_very_long_words(tokenizer):
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+class Counted(dict):
+    """A dict that counts what is looked up in it."""
+
+    looked = 0
+
+    def get(self, *args):
+        self.looked += 1
+        return super().get(*args)
+
+    def __getitem__(self, key):
+        self.looked += 1
+        return super().__getitem__(key)
+
+    def __contains__(self, key):
+        self.looked += 1
+        return super().__contains__(key)
+
+
+def test_ends_met_before_need_no_tokens_looked_up(tokenizer):
+    import json
+
+    vocabulary = bpe.Vocabulary(json.load(open(queries.tokenizer_path(), encoding="utf-8")))
+    rng = np.random.default_rng(3)
+    words = {"".join(rng.choice(["an", "der", "lich", "é", "tion", "th"], n)) for n in rng.integers(2, 6, 400)}
+    first = vocabulary.learn(words)
+    vocabulary.tokens = Counted(vocabulary.tokens)
+    assert vocabulary.learn(words) == first
+    assert vocabulary.tokens.looked == 0
+    assert {w: np.frombuffer(x, "<u4").tolist() for w, x in first.items()} == {w: tokenizer.encode(w, add_special_tokens=False).ids for w in words}
+
+
+def test_tokens_with_little_remembered(tokenizer, monkeypatch):
+    import json
+
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 5)
+    monkeypatch.setattr(bpe, "MAX_STEPS", 7)
+    monkeypatch.setattr(bpe, "MAX_WORDS", 3)
+    vocabulary = bpe.Vocabulary(json.load(open(queries.tokenizer_path(), encoding="utf-8")))
+    texts = ["the quick brown fox, it's überraschend 12", "schachsten dieereinlichie the quick", "a<|endoftext|>b", ""]
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in vocabulary.encode(texts)]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(vocabulary.pairs) <= 5 and len(vocabulary.steps) <= 7
+
+
 def same_tokens(rows, texts, tokenizer):
     for r in rows:
         ids = tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
