@@ -31,11 +31,20 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None
         spark.conf.set(name, before)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
+def few_files(spark: SparkSession) -> int:
+    """Files that a table of evenly dealt rows is written to at most: four waves of tasks, or an eighth of the shuffle partitions if that is more."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
+def stored(df: DataFrame, name: str, *, even: bool = False) -> DataFrame:
+    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors.
+
+    even: no key has many of its rows, so that neighbouring partitions may be written by one task. With every file
+    executors may start processes (in local folders), each of which is for a moment counted as large as its executor.
+    """
     path = shared_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        (df.coalesce(few_files(df.sparkSession)) if even else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
@@ -78,6 +87,7 @@ def parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Rec
             texts = texts_of(some.column(text))
             for i, j in slices(texts):
                 yield some.slice(i, j - i), texts[i:j]
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -175,7 +175,7 @@ def bucket_members(texts: DataFrame) -> DataFrame:
     buckets = rows.groupBy("i", "v").agg(F.count("*").alias("n")).where("n > 1")
     members = rows.join(buckets, ["i", "v"])
     central = members.groupBy("key").agg(F.sum("n").alias("central"), F.count("*").alias("shared")).where(F.col("shared") >= SHARED)
-    return stored(members.drop("n").join(central.drop("shared"), "key"), "buckets")
+    return stored(members.drop("n").join(central.drop("shared"), "key"), "buckets", even=True)
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def rare_shingles(sequences: DataFrame) -> DataFrame:
             tokens = h[order][first].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(tokens), batch.column("key").take(pa.array(doc[first])), pa.array(place[first].astype(np.int32)), pa.array(size)], names=["token", "key", "place", "size"])
 
-    rows = stored(sequences.select("key", "seq").mapInArrow(run, "token bigint, key binary, place int, size int"), "shingles")
+    rows = stored(sequences.select("key", "seq").mapInArrow(run, "token bigint, key binary, place int, size int"), "shingles", even=True)
     several = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     out = stored(rows.join(several, "token"), "rare-shingles")
     discard(rows)
@@ -357,7 +357,7 @@ def settling_pairs(rare: DataFrame, roots: DataFrame, apart: DataFrame, sequence
 
 def components(pairs: DataFrame) -> DataFrame:
     """key, root (least key of the component) for every key in pairs; large-star and small-star until every component is a star."""
-    edges = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    edges = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links", even=True)
     while True:
         # large star: neighbours above a node go to its least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -366,7 +366,7 @@ def components(pairs: DataFrame) -> DataFrame:
         # small star: a node and its lower neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), "m").where("u != m").select("u", F.col("m").alias("v"))
-        before, edges = edges, stored(small.distinct(), "links")
+        before, edges = edges, stored(small.distinct(), "links", even=True)
         discard(before)
         ends = edges.select(F.col("u").alias("key"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("key"), F.lit(0).alias("below"), F.lit(1).alias("above")))
         open_ = ends.groupBy("key").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below = 1 and above = 1")
@@ -380,25 +380,25 @@ def linked_texts(documents: DataFrame, texts: DataFrame) -> DataFrame:
     """key, root of all texts that may have a near-duplicate. texts: key, vals."""
     members = bucket_members(texts)
     keys = members.select("key").distinct()
-    values = stored(texts.join(keys, "key", "left_semi"), "sketches")
+    values = stored(texts.join(keys, "key", "left_semi"), "sketches", even=True)
     keys = values.select("key")
-    whole = stored(_sequences_of(documents, keys), "sequences")
-    tested = stored(hub_pairs(members), "pairs")
+    whole = stored(_sequences_of(documents, keys), "sequences", even=True)
+    tested = stored(hub_pairs(members), "pairs", even=True)
     done = [tested]
     roots = components(verified_pairs(likely_pairs(tested, values), whole))
-    roots = stored(keys.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root")), "roots")
+    roots = stored(keys.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root")), "roots", even=True)
     rare, texts_apart = rare_shingles(whole), keys.count()
     number, before = 1, float("inf")
     while True:
-        apart = stored(apart_shingles(rare, roots), "apart")
+        apart = stored(apart_shingles(rare, roots), "apart", even=True)
         left = apart.agg(F.sum("apart")).first()[0] or 0
         last = left <= EASY * texts_apart or left > 0.9 * before
         both = settling_pairs(rare, roots, apart, whole) if last else _ordered(class_pairs(members, roots, number).unionByName(neighbour_pairs(values, roots, number)))
-        fresh = stored(both.join(tested, ["a", "b"], "left_anti"), "pairs")
+        fresh = stored(both.join(tested, ["a", "b"], "left_anti"), "pairs", even=True)
         tested = tested.unionByName(fresh)
         likely = fresh if last else likely_pairs(fresh, values)
         found = verified_pairs(likely, whole).join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b")
-        found = stored(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+        found = stored(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links", even=True)
         if found.limit(1).count():
             moved = components(found).toDF("root", "moved")
             roots = stored(roots.join(moved, "root", "left").select("key", F.coalesce("moved", "root").alias("root")), "roots")
@@ -413,9 +413,9 @@ def linked_texts(documents: DataFrame, texts: DataFrame) -> DataFrame:
 def near_classes(documents: DataFrame) -> DataFrame:
     """key, root, first_id (least id of the text's rows), n_rows, class_id (least id of the class) for each distinct text."""
     each = _explode_sketches(documents).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"), F.first("vals").alias("vals"))
-    texts = stored(each, "texts")
+    texts = stored(each, "texts", even=True)
     roots = linked_texts(documents, texts.select("key", "vals"))
-    linked = stored(texts.select("key", "first_id", "n_rows").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "classes")
+    linked = stored(texts.select("key", "first_id", "n_rows").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "classes", even=True)
     least = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
     return linked.join(least, "root").select("key", "root", "first_id", "n_rows", "class_id")
 

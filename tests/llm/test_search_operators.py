@@ -127,6 +127,28 @@ def test_alignment_of_long_texts_is_quick():
     assert time.process_time() - began < 5
 
 
+def test_even_tables_are_few_files(spark, monkeypatch):
+    import glob
+
+    from cytoframe.llm import common
+
+    conf = {"spark.sql.shuffle.partitions": str(40 * spark.sparkContext.defaultParallelism), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    kept = []
+    monkeypatch.setattr(neardup, "stored", lambda *a, **k: kept.append(common.stored(*a, **k)) or kept[-1])
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        pairs = spark.range(2_000).selectExpr("cast(cast(id as string) as binary) as a", "cast(cast(id - id % 5 as string) as binary) as b")
+        roots = neardup.components(pairs.where("a != b"))
+        assert roots.count() == 2_000 and roots.select("root").distinct().count() == 400
+        files = [len(glob.glob(kept[-1]._stored_path.removeprefix("file://").removeprefix("file:") + "/*.parquet"))]
+        assert 0 < max(files) <= 5 * spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_banded_alignment_is_the_full_one():
     rng = np.random.default_rng(4)
     for _ in range(200):
