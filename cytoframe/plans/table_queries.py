@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from cytoframe.operators import copynumber as M
 from cytoframe.operators import pileup
 from cytoframe.operators import reads as R
 from cytoframe.operators import reports as T
-from cytoframe.plans.adapters import TIES, bases, partitions, reads, snps, with_views
+from cytoframe.plans.adapters import TIES, base_arrays, partitions, reads, reference_arrays, snps, with_views
 from cytoframe.plans.interval_queries import _COUNTS, _counts
 from cytoframe.plans.model_queries import _NAME
 from cytoframe.plans.read_queries import ID
@@ -143,9 +145,15 @@ def merged_order(spark: SparkSession, d: str) -> DataFrame:
 MERGED_ORDER = with_views("reads") + f" select tid, cast(row_number() over (partition by tid order by pos % 1000, (flag & 16) <> 0, case sample when 'T' then 0 else 1 end, {ID}) as int) as place, {ID} from reads"
 
 
+def _near(batch: pa.RecordBatch, read: np.ndarray, query: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bases, and a reference that most of them agree with."""
+    base, ref = base_arrays(batch, read, query)[0], reference_arrays(batch, read, place)
+    own = (place + batch.column("l_partkey").to_numpy()[read]) % 9 == 0
+    return base, np.where(own | (query < 0), ref, base)
+
+
 def mismatch_strings(spark: SparkSession, d: str) -> DataFrame:
-    rows = bases(spark, d, ops="MDN").withColumn("ref", F.when((F.col("l_partkey") + F.col("ref_pos")) % 9 == 0, F.col("ref")).otherwise(F.coalesce("base", "ref")))
-    return pileup.edit_distances(rows, TIES).select(*TIES, "md")
+    return pileup.read_edits(reads(spark, d), TIES, ["tid"], _near).select(*TIES, "md")
 
 
 _KEYS = ", ".join(TIES)
