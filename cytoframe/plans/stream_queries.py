@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoframe.operators import pileup as U
-from cytoframe.plans.adapters import bases, reads, table
+from cytoframe.plans.adapters import LOOKED_AT, base_arrays, reads, table
 from cytoframe.plans.read_queries import ALLELE_COUNTS
 from cytoframe.session import shared_path
 from cytoframe.streaming import pileup, windows
@@ -57,14 +57,10 @@ def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     good.select("tid").distinct().select("tid", *ends, F.lit(True).alias("final")).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", A_BATCH).parquet(path)
-    each = bases(spark, d, source=stream.where("not final"), ops="MS", keep=["tid", "pos", "flag", "least", "l_partkey", "l_orderkey"], ends=False).where("quality >= least")
-    rows = each.select("tid", F.col("pos").alias("start"), "ref_pos", "base", "reverse", F.lit(False).alias("final"))
-    none = F.lit(None)
-    last = stream.where("final").select("tid", none.cast("bigint").alias("start"), none.cast("bigint").alias("ref_pos"), none.cast("string").alias("base"), none.cast("boolean").alias("reverse"), "final")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
-        out = windows.run_available(pileup.streamed_counts(rows.unionByName(last)), "counts", mode="append")
+        out = windows.run_available(pileup.streamed_read_counts(stream, LOOKED_AT, base_arrays), "counts", mode="append")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return out.groupBy("tid", "ref_pos").agg(*[F.sum(n).alias(n) for n in pileup.NAMES])
